@@ -1,0 +1 @@
+"""Intentionally empty: every input of this library is a finished file, so there is no streaming operator to offer."""
