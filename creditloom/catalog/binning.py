@@ -229,10 +229,10 @@ def rank_normalised_values(spark, sf):
 
 CONC_SQL = """
 WITH t AS (SELECT {order} AS o, count(*) AS n, sum({amount}) AS amt FROM fx_lgd GROUP BY 1),
-r AS (SELECT *, coalesce(sum(n) OVER w, 0) AS nb, coalesce(sum(amt) OVER w, 0) AS ab, sum(n) OVER () AS nt, sum(amt) OVER () AS at
+r AS (SELECT *, coalesce(sum(n) OVER w, 0) AS nb, coalesce(sum(amt) OVER w, 0) AS ab, sum(n) OVER () AS nt, sum(amt) OVER () AS total_amt
       FROM t WINDOW w AS (ORDER BY o DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 p AS (SELECT unnest([{shares}]) AS k)
-SELECT k / 100.0::DOUBLE AS row_share, CAST((k * nt) // 100 AS BIGINT) AS n_rows, round((ab + amt * ((k * nt) // 100 - nb) / n) / at, 6) AS amount_share
+SELECT k / 100.0::DOUBLE AS row_share, CAST((k * nt) // 100 AS BIGINT) AS n_rows, round((ab + amt * ((k * nt) // 100 - nb) / n) / total_amt, 6) AS amount_share
 FROM r, p WHERE (k * nt) // 100 > nb AND (k * nt) // 100 <= nb + n"""
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.functions.scalars import case_below, right_closed_bin
-from creditloom.operators.ordered import even_probs, quantiles_of_tally
+from creditloom.operators.ordered import even_probs, pinned, quantiles_of_tally
 
 FLOOR = 1e-9
 CATEGORY_LIMIT = 10
@@ -41,16 +41,16 @@ def feature_tally(df: DataFrame, features: Sequence[str], keep: Sequence[str], s
     cells += [F.struct(F.lit(f).alias("feature"), none_d.alias("value"), F.col(f).cast("string").alias("label")) for f in text]
     measured = df.select(*keep, *[e.alias(f"_m_{n}") for n, e in sums.items()], F.array(*cells).alias("_cells"))
     long = measured.select(*keep, *[f"_m_{n}" for n in sums], F.inline("_cells"))
-    return (
-        long.filter(F.col("value").isNotNull() | F.col("label").isNotNull())
-        .groupBy(*keep, "feature", "value", "label")
-        .agg(*[F.sum(f"_m_{n}").alias(n) for n in sums])
-    )
+    grouped = long.filter(F.col("value").isNotNull() | F.col("label").isNotNull()).groupBy(*keep, "feature", "value", "label")
+    return pinned(grouped.agg(*[F.sum(f"_m_{n}").alias(n) for n in sums]), list(sums))
 
 
-def numeric_edges(tallied: DataFrame, count: str, n_bins: int) -> DataFrame:
-    """(feature, edges, n_keys) with duplicate edges removed."""
-    q = quantiles_of_tally(tallied.filter(F.col("value").isNotNull()), ["feature"], "value", count, even_probs(n_bins))
+def numeric_edges(tallied: DataFrame, count: str, n_bins: int, where: Column | None = None) -> DataFrame:
+    """(feature, edges, n_keys) with duplicate edges removed, over the tally rows that satisfy ``where``."""
+    wanted = F.col("value").isNotNull() if where is None else F.col("value").isNotNull() & where
+    # Tied to a sum, the filter stays above the tally's shuffle, which is then shared with the caller's own read.
+    numbers = tallied.filter(F.when(wanted, F.col(count)) > 0)
+    q = quantiles_of_tally(numbers, ["feature"], "value", count, even_probs(n_bins))
     return q.select("feature", F.array_distinct("edges").alias("edges"), "n_keys")
 
 

@@ -14,6 +14,7 @@ columns and Spark reuses one exchange instead of scanning the input again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
@@ -27,13 +28,19 @@ MAX_GROUPS = 10_000
 BUCKETS = 256
 
 
+def pinned(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Filter that is always true but mentions ``columns``.
+
+    A tally is read several times by one query. Column pruning would give each read its own column list,
+    hence its own shuffle and its own scan of the input; with the same columns Spark reuses the first shuffle.
+    """
+    return df.filter(F.size(F.array(*[F.col(c).cast("double") for c in columns])) > 0)
+
+
 def tally(df: DataFrame, by: Sequence[str], key: str, sums: Mapping[str, Column]) -> DataFrame:
     """One row per (by, key) with the given sums; rows without a key are left out."""
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(*by, key)
-        .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
-    )
+    grouped = df.filter(F.col(key).isNotNull()).groupBy(*by, key)
+    return pinned(grouped.agg(*[F.sum(expr).alias(name) for name, expr in sums.items()]), list(sums))
 
 
 def running_totals(
@@ -50,21 +57,29 @@ def running_totals(
         # One group, made from the key itself so that the joins below stay equi-joins.
         base, group = tallied.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(1))), ["_g"]
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    base = pinned(base, sums)
     limits = base.groupBy(*group).agg(
         F.percentile_approx(key, probs, 4 * buckets).alias("_limits"),
         F.count(F.lit(1)).alias("_n_keys"),
         *[F.sum(s).alias(f"{s}_total") for s in sums],
     )
     n_groups = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    limits = limits.withColumn("_groups", n_groups).withColumn(
-        "_limits",
-        F.when(F.col("_groups") <= MAX_GROUPS, F.array_distinct("_limits")).otherwise(
-            F.raise_error(F.lit(f"running_totals takes at most {MAX_GROUPS} groups"))
-        ),
-    ).drop("_groups")
-    placed = base.join(F.broadcast(limits), group).withColumn(
-        "_bucket", F.size(F.filter("_limits", lambda e: e < F.col(key)))
-    ).drop("_limits")
+    limits = pinned(limits, ["_n_keys", *[f"{s}_total" for s in sums]]).withColumn("_groups", n_groups)
+    checked = F.when(F.col("_groups") <= MAX_GROUPS, F.col("_limits")).otherwise(
+        F.raise_error(F.lit(f"running_totals takes at most {MAX_GROUPS} groups"))
+    )
+    # Two levels of sorted limits, so that a key is compared with about 2 * sqrt(B) of them.
+    step = max(2, math.isqrt(buckets))
+    limits = limits.withColumn("_limits", checked).select(
+        *group, "_n_keys", *[f"{s}_total" for s in sums],
+        F.transform(F.sequence(F.lit(1), F.lit((buckets - 1) // step)), lambda i: F.get("_limits", i * step - 1)).alias("_coarse"),
+        F.transform(F.sequence(F.lit(0), F.lit((buckets - 1) // step)), lambda i: F.slice("_limits", i * step + 1, F.lit(step))).alias("_fine"),
+    )
+    block = F.size(F.filter("_coarse", lambda e: e < F.col(key)))
+    bucket = block * step + F.size(F.filter(F.get("_fine", block), lambda e: e < F.col(key)))
+    placed = (
+        base.join(F.broadcast(limits), group).withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_coarse", "_fine")
+    )
     ahead = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*group, "_bucket")

@@ -26,7 +26,7 @@ def stability_bins(
     base. For categories the base is every row of the sample, so unseen categories lower the seen shares.
     """
     t = feature_tally(df, features, [sample], {"n": F.lit(1)})
-    edges = numeric_edges(t.filter(F.col(sample) == reference), "n", n_bins)
+    edges = numeric_edges(t, "n", n_bins, F.col(sample) == reference)
     placed = t.join(F.broadcast(edges), "feature", "left")
     is_num = F.col("value").isNotNull() & (F.col("n_keys") > CATEGORY_LIMIT)
     bins = (

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from creditloom.functions.tails import chi2_tail, normal_two_sided, pearson_two_sided
 from creditloom.operators.labels import usable_columns
 from creditloom.operators.metrics import score_bands
-from creditloom.operators.ordered import exact_quantiles, running_totals, tally
+from creditloom.operators.ordered import exact_quantiles, pinned, running_totals
 
 MAX_AGE = 480
 MAX_LOGRANK_GROUPS = 200
@@ -327,8 +327,10 @@ def concordance_index(df: DataFrame, risk: str, by: Sequence[str] = ()) -> DataF
     base = base.filter(F.col("_r").isNotNull() & F.col("_d").between(0, MAX_AGE))
     if not group:
         base, group = base.withColumn("_g", F.pmod(F.xxhash64("_r"), F.lit(1))), ["_g"]
-    cells = base.groupBy(*group, "_r", "_d").agg(F.sum("_e").cast("long").alias("ev"), F.sum(1 - F.col("_e")).cast("long").alias("ce"))
-    ranks = running_totals(tally(base.select(*group, "_r").distinct(), group, "_r", {"one": F.lit(1)}), group, "_r", ["one"])
+    cells = pinned(
+        base.groupBy(*group, "_r", "_d").agg(F.sum("_e").cast("long").alias("ev"), F.sum(1 - F.col("_e")).cast("long").alias("ce")), ["ev", "ce"]
+    )
+    ranks = running_totals(cells.groupBy(*group, "_r").agg(F.max(F.lit(1)).alias("one"), F.sum("ev").alias("ev"), F.sum("ce").alias("ce")), group, "_r", ["one"])
     ranks = ranks.select(*group, "_r", F.col("one_before").alias("_rank"))
     placed = cells.join(ranks, [*group, "_r"]).withColumn("_block", F.floor(F.col("_rank") / BLOCK)).withColumn(
         "_pos", (F.col("_rank") % BLOCK).cast("int")
