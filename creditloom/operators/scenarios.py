@@ -188,9 +188,9 @@ def period_pd(pd: Column, pd_period: str) -> Column:
 
 def model_path_pds(
     loans: DataFrame, paths: DataFrame, predict: Callable[[DataFrame], DataFrame], keys: Sequence[str],
-    hpi_convention: str = "inverse", pd_period: str = "as_is", pd_col: str = "pd",
+    keep: Sequence[str] = ("orig_upb",), hpi_convention: str = "inverse", pd_period: str = "as_is", pd_col: str = "pd",
 ) -> DataFrame:
-    """The same arrays from a fitted model that must see rows.
+    """The same arrays, beside ``keys`` and ``keep``, from a fitted model that must see rows.
 
     ``keys`` identify a row of ``loans``. Loans are hashed by key *before* they fan out to scenarios x
     quarters, so the explosion, the scoring and the regrouping stay in one stage: n rows are shuffled, not 60 n.
@@ -203,9 +203,11 @@ def model_path_pds(
     ])
     fan = loans.repartition(*keys).select("*", F.inline(cells))
     stressed = fan.withColumns(macro_overrides(F.col("_u"), F.col("_h"), F.col("_q"), hpi_convention))
-    scored = predict(stressed).select(*keys, "_s", "_q", period_pd(F.col(pd_col), pd_period).alias("_pd"))
+    scored = predict(stressed).select(*keys, *keep, "_s", "_q", period_pd(F.col(pd_col), pd_period).alias("_pd"))
     # 60 small cells per row key, a fixed number
-    packed = scored.groupBy(*keys).agg(F.collect_list(F.struct("_s", "_q", "_pd")).alias("_cells"))
+    packed = scored.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in keep], F.collect_list(F.struct("_s", "_q", "_pd")).alias("_cells")
+    )
     arrays = {
         f"pds_{s.lower()}": F.transform(
             F.array_sort(F.transform(F.filter("_cells", lambda c, s=s: c["_s"] == s), lambda c: F.struct(c["_q"].alias("q"), c["_pd"].alias("p")))),
@@ -213,7 +215,7 @@ def model_path_pds(
         )
         for s in grid
     }
-    return loans.join(packed.select(*keys, *[v.alias(k) for k, v in arrays.items()]), list(keys))
+    return packed.select(*keys, *keep, *[v.alias(k) for k, v in arrays.items()])
 
 
 def survival_array(pds: Column) -> Column:
