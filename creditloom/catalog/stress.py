@@ -120,15 +120,20 @@ def stressed_feature_rows(spark, sf):
     paths = path_table(spark, sf).filter(F.col("quarter").isin(4, 20)).collect()
     cells = F.array(*[F.struct(F.lit(r["scenario"]).alias("scenario"), F.lit(r["quarter"]).alias("quarter"), F.lit(r["ur"]).alias("u"), F.lit(r["hpi_ratio"]).alias("h")) for r in paths])
     fan = risk_rows(spark, sf).select("*", F.inline(cells))
-    out = fan.withColumns(scenarios.macro_overrides(F.col("u"), F.col("h"), F.col("quarter")))
+    out = fan.withColumns(scenarios.override_columns("u", "h", "quarter"))
     return out.select("loan_seq_num", day("report_date").alias("report_date"), "scenario", "quarter", "ur_3m_lag", rounded(F.col("hpi_change")).alias("hpi_change"), "loan_age")
 
 
 @query("survival_product", views="fx_pd fx_ur", sql=LONG + """
-SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, scenario, quarter, round(pd, 6) AS pd, round(alive_before, 6) AS alive_before, round(alive, 6) AS alive FROM lng""")
+SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, """ + ", ".join(
+    f"round(max(CASE WHEN scenario = '{s.name}' AND quarter = {q} THEN alive END), 6) AS alive_{s.name.lower()}_{q}" for s in PATH_SCENARIOS for q in (4, 20)
+) + " FROM lng GROUP BY 1, 2")
 def survival_product(spark, sf):
-    lng = scenarios.long_paths(projected(spark, sf), PATH_SCENARIOS, KEYS)
-    return lng.select("loan_seq_num", day("report_date").alias("report_date"), "scenario", "quarter", *[rounded(F.col(c)).alias(c) for c in ("pd", "alive_before", "alive")])
+    arrays = {s: scenarios.survival_array(F.col(f"pds_{s.name.lower()}")) for s in PATH_SCENARIOS}
+    return projected(spark, sf).select(
+        "loan_seq_num", day("report_date").alias("report_date"),
+        *[rounded(F.get(a, F.lit(q))).alias(f"alive_{s.name.lower()}_{q}") for s, a in arrays.items() for q in (4, 20)],
+    )
 
 
 @query("survival_product_window", views="fx_pd fx_ur", sql=LONG + """

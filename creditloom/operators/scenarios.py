@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.scalars import clip, discount_factor, sigmoid
+from creditloom.functions.scalars import clip
 from creditloom.operators.ordered import exact_quantiles
 from creditloom.operators.reports import percentiles
 
@@ -56,7 +56,9 @@ HORIZONS = (4, 8, 12, 20)
 RATE_FLOOR = 0.5
 INDEX_FLOOR = 0.1
 
-Scorer = Callable[[Mapping[str, Column]], Column]
+# A scorer turns feature overrides (name -> SQL text) into the SQL text of a PD. Text keeps the hundreds of
+# literals of a projection to one call into the JVM.
+Scorer = Callable[[Mapping[str, str]], str]
 
 
 # ------------------------------------------------------------------------------------------------ macro paths
@@ -68,13 +70,10 @@ def macro_paths(
     ``floor_state=True`` floors the running values, so the next quarter builds on the floored one, and
     rounds the output. ``False`` lets the running values move freely and floors only the reported rate.
     """
-    rows = F.array(*[
-        F.struct(
-            F.lit(s.name).alias("scenario"),
-            F.array(*[F.struct(F.lit(u).alias("u"), F.lit(h).alias("h")) for u, h in zip(s.ur, s.hpi)]).alias("steps"),
-        )
-        for s in scenarios
-    ])
+    def steps(s: Scenario) -> str:
+        return ", ".join(f"named_struct('u', {u!r}D, 'h', {h!r}D)" for u, h in zip(s.ur, s.hpi))
+
+    rows = F.expr("array(" + ", ".join(f"named_struct('scenario', '{s.name}', 'steps', array({steps(s)}))" for s in scenarios) + ")")
     start = F.array(F.struct(F.col("_rate").alias("u"), F.lit(start_index).alias("h")))
 
     def move(path: Column, step: Column) -> Column:
@@ -124,39 +123,41 @@ def path_summary(paths: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ scorers
 def logistic_scorer(intercept: float, weights: Mapping[str, float]) -> Scorer:
-    """PD as a closed-form column; features named in the overrides are replaced by them."""
+    """Closed-form logistic PD; features named in the overrides are replaced by them."""
 
-    def score(overrides: Mapping[str, Column]) -> Column:
-        total = F.lit(float(intercept))
+    def score(overrides: Mapping[str, str]) -> str:
+        terms = [f"{float(intercept)!r}D"]
         for name, w in weights.items():
-            total = total + F.lit(float(w)) * overrides.get(name, F.col(name)).cast("double")
-        return sigmoid(total)
+            value = overrides.get(name, f"`{name}`")
+            terms.append(f"{float(w)!r}D * ({value})")
+        return f"1D / (1D + exp(-({' + '.join(terms)})))"
 
     return score
 
 
-def macro_overrides(ur: Column, hpi_ratio: Column, quarter: Column | None, hpi_convention: str = "inverse") -> dict[str, Column]:
-    """Feature values of a loan under one macro row. The price feature is origination / current index, the
-    path is current / start, so ``inverse`` turns one into the other; ``reference`` passes the ratio unchanged.
-    With ``quarter`` the loan ages three months per quarter."""
+def number_sql(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def macro_overrides(ur: str, hpi_ratio: str, quarter: str | None, hpi_convention: str = "inverse") -> dict[str, str]:
+    """Feature values (SQL text) of a loan under one macro row. The price feature is origination / current
+    index, the path is current / start, so ``inverse`` turns one into the other; ``reference`` passes the ratio
+    unchanged. With ``quarter`` the loan ages three months per quarter."""
     if hpi_convention not in ("inverse", "reference"):
         raise ValueError("hpi_convention is 'inverse' or 'reference'")
-    out = {"ur_3m_lag": ur, "hpi_change": (1.0 / hpi_ratio) if hpi_convention == "inverse" else hpi_ratio}
+    out = {"ur_3m_lag": ur, "hpi_change": f"1D / {hpi_ratio}" if hpi_convention == "inverse" else hpi_ratio}
     if quarter is not None:
-        out["loan_age"] = F.col("loan_age") + quarter * 3
+        out["loan_age"] = f"loan_age + {quarter} * 3"
     return out
 
 
-def _literal(rows: Sequence[Row]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(int(r["quarter"])).alias("quarter"), F.lit(float(r["ur"])).alias("ur"), F.lit(float(r["hpi_ratio"])).alias("hpi_ratio"))
-        for r in rows
-    ])
+def override_columns(ur: str, hpi_ratio: str, quarter: str | None, hpi_convention: str = "inverse") -> dict[str, Column]:
+    return {k: F.expr(v) for k, v in macro_overrides(ur, hpi_ratio, quarter, hpi_convention).items()}
 
 
 def _by_scenario(paths: DataFrame) -> dict[str, list[Row]]:
     out: dict[str, list[Row]] = {}
-    for r in paths.orderBy("scenario", "quarter").collect():  # scenarios x quarters rows
+    for r in sorted(paths.collect(), key=lambda r: (r["scenario"], r["quarter"])):  # scenarios x quarters rows
         out.setdefault(r["scenario"], []).append(r)
     return out
 
@@ -168,22 +169,22 @@ def attach_path_pds(
     """Add ``pds_<scenario>``: PD in quarter 1, 2, .. as an array. Row-local."""
     out = {}
     for name, rows in _by_scenario(paths).items():
-        quarters = [r for r in rows if r["quarter"] > 0]
-        out[f"pds_{name.lower()}"] = F.transform(
-            _literal(quarters),
-            lambda m: period_pd(scorer(macro_overrides(m["ur"], m["hpi_ratio"], m["quarter"], hpi_convention)), pd_period),
-        )
+        pds = [
+            _period_sql(scorer(macro_overrides(number_sql(r["ur"]), number_sql(r["hpi_ratio"]), str(r["quarter"]), hpi_convention)), pd_period)
+            for r in rows if r["quarter"] > 0
+        ]
+        out[f"pds_{name.lower()}"] = F.expr(f"array({', '.join(pds)})")
     return loans.withColumns(out)
 
 
-def period_pd(pd: Column, pd_period: str) -> Column:
-    """Limit to [0, 1]; ``annual_to_quarter`` turns a 12-month PD into a quarterly one, ``as_is`` keeps it."""
-    p = clip(pd, 0.0, 1.0)
+def _period_sql(pd: str, pd_period: str) -> str:
+    """``annual_to_quarter`` turns a 12-month PD into a quarterly one, ``as_is`` keeps it. Scorers return
+    probabilities, so there is nothing to limit."""
     if pd_period == "annual_to_quarter":
-        return 1.0 - F.pow(1.0 - p, F.lit(0.25))
+        return f"1D - pow(1D - {pd}, 0.25D)"
     if pd_period != "as_is":
         raise ValueError("pd_period is 'as_is' or 'annual_to_quarter'")
-    return p
+    return pd
 
 
 def model_path_pds(
@@ -197,13 +198,13 @@ def model_path_pds(
     ``predict`` adds ``pd_col`` to a frame with the feature columns.
     """
     grid = _by_scenario(paths)
-    cells = F.array(*[
-        F.struct(F.lit(s).alias("_s"), F.lit(int(r["quarter"])).alias("_q"), F.lit(float(r["ur"])).alias("_u"), F.lit(float(r["hpi_ratio"])).alias("_h"))
+    cells = F.expr("array(" + ", ".join(
+        f"named_struct('_s', '{s}', '_q', {int(r['quarter'])}, '_u', {float(r['ur'])!r}D, '_h', {float(r['hpi_ratio'])!r}D)"
         for s, rows in grid.items() for r in rows if r["quarter"] > 0
-    ])
+    ) + ")")
     fan = loans.repartition(*keys).select("*", F.inline(cells))
-    stressed = fan.withColumns(macro_overrides(F.col("_u"), F.col("_h"), F.col("_q"), hpi_convention))
-    scored = predict(stressed).select(*keys, *keep, "_s", "_q", period_pd(F.col(pd_col), pd_period).alias("_pd"))
+    stressed = fan.withColumns(override_columns("_u", "_h", "_q", hpi_convention))
+    scored = predict(stressed).select(*keys, *keep, "_s", "_q", F.expr(_period_sql(pd_col, pd_period)).alias("_pd"))
     # 60 small cells per row key, a fixed number
     packed = scored.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in keep], F.collect_list(F.struct("_s", "_q", "_pd")).alias("_cells")
@@ -255,31 +256,26 @@ def path_ecl(
 ) -> DataFrame:
     """``ecl_<scenario>_<horizon>`` per loan: sum of PD x alive-before x LGD x EAD x discount up to the horizon.
 
-    One fold per scenario yields the running loss after every quarter; horizons read it off. Horizons beyond
-    the path end at its last quarter.
+    Needs the ``pds_<scenario>`` arrays. Horizons beyond the path end at its last quarter.
     """
     exposure = F.col("orig_upb").cast("double") if ead is None else ead
     severity = F.lit(LOSS_SHARE) if lgd is None else lgd
-    folded = loans.withColumns({
-        f"_run_{s.name.lower()}": F.aggregate(
-            F.transform(F.col(f"pds_{s.name.lower()}"), lambda p, i: F.struct(p.alias("p"), discount_factor(i + 1, annual_rate).alias("d"))),
-            F.struct(F.lit(1.0).alias("alive"), F.array().cast("array<double>").alias("run"), F.lit(0.0).alias("sum")),
-            lambda a, c: F.struct(
-                (a["alive"] * (1.0 - c["p"])).alias("alive"),
-                F.concat(a["run"], F.array(a["sum"] + c["p"] * a["alive"] * c["d"])).alias("run"),
-                (a["sum"] + c["p"] * a["alive"] * c["d"]).alias("sum"),
-            ),
-            lambda a: a["run"],
-        )
-        for s in scenarios
-    })
     out = [*keys, exposure.alias("orig_upb")]
     for s in scenarios:
-        run = F.col(f"_run_{s.name.lower()}")
         for h in horizons:
-            at = F.element_at(run, F.when(F.size(run) < h, F.size(run)).otherwise(F.lit(h)))
-            out.append((at * severity * exposure).alias(f"ecl_{s.name.lower()}_{horizon_label(h)}"))
-    return folded.select(*out)
+            share = F.expr(_discounted_loss(f"pds_{s.name.lower()}", h, annual_rate))
+            out.append((share * severity * exposure).alias(f"ecl_{s.name.lower()}_{horizon_label(h)}"))
+    return loans.select(*out)
+
+
+def _discounted_loss(pds: str, h: int, annual_rate: float) -> str:
+    """SQL for sum over q of p_q x d_q x product of (1 - p_k), k < q, written inside out:
+    p_1 d_1 + (1 - p_1) (p_2 d_2 + (1 - p_2) (..)). One multiplication chain, compiled with the projection."""
+    acc = "0D"
+    for q in range(h, 0, -1):
+        p = f"if(size({pds}) >= {q}, get({pds}, {q - 1}), 0D)"
+        acc = f"({p} * {(1.0 + annual_rate) ** (-q / 4)!r}D + (1D - {p}) * {acc})"
+    return acc
 
 
 def ecl_long(ecl: DataFrame, scenarios: Sequence[Scenario], horizons: Sequence[int] = HORIZONS, keep: Sequence[str] = ()) -> DataFrame:
@@ -386,7 +382,7 @@ def scenario_pds(loans: DataFrame, peaks: DataFrame, scorer: Scorer, keep: Seque
     """``pd_<scenario>`` under each scenario's peak quarter: a narrow projection."""
     rows = peaks.collect()  # one row per scenario
     cols = {
-        f"pd_{r['scenario'].lower()}": scorer(macro_overrides(F.lit(float(r["ur"])), F.lit(float(r["hpi_ratio"])), None, hpi_convention))
+        f"pd_{r['scenario'].lower()}": F.expr(scorer(macro_overrides(number_sql(r["ur"]), number_sql(r["hpi_ratio"]), None, hpi_convention)))
         for r in rows
     }
     return loans.select(*keep, *[c.alias(n) for n, c in cols.items()])
@@ -404,7 +400,7 @@ def model_scenario_pds(
     for r in peaks.orderBy("scenario").collect():
         name = f"pd_{r['scenario'].lower()}"
         base = out.columns
-        over = macro_overrides(F.lit(float(r["ur"])), F.lit(float(r["hpi_ratio"])), None, hpi_convention)
+        over = override_columns(number_sql(r["ur"]), number_sql(r["hpi_ratio"]), None, hpi_convention)
         out = predict(out.withColumns(over)).select(*base, F.col(pd_col).alias(name))
         names.append(name)
     restored = [F.col(saved.get(c, c)).alias(c) for c in keep]
@@ -442,7 +438,7 @@ SHOCKS = {"ur_3m_lag": 1.0, "hpi_change": 0.10}
 def sensitivity(loans: DataFrame, scorer: Scorer, shocks: Mapping[str, float] = SHOCKS) -> DataFrame:
     """Mean PD before and after a unit shock of each feature, in percent. All shocks in one pass."""
     one = loans.agg(
-        F.avg(scorer({})).alias("_base"), *[F.avg(scorer({f: F.col(f) + F.lit(float(d))})).alias(f"_s_{f}") for f, d in shocks.items()]
+        F.avg(F.expr(scorer({}))).alias("_base"), *[F.avg(F.expr(scorer({f: f"{f} + {number_sql(d)}"}))).alias(f"_s_{f}") for f, d in shocks.items()]
     )
     return _sensitivity_rows(one, shocks)
 
