@@ -165,8 +165,9 @@ SELECT loan_seq_num, report_date, """ + ", ".join(
 def spline_basis_rows(spark, sf):
     rows = base.pd_rows(spark, sf)
     knots = models.spline_knots(rows, ["credit_score"])["credit_score"]
-    return rows.select(
-        "loan_seq_num", day("report_date").alias("report_date"), *[rounded(b).alias(f"b{j}") for j, b in enumerate(models.spline_basis(F.col("credit_score"), knots))]
+    placed = rows.withColumn("u", models.spline_position(F.col("credit_score"), knots))
+    return placed.select(
+        "loan_seq_num", day("report_date").alias("report_date"), *[rounded(b).alias(f"b{j}") for j, b in enumerate(models.spline_basis(F.col("u"), len(knots) - 1))]
     )
 
 

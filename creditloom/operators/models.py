@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from math import comb, factorial
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -159,47 +160,28 @@ def spline_knots(df: DataFrame, columns: Sequence[str], n_knots: int = 5) -> dic
     return {c: [row[i] + (row[k + i] - row[i]) * j / (n_knots - 1) for j in range(n_knots)] for i, c in enumerate(columns)}
 
 
-def spline_basis(x: Column, knots: Sequence[float], degree: int = 3) -> list[Column]:
-    """B-spline basis as column expressions (Cox-de Boor), without its last function, constant beyond the knots.
-
-    Uniform knots make every basis function the same cardinal spline at another offset, so the value is a
-    polynomial of the position inside a knot interval.
-    """
+def spline_position(x: Column, knots: Sequence[float]) -> Column:
+    """Position of x in knot intervals, 0 to number of intervals, limited at the ends (constant extrapolation)."""
     lo, hi, parts = knots[0], knots[-1], len(knots) - 1
     if not hi > lo:
-        return [F.when(x.isNotNull(), F.lit(0.0)) for _ in range(parts + degree - 1)]
-    step = (hi - lo) / parts
-    u = clip((x - F.lit(lo)) / F.lit(step), 0.0, float(parts))
-    cell = F.when(u >= parts, F.lit(parts - 1)).otherwise(F.floor(u)).cast("int")
-    t = u - cell
-    pieces = _cardinal_pieces(degree)
-    out = []
-    for j in range(parts + degree - 1):
-        # function j is non-zero on the cells j - degree .. j
-        value = F.when(u.isNotNull(), F.lit(0.0))
-        for c in range(max(0, j - degree), min(parts - 1, j) + 1):
-            coeffs = pieces[degree - (j - c)]
-            poly = F.lit(coeffs[-1])
-            for a in reversed(coeffs[:-1]):
-                poly = poly * t + F.lit(a)
-            value = F.when(cell == c, poly).otherwise(value)
-        out.append(value)
-    return out
+        return F.when(x.isNotNull(), F.lit(0.0))
+    return clip((x - F.lit(lo)) * F.lit(parts / (hi - lo)), 0.0, float(parts))
 
 
-def _cardinal_pieces(degree: int) -> list[list[float]]:
-    """Coefficients (constant first) in t of the cardinal B-spline on its ``degree`` + 1 unit intervals, from the left."""
-    from math import comb, factorial
+def spline_basis(u: Column, parts: int, degree: int = 3) -> list[Column]:
+    """B-spline basis at position ``u``, without its last function.
 
-    rising = []
-    for i in range(degree + 1):  # interval i of the support: s = i + t
-        total = [0.0] * (degree + 1)
-        for k in range(i + 1):
-            sign = (-1) ** k * comb(degree + 1, k)
-            for m in range(degree + 1):  # (s - k)^degree = (t + (i - k))^degree
-                total[m] += sign * comb(degree, m) * float(i - k) ** (degree - m)
-        rising.append([v / factorial(degree) for v in total])
-    return rising
+    With even knots all functions are one cardinal spline at different offsets, a short sum of truncated powers:
+    sum over k of (-1)^k C(degree + 1, k) (u - offset - k)+^degree / degree!.
+    """
+    out = []
+    for j in range(parts + degree - 1):
+        total = F.lit(0.0)
+        for k in range(degree + 2):
+            v = u - F.lit(float(j - degree + k))
+            total = total + F.when(v > 0, F.pow(v, F.lit(float(degree)))).otherwise(0.0) * F.lit((-1.0) ** k * comb(degree + 1, k) / factorial(degree))
+        out.append(F.when(u.isNotNull(), total))
+    return out
 
 
 @dataclass
@@ -235,13 +217,11 @@ class LossModels:
 
 
 def _with_basis(df: DataFrame, knots: dict[str, list[float]]) -> DataFrame:
-    names, cols = [], {}
-    for c, ks in knots.items():
-        for j, b in enumerate(spline_basis(F.col(c), ks)):
-            cols[f"_b_{c}_{j}"] = b
-            names.append(f"_b_{c}_{j}")
-    out = VectorAssembler(inputCols=names, outputCol="_basis").transform(df.withColumns(cols))
-    return out.drop(*names)
+    """Add the basis vector ``_basis``; positions are columns of their own, so that no term repeats their expression."""
+    placed = df.withColumns({f"_u_{c}": spline_position(F.col(c), ks) for c, ks in knots.items()})
+    cols = {f"_b_{c}_{j}": b for c, ks in knots.items() for j, b in enumerate(spline_basis(F.col(f"_u_{c}"), len(ks) - 1))}
+    out = VectorAssembler(inputCols=list(cols), outputCol="_basis").transform(placed.withColumns(cols))
+    return out.drop(*cols, *[f"_u_{c}" for c in knots])
 
 
 def fit_fractional(df: DataFrame, vector: str = "features", target: str = "lgd"):
