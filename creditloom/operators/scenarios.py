@@ -209,13 +209,12 @@ def model_path_pds(
     packed = scored.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in keep], F.collect_list(F.struct("_s", "_q", "_pd")).alias("_cells")
     )
-    arrays = {
-        f"pds_{s.lower()}": F.transform(
-            F.array_sort(F.transform(F.filter("_cells", lambda c, s=s: c["_s"] == s), lambda c: F.struct(c["_q"].alias("q"), c["_pd"].alias("p")))),
-            lambda c: c["p"],
-        )
-        for s in grid
-    }
+
+    def series(scenario: str) -> Column:
+        mine = F.filter("_cells", lambda c: c["_s"] == F.lit(scenario))
+        return F.transform(F.array_sort(F.transform(mine, lambda c: F.struct(c["_q"].alias("q"), c["_pd"].alias("p")))), lambda c: c["p"])
+
+    arrays = {f"pds_{s.lower()}": series(s) for s in grid}
     return packed.select(*keys, *keep, *[v.alias(k) for k, v in arrays.items()])
 
 
