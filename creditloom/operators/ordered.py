@@ -23,9 +23,15 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import right_closed_bin
 
-# Limit tables are broadcast: MAX_GROUPS x BUCKETS doubles = 20 MB at the most. More groups raise an error.
-MAX_GROUPS = 10_000
-BUCKETS = 256
+# Limit tables are broadcast: MAX_GROUPS x MAX_BUCKETS doubles = 40 MB at the most. More groups raise an error.
+MAX_GROUPS = 5_000
+MAX_BUCKETS = 1_024
+
+
+def order_buckets(df: DataFrame) -> int:
+    """Buckets per group: as many as shuffle partitions, between 32 and the maximum, so a cluster gets enough tasks."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(32, min(MAX_BUCKETS, wanted))
 
 
 def pinned(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -44,7 +50,7 @@ def tally(df: DataFrame, by: Sequence[str], key: str, sums: Mapping[str, Column]
 
 
 def running_totals(
-    tallied: DataFrame, by: Sequence[str], key: str, sums: Sequence[str], buckets: int = BUCKETS
+    tallied: DataFrame, by: Sequence[str], key: str, sums: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller keys) and ``<s>_total`` for every column in ``sums``.
 
@@ -56,6 +62,7 @@ def running_totals(
     else:
         # One group, made from the key itself so that the joins below stay equi-joins.
         base, group = tallied.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(1))), ["_g"]
+    buckets = buckets or order_buckets(tallied)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     base = pinned(base, sums)
     limits = base.groupBy(*group).agg(

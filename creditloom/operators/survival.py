@@ -337,7 +337,7 @@ def concordance_index(df: DataFrame, risk: str, by: Sequence[str] = ()) -> DataF
     )
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*group, "_block").schema.fields)
 
-    def block_rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ev, ce = np.zeros((BLOCK, MAX_AGE + 1)), np.zeros((BLOCK, MAX_AGE + 1))
         at = (pdf["_pos"].to_numpy(), pdf["_d"].to_numpy())
         np.add.at(ev, at, pdf["ev"].to_numpy())
