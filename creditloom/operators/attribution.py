@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import clip, code_label, percentage_points, right_closed_bin, sigmoid
-from creditloom.operators.ordered import even_probs, exact_quantiles
+from creditloom.operators.evidence import feature_tally
+from creditloom.operators.ordered import even_probs, exact_quantiles, quantiles_of_tally
 from creditloom.operators.reports import FEATURE_LABELS
 from creditloom.session import fresh_path
 
@@ -238,14 +239,15 @@ def segment_report(
 
 def percentile_scale(df: DataFrame, columns: Sequence[str], lo: int = 2, hi: int = 98) -> DataFrame:
     """Add ``<c>_scaled``: position between the 2nd and 98th percentile, limited to [0, 1]."""
-    out = df
+    tallied = feature_tally(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, [], {"n": F.lit(1)})
+    # Two numbers per column come back; chaining a join per column would read the input again for each of them.
+    rows = quantiles_of_tally(tallied, ["feature"], "value", "n", [(lo, 100), (hi, 100)]).collect()
+    cuts = {r["feature"]: r["edges"] for r in rows}
+    scaled = {}
     for c in columns:
-        keyed = out.withColumn("_g", F.coalesce(F.pmod(F.xxhash64(c), F.lit(1)), F.lit(0).cast("long")))
-        cut = exact_quantiles(keyed, ["_g"], c, [(lo, 100), (hi, 100)], "_cut").select("_g", "_cut")
-        width = F.col("_cut")[1] - F.col("_cut")[0]
-        scaled = (F.col(c) - F.col("_cut")[0]) / F.when(width < 1e-9, 1e-9).otherwise(width)
-        out = keyed.join(F.broadcast(cut), "_g", "left").withColumn(f"{c}_scaled", clip(scaled, 0.0, 1.0)).drop("_g", "_cut")
-    return out
+        low, high = cuts.get(c, (0.0, 0.0))
+        scaled[f"{c}_scaled"] = clip((F.col(c) - F.lit(low)) / F.lit(max(high - low, 1e-9)), 0.0, 1.0)
+    return df.withColumns(scaled)
 
 
 def dependence_table(df: DataFrame, feature: str, interaction: str, keep: Sequence[str] = ()) -> DataFrame:
