@@ -57,6 +57,18 @@ def words_of(texts: pa.Array) -> Words:
     return Words(coded.indices.to_numpy().astype(np.int64), np.diff(seen[ends]).astype(np.int64), coded.dictionary)
 
 
+def in_slices(texts: pa.Array, work, limit: int = 24 << 20) -> pa.Array:
+    """``work`` over consecutive slices of at most ``limit`` bytes of text (one text at least), put together again."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    done, out = 0, []
+    while done < len(texts):
+        base = ends[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        out.append(work(texts.slice(done, upto - done)))
+        done = upto
+    return pa.concat_arrays(out) if out else work(texts)
+
+
 def per_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over consecutive runs of ``counts`` entries; 0 for an empty run."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)]) if values.dtype.kind != "f" else None

@@ -58,7 +58,7 @@ def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     # the first part of a text has no space before it
     coded = pc.if_else(pa.array(first), values, pc.binary_join_element_wise(" ", values, "")).dictionary_encode()
     codes, distinct = coded.indices.to_numpy(), coded.dictionary
-    ids, starts, lengths = _encode_parts(distinct, path)
+    ids, starts, lengths = encode_parts(distinct, path)
     flat = ids[gather(codes, starts, lengths)] if len(codes) else ids[:0]
     ends = np.cumsum(np.concatenate([[0], lengths[codes]])) if len(codes) else np.zeros(1, np.int64)
     counts[even] = np.diff(ends[np.concatenate([[0], np.cumsum(n_parts)])])
@@ -78,7 +78,7 @@ def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def _encode_parts(parts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode_parts(parts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of each part. Parts with a space in front can follow each other in one string; the others go one by one."""
     size = pc.binary_length(parts).to_numpy().astype(np.int64)
     spaced = pc.starts_with(parts, " ").to_numpy(zero_copy_only=False) if len(parts) else np.zeros(0, bool)
