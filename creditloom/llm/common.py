@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,15 +58,19 @@ def words_of(texts: pa.Array) -> Words:
     return Words(coded.indices.to_numpy().astype(np.int64), np.diff(seen[ends]).astype(np.int64), coded.dictionary)
 
 
-def in_slices(texts: pa.Array, work, limit: int = 24 << 20) -> pa.Array:
-    """``work`` over consecutive slices of at most ``limit`` bytes of text (one text at least), put together again."""
+def slices(texts: pa.Array, limit: int = 12 << 20) -> Iterator[slice]:
+    """Consecutive row ranges with at most ``limit`` bytes of text each, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
-    done, out = 0, []
+    done = 0
     while done < len(texts):
-        base = ends[done - 1] if done else 0
-        upto = max(done + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        out.append(work(texts.slice(done, upto - done)))
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + limit, side="right")))
+        yield slice(done, upto)
         done = upto
+
+
+def in_slices(texts: pa.Array, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``work`` over the slices of a batch, put together again."""
+    out = [work(texts[part]) for part in slices(texts)]
     return pa.concat_arrays(out) if out else work(texts)
 
 

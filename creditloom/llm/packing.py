@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import gather, stored
+from creditloom.llm.common import gather, slices, stored
 
 END = 0
 #: Texts where a space touches other white space are tokenised whole; in all others every space starts a token.
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: str = "doc
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = 0
-        for batch in batches:
+        for batch in (whole.slice(part.start, part.stop - part.start) for whole in batches for part in slices(whole.column(1))):
             docs_ids, texts, task = batch.column(0), batch.column(1), batch.column(2)
             ids, counts = encode_batch(texts, vocabulary)
             with_end = counts + 1
