@@ -37,12 +37,23 @@ def shapes(vocabulary: pa.Array) -> pa.Array:
 
 
 def presence(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the distinct bare words of each text, one text after the other, and how many each has."""
+    """Slots of the distinct bare words of each text and of their first four and five letters, and how many each text has.
+
+    Beginnings stand for words that carry one stem under many endings.
+    """
     words = words_of(texts)
-    held = slots(bare(words.vocabulary).to_pylist(), bits)
-    key = pd.unique((words.rows << bits) + held[words.codes]) if len(held) else np.zeros(0, dtype=np.int64)
-    rows = key >> bits
-    return key & ((1 << bits) - 1), np.bincount(rows, minlength=len(texts)).astype(np.int64)
+    core = bare(words.vocabulary)
+    keys = []
+    for mark, length in (("w", None), ("4", 4), ("5", 5)):
+        if not len(core):
+            break
+        longer = pc.greater(pc.utf8_length(core), length or 0).to_numpy(zero_copy_only=False)
+        cut = core if length is None else pc.utf8_slice_codeunits(core, 0, length)
+        held = slots([mark + x for x in cut.to_pylist()], bits)
+        some = longer[words.codes]
+        keys.append((words.rows[some] << bits) + held[words.codes[some]])
+    key = np.sort(pd.unique(np.concatenate(keys))) if keys else np.zeros(0, dtype=np.int64)
+    return key & ((1 << bits) - 1), np.bincount(key >> bits, minlength=len(texts)).astype(np.int64)
 
 
 def bounded_sample(docs: DataFrame, key: list[str], n_rows: int) -> DataFrame:

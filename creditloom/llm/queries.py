@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from creditloom.llm import fertility, packing, toxicity, weaklabel
+from creditloom.llm import fertility, packing, pieces, toxicity, weaklabel
 
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = pieces.tokenise(docs, PIECES)
+    return rows.select("doc_id", "ids", "score", "n_pieces", "n_byte_pieces", F.length("decoded").alias("decoded_chars"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"), BYTES, PIECES)
