@@ -94,41 +94,41 @@ def gather(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
 
 
+def with_minimum(pairs: DataFrame, key: str, value: str, low: str = "low", salts: int = 32) -> DataFrame:
+    """``pairs`` with the smallest ``value`` of each ``key`` as column ``low``. A key with many rows is spread by a salt of the value:
+    minima per salt, then over the few salts, then handed back to each (key, salt)."""
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
+    part = salted.groupBy(key, "_salt").agg(F.min(value).alias(low))
+    least = part.groupBy(key).agg(F.min(low).alias(low))
+    return salted.join(part.select(key, "_salt").join(least, key), [key, "_salt"]).drop("_salt")
+
+
 def components(vertices: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Smallest id reachable from each vertex. ``vertices(id)``, ``links(a, b)`` of longs -> ``(id, component_id)``.
+    """Smallest id reachable from each vertex. ``vertices(id)``, ``links(a, b)`` of one ordered type -> ``(id, component_id)``.
 
     Large-star and small-star steps in turn, each an aggregate and a join on ids, until a pair of steps changes nothing. Links
-    are rewritten to the shared folder after every pair of steps. A vertex that many links name (a star of millions) is
-    pre-aggregated to its minimum; its links are split by a salt of the far end when the minimum is handed back.
+    are rewritten to the shared folder after every pair of steps. A vertex that many links name is spread by a salt of the far end.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     for _ in range(rounds):
-        links = stored(_small_star(_large_star(links)), "links")
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
+        links = stored(_small_star(_large_star(links)), "links")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.groupBy("a").agg(F.min("b").alias("root"))
     return vertices.join(roots, vertices["id"] == roots["a"], "left").select("id", F.coalesce("root", "id").alias("component_id"))
 
 
-def _linked_to_minimum(pairs: DataFrame) -> DataFrame:
-    """``pairs(u, v)`` -> ``(u, v, low)``, low the smallest of u and its v. A u with many pairs is split by a salt of v."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(32)))
-    part = salted.groupBy("u", "salt").agg(F.min("v").alias("low"))
-    low = part.groupBy("u").agg(F.least(F.min("low"), F.col("u")).alias("low"))
-    return salted.join(part.select("u", "salt").join(low, "u"), ["u", "salt"]).select("u", "v", "low")
-
-
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return _linked_to_minimum(both).where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    low = with_minimum(both, "u", "v").select("u", "v", F.least("low", "u").alias("low"))
+    return low.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = _linked_to_minimum(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    ends = F.explode(F.array(F.col("u"), F.col("v")))
-    return down.select("low", ends.alias("a")).where("a <> low").select("a", F.col("low").alias("b")).distinct()
+    low = with_minimum(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "u", "v")
+    return low.select("low", F.explode(F.array("u", "v")).alias("a")).where("a <> low").select("a", F.col("low").alias("b")).distinct()
