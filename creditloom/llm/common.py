@@ -94,6 +94,12 @@ def gather(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 32) -> DataFrame:
+    """Left join of ``rows`` with a ``table`` that has one row for each ``key``. Rows of one key are spread over ``salts`` parts by ``spread``."""
+    held = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(held, [key, "_salt"], "left").drop("_salt")
+
+
 def with_minimum(pairs: DataFrame, key: str, value: str, low: str = "low", salts: int = 32) -> DataFrame:
     """``pairs`` with the smallest ``value`` of each ``key`` as column ``low``. A key with many rows is spread by a salt of the value:
     minima per salt, then over the few salts, then handed back to each (key, salt)."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import fertility, packing, pieces, probminhash, toxicity, warc, weaklabel
+from creditloom.llm import fertility, forest, packing, pieces, probminhash, toxicity, warc, weaklabel
 
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,6 +48,11 @@ def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
