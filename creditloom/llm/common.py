@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from creditloom.session import fresh_path
@@ -100,15 +101,33 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(held, [key, "_salt"], "left").drop("_salt")
 
 
-def with_minimum(pairs: DataFrame, key: str, value: str, low: str = "low", salts: int = 32) -> DataFrame:
-    """``pairs`` with the smallest ``value`` of each ``key`` as column ``low``. A key with many rows is spread by a salt of the value:
-    minima per salt, then over the few salts, then handed back to each (key, salt)."""
+def with_minimum(pairs: DataFrame, key: str, value: str, low: str = "low", salts: int = 32, least_rows: int = 1) -> DataFrame:
+    """``pairs`` with the smallest ``value`` of each ``key`` as column ``low``; keys of fewer than ``least_rows`` rows go. A key with many rows
+    is spread by a salt of the value: minima per salt, then over the few salts, then handed back to each (key, salt)."""
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
-    part = salted.groupBy(key, "_salt").agg(F.min(value).alias(low))
-    least = part.groupBy(key).agg(F.min(low).alias(low))
+    part = salted.groupBy(key, "_salt").agg(F.min(value).alias(low), F.count("*").alias("_n"))
+    least = part.groupBy(key).agg(F.min(low).alias(low), F.sum("_n").alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
     return salted.join(part.select(key, "_salt").join(least, key), [key, "_salt"]).drop("_salt")
 
 
+def running_start(rows: DataFrame, order: list[str], weight: str, start: str = "start") -> DataFrame:
+    """``rows`` with the sum of ``weight`` over all rows before, in the order of the columns ``order`` (together unique; nulls last).
+
+    Rows are dealt out by range and summed within each part; only one total for each part goes to the driver.
+    """
+    spark = rows.sparkSession
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    dealt = stored(rows.repartitionByRange(partitions_of(spark), *keys).withColumn("_part", F.spark_partition_id()), "dealt")
+    before, total = [], 0
+    for part, own in sorted(tuple(r) for r in dealt.groupBy("_part").agg(F.sum(weight)).collect()):
+        before.append((part, total))
+        total += own
+    window = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = spark.createDataFrame(before, "_part int, _before long")
+    summed = dealt.withColumn("_own", F.coalesce(F.sum(weight).over(window), F.lit(0)))
+    return summed.join(F.broadcast(starts), "_part").withColumn(start, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def components(vertices: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each vertex. ``vertices(id)``, ``links(a, b)`` of one ordered type -> ``(id, component_id)``.
 

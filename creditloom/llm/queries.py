@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import fertility, forest, packing, pieces, probminhash, toxicity, warc, weaklabel
+from creditloom.llm import fertility, forest, linerun, packing, pieces, probminhash, toxicity, warc, weaklabel
 
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,6 +38,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"), BYTES, PIECES)
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linerun.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc.doc_id", "n_lines", "n_deleted", "doc.text")
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), BYTES))
