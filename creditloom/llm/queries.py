@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import fertility, forest, linerun, packing, pieces, probminhash, toxicity, warc, weaklabel
+from creditloom.llm import fertility, forest, linerun, packing, pieces, ppm, probminhash, toxicity, warc, weaklabel
 
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -82,3 +82,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN low < page_id THEN 'rev
        CASE WHEN low < page_id THEN low END AS refers_to
 FROM o
 """
+
+
+@query
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.language_model_scores(table(spark, sf_dir, "documents"))
