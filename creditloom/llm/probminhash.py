@@ -243,3 +243,17 @@ def _decided(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     out = rows.drop("bands").withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(named, ["cls", "_s"], "left").drop("_s")
     out = out.withColumn("class_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     return out.withColumn("kept", F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates, the one with the smallest doc_id (nulls last, then the table's order). Texts without words all stay."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("id"), whole.alias("doc")), "documents")
+    source = held.select(F.col("rid").alias("doc_id"), F.col("doc")[text].alias("text"))
+    sketched = stored(sketches(source), "sketches")
+    grouped = duplicate_classes(source, sketched, similarity)
+    place = F.struct(F.col("id").isNull(), "id", "rid")
+    rows = held.select("rid", "id").join(sketched.where("cls IS NOT NULL").select(F.col("doc_id").alias("rid"), "cls"), "rid")
+    lowest = rows.groupBy("cls").agg(F.min(place).alias("low")).join(grouped, "cls", "left").groupBy(F.coalesce("component", "cls").alias("g")).agg(F.min("low").alias("low"))
+    gone = stored(rows.select("rid").join(lowest.select(F.col("low.rid").alias("rid")), "rid", "left_anti"), "gone")
+    return held.join(gone, "rid", "left_anti").select("doc.*")
