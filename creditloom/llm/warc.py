@@ -101,7 +101,7 @@ class Found:
 
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     """The record at ``at``: head, block and end; or what is wrong with it."""
-    if data[at : at + 7] != b"WARC/1.":
+    if data[at : at + 7] != b"WARC/1." or not data[at + 7 : at + 8].isdigit() or data[at + 8 : at + 10] != b"\r\n":
         return "no version line"
     body = data.find(CRLF2, at, at + (1 << 20))
     if body < 0:
