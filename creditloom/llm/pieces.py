@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -10,15 +11,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import gather, in_slices, per_row
+from creditloom.llm.common import gather, per_row, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CHUNK = 1 << 20
+#: Bytes of text that are encoded at once, and bytes of distinct stretches that are solved at once.
+SLICE, CHUNK = 4 << 20, 1 << 19
 
 
 @dataclass
@@ -257,44 +258,26 @@ def decode(ids: np.ndarray, counts: np.ndarray, held: Pieces) -> pa.Array:
         return pa.array([x.decode(errors="replace") for x in raw.to_pylist()], pa.string())
 
 
-def encoded(text: str | Column, model: Broadcast) -> Column:
-    """Struct of a text's ids and score. ``model`` is the broadcast of :func:`load`, whose size the vocabulary file bounds."""
-
-    @F.arrow_udf("struct<ids:array<int>,score:double>")
-    def run(texts: pa.Array) -> pa.Array:
-        def work(part: pa.Array) -> pa.Array:
-            ids, counts, score = encode(part, model.value)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32))), pa.array(score)], names=["ids", "score"])
-
-        return in_slices(texts, work)
-
-    return run(text)
-
-
-def decoded(ids: str | Column, model: Broadcast) -> Column:
-    """Text of an array of ids; null for a null array."""
-
-    @F.arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
-        full = pc.fill_null(lists, pa.scalar([], lists.type))
-        counts = pc.list_value_length(full).to_numpy(zero_copy_only=False).astype(np.int64)
-        out = decode(pc.list_flatten(full).to_numpy(zero_copy_only=False).astype(np.int64), counts, model.value)
-        return pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), out)
-
-    return run(ids)
+ENCODED = "doc_id long, ids array<int>, score double, n_pieces long, n_byte_pieces long, decoded string"
 
 
 def tokenise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids, score, n_pieces, n_byte_pieces, decoded`` for every row: the best piece ids of the whole text and what they decode to.
 
     A null or empty text has no pieces and decodes to the empty text. Equal texts get equal ids; repeated rows stay. A text comes back from its ids as it was, except that a marker sign
-    in the text becomes a space. An empty table gives an empty result. Only the two named columns are read.
+    in the text becomes a space. An empty table gives an empty result. Only the two named columns are read. The trie is
+    built once and broadcast; the vocabulary file bounds its size.
     """
-    held = load(path)
-    model = docs.sparkSession.sparkContext.broadcast(held)
-    low, high = int(held.byte_ids.min()), int(held.byte_ids.max())
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), encoded(F.col(text), model).alias("_e")).select("doc_id", "_e.ids", "_e.score")
-    rows = rows.withColumn("decoded", decoded("ids", model))
-    is_byte = F.size(F.filter("ids", lambda i: i.between(low, high))).cast("long")
-    return rows.select("doc_id", "ids", "score", F.size("ids").cast("long").alias("n_pieces"), is_byte.alias("n_byte_pieces"), "decoded")
+    model = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model.value
+        for batch in batches:
+            for part in slices(batch.column(1), SLICE):
+                rows = batch.slice(part.start, part.stop - part.start)
+                ids, counts, score = encode(rows.column(1), held)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids.astype(np.int32)))
+                columns = [rows.column(0), lists, pa.array(score), pa.array(counts), pa.array(per_row(held.is_byte[ids].astype(np.int64), counts)), decode(ids, counts, held)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "score", "n_pieces", "n_byte_pieces", "decoded"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENCODED)
