@@ -20,9 +20,6 @@ ROWS = 4
 #: Bits of a shingle's number; its count within the text stands above them.
 SHINGLE_BITS = 44
 SALTS = 32
-#: A bucket with at most so many pairs between different groups has them all compared; a larger one is first split by the other bands.
-BUCKET_PAIRS = 4096
-DEPTH = 3
 
 _ONE, _TWO, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,9 +177,8 @@ def duplicate_classes(docs: DataFrame, sketched: DataFrame, similarity: float =
     """``cls, component`` for every class of equal shingles that is linked to another one.
 
     Classes that share a band's key meet in a bucket. First every member is compared with the bucket's smallest, which settles
-    groups of near copies of any size with one comparison each. Only buckets whose members are then in different groups have
-    further pairs, between groups alone; if those are many, the bucket is split by all other bands first, where similar
-    texts meet again almost surely and others rarely.
+    groups of near copies of any size with one comparison each. Members of buckets that then hold several groups are compared
+    across groups if they share a rare shingle, which any two similar texts do.
     """
     classes = stored(sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
     members = classes.select("cls", F.explode("bands").alias("bucket"))
@@ -195,28 +191,61 @@ def duplicate_classes(docs: DataFrame, sketched: DataFrame, similarity: float =
     bands = classes.join(met, "cls", "left_semi").select("cls", "bands")
     tested = stored(_with_lowest(members), "pairs")
     links = stored(verified(tested, held, similarity), "links")
-    for depth in range(DEPTH + 1):
-        grouped = components(met.select(F.col("cls").alias("id")), links)
-        grouped = stored(grouped.select(F.col("id").alias("cls"), F.col("component_id").alias("component")), "groups")
-        parts = members.join(grouped, "cls").groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("same"), F.count("*").alias("k")).where("k > 1")
-        open_ = stored(open_.select("bucket", F.expr("(n * n - same) div 2").alias("cross")), "open")
-        if open_.isEmpty():
-            break
-        few = open_.where(F.col("cross") <= BUCKET_PAIRS) if depth < DEPTH else open_
-        rows = members.join(few, "bucket", "left_semi").join(grouped, "cls")
-        x, y = (rows.select("bucket", F.col("cls").alias(c), F.col("component").alias(f"g_{c}")) for c in ("a", "b"))
-        pairs = x.join(y, "bucket").where("a < b AND g_a <> g_b").select("a", "b").distinct()
-        if depth < DEPTH:
-            many = members.join(open_.where(F.col("cross") > BUCKET_PAIRS), "bucket", "left_semi").join(bands, "cls").select("cls", "bucket", F.explode("bands").alias("band"))
-            members = stored(many.where("band <> bucket").select("cls", F.xxhash64("bucket", "band").alias("bucket")).distinct(), "members")
-            pairs = pairs.union(_with_lowest(members))
-        pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        links = stored(links.union(verified(pairs, held, similarity)), "links")
-    else:
-        grouped = components(met.select(F.col("cls").alias("id")), links).select(F.col("id").alias("cls"), F.col("component_id").alias("component"))
-    return grouped
+    grouped = stored(_grouped(met, links), "groups")
+    parts = members.join(grouped, "cls").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = stored(members.join(parts.where("low <> high").select("bucket"), "bucket", "left_semi").select("cls").distinct().join(grouped, "cls"), "open")
+    if open_.isEmpty():
+        return grouped
+    pairs = _sharing_rare(held.join(open_, "cls", "left_semi"), open_, similarity)
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    return _grouped(met, links.union(verified(pairs, held, similarity)))
+
+
+def _grouped(met: DataFrame, links: DataFrame) -> DataFrame:
+    return components(met.select(F.col("cls").alias("id")), links).select(F.col("id").alias("cls"), F.col("component_id").alias("component"))
+
+
+def _sharing_rare(held: DataFrame, grouped: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of classes of different groups that share one of their rare shingles.
+
+    A probability Jaccard of s needs common shingles with a share s of either text's counts. Put all shingles in one order; then the first common one lies,
+    in both texts, within the first shingles that have more than a share 1 - s. So comparing texts that share one of those loses no pair, whatever the order. Rare
+    ones come first: a passage that many texts share brings none of them together. How often a shingle occurs is taken from a table of
+    2^18 counters, which only sets the order.
+    """
+    spark, slots, mask = held.sparkSession, 1 << 18, np.uint64((1 << SHINGLE_BITS) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, dtype=np.int64)
+        for batch in batches:
+            for items in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(items, dtype="<u8") & mask) % np.uint64(slots), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    often = np.zeros(slots, dtype=np.int64)
+    counted = held.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    order = spark.sparkContext.broadcast(often)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens = [], []
+            for k, raw in enumerate(batch.column(1).to_pylist()):
+                items = np.frombuffer(raw, dtype="<u8")
+                number, weight = items & mask, (items >> np.uint64(SHINGLE_BITS)).astype(float)
+                at = np.lexsort((number, order.value[(number % np.uint64(slots)).astype(np.int64)]))
+                n = int(np.searchsorted(np.cumsum(weight[at]), (1 - similarity) * weight.sum() + 1e-9, side="right")) + 1
+                tokens.append(number[at[:n]].astype(np.int64))
+                rows.append(np.full(len(tokens[-1]), k))
+            index = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], names=["cls", "token"])
+
+    rows = held.select("cls", "items").mapInArrow(rare, "cls binary, token long").join(grouped, "cls")
+    mixed_ = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    rows = stored(rows.join(mixed_, "token", "left_semi"), "rare")
+    x, y = (rows.select("token", F.col("cls").alias(c), F.col("component").alias(f"g_{c}")) for c in ("a", "b"))
+    return x.join(y, "token").where("a < b AND g_a <> g_b").select("a", "b").distinct()
 
 
 def _with_lowest(members: DataFrame) -> DataFrame:
