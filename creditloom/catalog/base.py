@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.operators.joins import attach_price_change, attach_rate_lag, join_panel
+from creditloom.operators.joins import join_panel
 from creditloom.operators.labels import default_rows, loss_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,17 +69,23 @@ def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rounded_mean(per_unit: int):
+    """Mean balance, rounded half up to 1 / ``per_unit``. Cents are summed as integers, so no mean falls on either side of a tie by chance."""
+    cents, n = F.sum(F.round(F.col("orig_upb") * 100).cast("long")), F.count("orig_upb")
+    return F.try_divide(F.floor(F.try_divide((2 * cents * per_unit + 100 * n).cast("decimal(38,0)"), (200 * n).cast("decimal(38,0)"))).cast("double"), F.lit(float(per_unit)))
+
+
 def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loans(spark, sf_dir).groupBy(
         "zip3", F.year("orig_date").alias("year"), F.quarter("orig_date").alias("quarter")
-    ).agg(F.round(F.avg("orig_upb"), 2).alias("hpi_index"))
+    ).agg(rounded_mean(100).alias("hpi_index"))
 
 
 def unemployment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         loans(spark, sf_dir).filter(F.month("orig_date") % 5 != 0)
         .groupBy(F.col("orig_date").alias("date"))
-        .agg(F.round(F.avg("orig_upb") / 10000, 4).alias("unemployment_rate"))
+        .agg((rounded_mean(1) / 10000).alias("unemployment_rate"))
     )
 
 
@@ -104,11 +110,6 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def featured_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = attach_price_change(panel(spark, sf_dir), price_index(spark, sf_dir))
-    return attach_rate_lag(p, unemployment(spark, sf_dir))
-
-
 def pd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled default table with the arithmetic split used by the oracles."""
     return default_rows(panel(spark, sf_dir)).withColumn("split", arithmetic_split())
@@ -140,10 +141,10 @@ SELECT l_orderkey AS loan_seq_num, CAST(date_trunc('month', l_shipdate) AS DATE)
        CASE WHEN max(l_linenumber) % 3 <> 0 THEN max(l_extendedprice) END AS zero_balance_removal_upb
 FROM lineitem GROUP BY 1, 2"""),
     "fx_hpi": ("fx_loans", """
-SELECT zip3, year(orig_date) AS year, quarter(orig_date) AS quarter, round(avg(orig_upb), 2) AS hpi_index
+SELECT zip3, year(orig_date) AS year, quarter(orig_date) AS quarter, CAST((2 * sum(CAST(round(orig_upb * 100) AS BIGINT)) * 100 + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 100 AS hpi_index
 FROM fx_loans GROUP BY 1, 2, 3"""),
     "fx_ur": ("fx_loans", """
-SELECT orig_date AS date, round(avg(orig_upb) / 10000, 4) AS unemployment_rate
+SELECT orig_date AS date, CAST((2 * sum(CAST(round(orig_upb * 100) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 10000 AS unemployment_rate
 FROM fx_loans WHERE month(orig_date) % 5 <> 0 GROUP BY 1"""),
     "fx_scores": ("", """
 SELECT l_orderkey AS loan_seq_num, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS default_12m,

@@ -1,4 +1,4 @@
-"""Queries: encoders, fitted models, calibration and attribution. Tree counts are small; sizes are parameters."""
+"""Queries: encoders, fitted models, calibration and attribution."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from creditloom.operators import attribution, calibration, encoding, labels, met
 from creditloom.operators.scenarios import PATH_SCENARIOS, PEAK_SCENARIOS
 
 PD_COLS = ["credit_score", "orig_upb", "loan_age", "current_upb", "delinquency_status", "occupancy_status"]
-SMALL = {"maxIter": 5, "maxDepth": 4, "minInstancesPerNode": 5}
+#: Fewer rounds than the 500 of the operator, of full depth: a query fits its model anew each time it runs.
+SMALL = {"maxIter": 40, "minInstancesPerNode": 5}
 
 
 def modelling_rows(spark, sf):
@@ -126,7 +127,7 @@ def loss_models(spark, sf):
     rows = base.lgd_rows(spark, sf)
     m = models.fit_loss_models(
         train_part(rows), LGD_COLS, ["channel", "occupancy_status"], others=[rows.filter(F.col("split") == "oos")],
-        forest_params={"numTrees": 10}, boosted_params={"maxIter": 5, "maxDepth": 4},
+        forest_params={"numTrees": 40}, boosted_params={"maxIter": 40},
     )
     return rows, m
 

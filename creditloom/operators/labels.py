@@ -99,7 +99,8 @@ def complete_cases(df: DataFrame, required: Sequence[str], within: str | None =
     for c in required:
         ok = F.col(c).isNotNull() | (F.col(f"_has_{c}") == 0)
         keep = ok if keep is None else keep & ok
-    return df.join(F.broadcast(counts), within).filter(keep).drop(*[f"_has_{c}" for c in required])
+    counts = counts.withColumnRenamed(within, "_within")
+    return df.join(counts, F.col(within).eqNullSafe(F.col("_within"))).filter(keep).drop("_within", *[f"_has_{c}" for c in required])
 
 
 def usable_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import comb, factorial
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -18,6 +19,7 @@ from creditloom.operators import metrics
 from creditloom.operators.encoding import Preparation, balanced_weight, class_counts, fit_preparation, positive_weight, scale_moments, standardised
 from creditloom.operators.evidence import WoeModel, fit_woe
 from creditloom.operators.splits import share_below, stratified_sample
+from creditloom.session import shared_dir
 
 # Feature lists of the default and the loss model.
 PD_FEATURES = (
@@ -104,6 +106,7 @@ def fit_logistic_pd(train: DataFrame, features: Sequence[str], target: str = "de
 class BoostedPd:
     preparation: Preparation
     model: object
+    losses: list[float] = field(default_factory=list)  # on validation rows, after each round
 
     @property
     def features(self) -> list[str]:
@@ -126,24 +129,54 @@ class BoostedPd:
 
 def fit_boosted_pd(
     train: DataFrame, features: Sequence[str] = PD_FEATURES, categories: Sequence[str] = PD_CATEGORIES, target: str = "default_12m",
-    keys: Sequence[str] = ("loan_seq_num", "report_date"), others: Sequence[DataFrame] = (), sample: float = 1.0, validation: float = 0.2, **params,
+    keys: Sequence[str] = ("loan_seq_num", "report_date"), others: Sequence[DataFrame] = (), sample: float = 1.0, validation: float = 0.2, patience: int = 20, **params,
 ) -> BoostedPd:
     """Boosted trees with positives weighted by negatives / positives.
 
-    Validation rows for early stopping are cut from train by a hash of the row key, so hold-out rows stay
-    untouched. ``sample`` thins train by the same share in both classes; by default all rows are used.
+    All rounds are fitted, then the loss after each round is measured on validation rows and the best prefix is kept, looking
+    ``patience`` rounds ahead; Spark's own early stop gives up at the first round that gains little, which small steps always do.
+    Validation rows are cut from train by a hash of the row key, so hold-out rows stay untouched. ``sample`` thins train by the same share in both classes; by default all rows are used.
     """
     rows = train if sample >= 1.0 else stratified_sample(train, target, keys, sample)
     prep = fit_preparation(rows, features, categories, others)
     settings = {**BOOSTED_PD, "seed": 42, "cacheNodeIds": True, "checkpointInterval": 10, **params}
+    shared_dir(train.sparkSession)  # the checkpoint interval acts only with a checkpoint folder
     data = prep.transform(rows).select(
         "features", F.col(target).cast("double").alias("label"), positive_weight(class_counts(rows, target), target).alias("weight"),
         share_below(hash_bucket(keys, 11), validation).alias("is_validation"),
-    )
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **settings)
-    if validation > 0:
-        gbt = gbt.setValidationIndicatorCol("is_validation")
-    return BoostedPd(prep, gbt.fit(data))
+    ).persist()
+    try:
+        gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **settings)
+        model = gbt.fit(data.filter(~F.col("is_validation")) if validation > 0 else data)
+        losses = [float(x) for x in model.evaluateEachIteration(data.filter("is_validation"))] if validation > 0 and not data.filter("is_validation").isEmpty() else []
+    finally:
+        data.unpersist()
+    rounds = best_rounds(losses, patience) if losses else model.getNumTrees
+    return BoostedPd(prep, first_trees(model, rounds), losses)
+
+
+def best_rounds(losses: Sequence[float], patience: int) -> int:
+    """Rounds up to the smallest loss, looking no further than ``patience`` rounds without a smaller one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The boosted model after its first ``rounds`` rounds."""
+    if rounds >= model.getNumTrees:
+        return model
+    gateway, old = SparkContext._active_spark_context._gateway, model._java_obj
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = old.trees()[i], old.treeWeights()[i]
+    java = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{rounds}", trees, weights, old.numFeatures(), old.numClasses())
+    return GBTClassificationModel(java).setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
 
 
 def save_model(model, path: str) -> str:
@@ -234,6 +267,7 @@ def fit_loss_models(
     train: DataFrame, features: Sequence[str] = LGD_FEATURES, categories: Sequence[str] = LGD_CATEGORIES, target: str = "lgd",
     others: Sequence[DataFrame] = (), forest_params: dict | None = None, boosted_params: dict | None = None,
 ) -> LossModels:
+    shared_dir(train.sparkSession)
     prep = fit_preparation(train, features, categories, others, missing_as_label=False)
     data = prep.transform(train).withColumn(target, F.col(target).cast("double"))
     knots = spline_knots(data, prep.features)

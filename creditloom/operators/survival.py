@@ -21,7 +21,10 @@ from creditloom.operators.metrics import score_bands
 from creditloom.operators.ordered import exact_quantiles, pinned, running_totals
 
 MAX_AGE = 480
-MAX_LOGRANK_GROUPS = 200
+#: Longest duration that a Cox fit takes: its driver holds one row of sums for each duration.
+MAX_DURATION = 48_000
+#: Durations in one part of the log-rank sums.
+RANGE = 512
 
 
 def survival_table(
@@ -102,36 +105,61 @@ def kaplan_meier(df: DataFrame, by: Sequence[str], max_t: int | None = 120, z: f
 def log_rank(df: DataFrame, by: str, max_t: int | None = 120, missing: str = "Unknown") -> DataFrame:
     """k-sample log-rank test: groups, chi-square statistic, degrees of freedom, p-value (one row).
 
-    The event table (at most ``max_t`` rows per group) is gathered; the (k - 1) system is solved on the driver.
+    The event table is cut into ranges of ``RANGE`` durations. A group's loans that leave after a range are carried into it as
+    one row, so each range adds its part of observed minus expected deaths and of their covariance by itself; the driver gets
+    the k + k x k sums and solves the (k - 1) system.
     """
-    g = F.coalesce(F.col(by).cast("string"), F.lit(missing))
-    t = event_table(df.withColumn("_grp", g), ["_grp"], max_t)
-    rows = t.limit((MAX_LOGRANK_GROUPS + 1) * (max_t or MAX_AGE)).collect()
-    groups = sorted({r["_grp"] for r in rows})
-    if len(groups) > MAX_LOGRANK_GROUPS:
-        raise ValueError(f"log_rank takes at most {MAX_LOGRANK_GROUPS} groups")
-    times = sorted({r["duration"] for r in rows})
-    exits, deaths = np.zeros((len(times), len(groups))), np.zeros((len(times), len(groups)))
-    for r in rows:
-        i, j = times.index(r["duration"]), groups.index(r["_grp"])
-        exits[i, j], deaths[i, j] = r["exits"], r["deaths"]
-    risk = exits[::-1].cumsum(axis=0)[::-1]
-    stat, dof = _log_rank_statistic(risk, deaths)
     spark = df.sparkSession
-    return spark.createDataFrame([(len(groups), stat, dof, chi2_tail(stat, dof))], "n_groups int, statistic double, dof int, p_value double")
+    g = F.coalesce(F.col(by).cast("string"), F.lit(missing))
+    t = event_table(df.withColumn("_grp", g), ["_grp"], max_t).select("_grp", F.col("duration").cast("long").alias("duration"), "exits", "deaths")
+    t = t.withColumn("_range", F.floor(F.col("duration") / RANGE))
+    per = t.groupBy("_grp", "_range").agg(F.sum("exits").alias("exits"))
+    bounds = per.groupBy("_grp").agg(F.min("_range").alias("_first"), F.max("_range").alias("_last"))
+    lowest = bounds.agg(F.min("_first")).first()[0]
+    if lowest is None:
+        return spark.createDataFrame([(0, None, 0, None)], "n_groups int, statistic double, dof int, p_value double")
+    # every range that a group's loans pass through, whether or not one leaves there
+    grid = bounds.select("_grp", F.explode(F.sequence(F.lit(lowest), F.col("_last"))).alias("_range"))
+    later = Window.partitionBy("_grp").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(per, ["_grp", "_range"], "left").select(
+        "_grp", F.lit(None).cast("long").alias("duration"), F.coalesce(F.sum("exits").over(later), F.lit(0)).alias("exits"), F.lit(0).alias("deaths"), "_range",
+    )
+    parts = t.union(carried).select("_grp", "duration", F.col("exits").cast("double"), F.col("deaths").cast("double"), "_range")
+    sums = parts.groupBy("_range").applyInPandas(_log_rank_part, "a string, b string, value double").groupBy("a", "b").agg(F.sum("value").alias("value"), F.count("*").alias("_n"))
+    oe, v = {}, {}
+    for a, b, value, _ in sums.collect():
+        if b is None:
+            oe[a] = value
+        else:
+            v[a, b] = value
+    groups = sorted(oe)
+    k = len(groups) - 1
+    if k < 1:
+        stat = 0.0
+    else:
+        x, m = np.array([oe[a] for a in groups[:k]]), np.array([[v.get((a, b), 0.0) for b in groups[:k]] for a in groups[:k]])
+        stat = float(x @ np.linalg.pinv(m) @ x)
+    return spark.createDataFrame([(len(groups), stat, k, chi2_tail(stat, k))], "n_groups int, statistic double, dof int, p_value double")
 
 
-def _log_rank_statistic(risk: np.ndarray, deaths: np.ndarray) -> tuple[float, int]:
+def _log_rank_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Observed minus expected deaths (b null) and covariance terms of one range of durations."""
+    groups, at = np.unique(pdf["_grp"].to_numpy().astype(str), return_inverse=True)
+    inside = pdf["duration"].notna().to_numpy()
+    times, row = np.unique(pdf["duration"].to_numpy()[inside], return_inverse=True)
+    exits, deaths = np.zeros((len(times), len(groups))), np.zeros((len(times), len(groups)))
+    np.add.at(exits, (row, at[inside]), pdf["exits"].to_numpy()[inside])
+    np.add.at(deaths, (row, at[inside]), pdf["deaths"].to_numpy()[inside])
+    after = np.zeros(len(groups))
+    np.add.at(after, at[~inside], pdf["exits"].to_numpy()[~inside])
+    risk = exits[::-1].cumsum(axis=0)[::-1] + after
     n, d = risk.sum(axis=1), deaths.sum(axis=1)
-    live = (d > 0) & (n > 1)
-    share = risk[live] / n[live, None]
-    excess = (deaths[live] - d[live, None] * share).sum(axis=0)
-    weight = d[live] * (n[live] - d[live]) / (n[live] - 1)
-    cov = np.diag((weight[:, None] * share).sum(axis=0)) - (weight[:, None, None] * share[:, :, None] * share[:, None, :]).sum(axis=0)
-    k = len(excess) - 1
-    if k < 1:
-        return float("nan"), 0
-    return float(excess[:k] @ np.linalg.pinv(cov[:k, :k]) @ excess[:k]), k
+    share = np.divide(risk, n[:, None], out=np.zeros_like(risk), where=n[:, None] > 0)
+    oe = (deaths - d[:, None] * share).sum(axis=0)
+    w = np.divide(d * (n - d), n - 1, out=np.zeros_like(d), where=n > 1)
+    cov = np.diag((w[:, None] * share).sum(axis=0)) - (share * w[:, None]).T @ share
+    a, b = np.meshgrid(groups, groups, indexing="ij")
+    return pd.DataFrame({"a": [*groups, *a.ravel()], "b": [*[None] * len(groups), *b.ravel()], "value": [*oe, *cov.ravel()]})
 
 
 @dataclass
@@ -162,36 +190,14 @@ class CoxModel:
         return past[-1] if past else 0.0
 
 
-def _tie_sums(d: int, a: float) -> tuple[float, float, float, float, float, float]:
-    """Sums over l = 0..d-1 of log u, 1/u, l/u, 1/u2, l/u2, l2/u2 with u = a - l."""
-    if d <= 20_000:
-        steps = np.arange(d, dtype=float)
+def _tie_sums(d: int, a: float) -> np.ndarray:
+    """Sums over l = 0..d-1 of log u, 1/u, l/u, 1/u2, l/u2, l2/u2 with u = a - l, a million terms at a time."""
+    total = np.zeros(6)
+    for first in range(0, d, 1_000_000):
+        steps = np.arange(first, min(d, first + 1_000_000), dtype=float)
         u = a - steps
-        return (
-            float(np.log(u).sum()), float((1 / u).sum()), float((steps / u).sum()),
-            float((1 / u**2).sum()), float((steps / u**2).sum()), float((steps**2 / u**2).sum()),
-        )
-    s0 = math.lgamma(a + 1) - math.lgamma(a - d + 1)
-    s1, s2 = _digamma(a + 1) - _digamma(a - d + 1), _trigamma(a - d + 1) - _trigamma(a + 1)
-    return s0, s1, a * s1 - d, s2, a * s2 - s1, a * a * s2 - 2 * a * s1 + d
-
-
-def _digamma(x: float) -> float:
-    shift = 0.0
-    while x < 10:
-        shift -= 1 / x
-        x += 1
-    i = 1 / (x * x)
-    return shift + math.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252))
-
-
-def _trigamma(x: float) -> float:
-    shift = 0.0
-    while x < 10:
-        shift += 1 / (x * x)
-        x += 1
-    i = 1 / (x * x)
-    return shift + 1 / x + i / 2 + i / x * (1 / 6 - i * (1 / 30 - i / 42))
+        total += [np.log(u).sum(), (1 / u).sum(), (steps / u).sum(), (1 / u**2).sum(), (steps / u**2).sum(), (steps**2 / u**2).sum()]
+    return total
 
 
 def _risk_sums(df: DataFrame, z: Sequence[Column], eta: Column) -> dict[int, np.ndarray]:
@@ -244,7 +250,7 @@ def fit_cox(
         n, n_events, p = stats[0], stats[1] or 0, len(feats)
         if n_events == 0:
             raise ValueError("no event in the survival table")
-        if stats[-1] > 100 * MAX_AGE:
+        if stats[-1] > MAX_DURATION:
             raise ValueError("durations must be whole periods of a limited range")
         means, scales = np.array(stats[2 : 2 + p], float), np.array(stats[2 + p : 2 + 2 * p], float)
         scales[~(scales > 0)] = 1.0
@@ -311,7 +317,7 @@ def cox_summary(model: CoxModel, spark) -> DataFrame:
     )
 
 
-BLOCK = 4096  # distinct risks per block: the dense arrays below stay at BLOCK x 481 cells whatever the data size
+CELLS = 4096 * 481  # cells of the dense arrays below: distinct risks of a block x durations that occur
 
 
 def concordance_index(df: DataFrame, risk: str, by: Sequence[str] = ()) -> DataFrame:
@@ -319,12 +325,15 @@ def concordance_index(df: DataFrame, risk: str, by: Sequence[str] = ()) -> DataF
 
     A pair is comparable when the shorter duration is an event; at equal durations an event precedes a
     censored loan. Exact and without a pair join: loans become counts per (risk, duration), distinct
-    risks are numbered by running totals and cut into blocks of fixed width. Pairs across blocks come
+    risks are numbered by running totals and cut into blocks, the narrower the longer the axis of durations. Pairs across blocks come
     from a running sum per duration over block totals, pairs inside a block from cumulated counts.
     """
     group = list(by)
     base = df.select(*by, F.col(risk).cast("double").alias("_r"), F.col("duration").cast("int").alias("_d"), F.col("event").cast("int").alias("_e"))
-    base = base.filter(F.col("_r").isNotNull() & F.col("_d").between(0, MAX_AGE))
+    base = base.filter(F.col("_r").isNotNull() & F.col("_d").isNotNull())
+    low, high = base.agg(F.min("_d"), F.max("_d")).first()
+    width = 1 if low is None else high - low + 1
+    base, block = base.withColumn("_d", F.col("_d") - F.lit(low or 0)), max(16, CELLS // width)
     if not group:
         base, group = base.withColumn("_g", F.pmod(F.xxhash64("_r"), F.lit(1))), ["_g"]
     cells = pinned(
@@ -332,13 +341,13 @@ def concordance_index(df: DataFrame, risk: str, by: Sequence[str] = ()) -> DataF
     )
     ranks = running_totals(cells.groupBy(*group, "_r").agg(F.max(F.lit(1)).alias("one"), F.sum("ev").alias("ev"), F.sum("ce").alias("ce")), group, "_r", ["one"])
     ranks = ranks.select(*group, "_r", F.col("one_before").alias("_rank"))
-    placed = cells.join(ranks, [*group, "_r"]).withColumn("_block", F.floor(F.col("_rank") / BLOCK)).withColumn(
-        "_pos", (F.col("_rank") % BLOCK).cast("int")
+    placed = cells.join(ranks, [*group, "_r"]).withColumn("_block", F.floor(F.col("_rank") / block)).withColumn(
+        "_pos", (F.col("_rank") % block).cast("int")
     )
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*group, "_block").schema.fields)
 
     def block_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ev, ce = np.zeros((BLOCK, MAX_AGE + 1)), np.zeros((BLOCK, MAX_AGE + 1))
+        ev, ce = np.zeros((block, width)), np.zeros((block, width))
         at = (pdf["_pos"].to_numpy(), pdf["_d"].to_numpy())
         np.add.at(ev, at, pdf["ev"].to_numpy())
         np.add.at(ce, at, pdf["ce"].to_numpy())
@@ -347,7 +356,7 @@ def concordance_index(df: DataFrame, risk: str, by: Sequence[str] = ()) -> DataF
         outlive = both[:, ::-1].cumsum(axis=1)[:, ::-1] - both + ce
         lower = outlive.cumsum(axis=0) - outlive
         out = pd.DataFrame({
-            "_d": np.arange(MAX_AGE + 1, dtype=np.int32), "ev": ev.sum(axis=0), "outlive": outlive.sum(axis=0),
+            "_d": np.arange(width, dtype=np.int32), "ev": ev.sum(axis=0), "outlive": outlive.sum(axis=0),
             "won": (ev * lower).sum(axis=0), "tied": (ev * outlive).sum(axis=0),
         })
         for i, value in enumerate(key):

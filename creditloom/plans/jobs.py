@@ -21,10 +21,10 @@ ROW_KEY = ["loan_seq_num", "report_date"]
 LOAN_KEY = ["vintage", "loan_seq_num"]
 
 
-def featured_panel(spark: SparkSession, originations: str, servicing: str, price_index: str | None = None, macro_folder: str | None = None) -> DataFrame:
+def featured_panel(spark: SparkSession, originations: str, servicing: str, price_index: str | None = None, macro_folder: str | None = None, vintage_pattern: str = loans.VINTAGE_PATTERN) -> DataFrame:
     """All vintages in one plan: scan, clean, join by (vintage, loan), macro features."""
-    orig = loans.clean_originations(loans.read_originations(spark, originations)).select("vintage", *loans.ORIGINATION_USED)
-    perf = loans.clean_servicing(loans.read_servicing(spark, servicing))
+    orig = loans.clean_originations(loans.read_originations(spark, originations, vintage_pattern=vintage_pattern)).select("vintage", *loans.ORIGINATION_USED)
+    perf = loans.clean_servicing(loans.read_servicing(spark, servicing, vintage_pattern))
     index = macro.read_price_index(spark, price_index) if price_index else None
     rate = macro.read_unemployment(spark, macro_folder) if macro_folder else None
     return joins.attach_rate_lag(joins.attach_price_change(joins.join_panel(perf, orig), index), rate)
@@ -32,14 +32,18 @@ def featured_panel(spark: SparkSession, originations: str, servicing: str, price
 
 def prepare_tables(
     spark: SparkSession, originations: str, servicing: str, out: str, price_index: str | None = None, macro_folder: str | None = None,
-    codes: Sequence[str] = labels.DEFAULT_CODES, split_by_loan: bool = False,
+    codes: Sequence[str] = labels.DEFAULT_CODES, split_by_loan: bool = False, vintage_pattern: str = loans.VINTAGE_PATTERN,
 ) -> dict[str, str]:
     """Default and loss tables per vintage, split tables, information value and stability summaries.
 
-    The per-vintage tables are written first and read back: that cuts the lineage, and every later pass
-    reads pruned Parquet columns instead of parsing text again.
+    The joined panel is written first, then the per-vintage tables, each read back: that cuts the lineage, the servicing text is
+    parsed once, and every later pass reads pruned Parquet columns.
     """
-    panel = featured_panel(spark, originations, servicing, price_index, macro_folder)
+    text = featured_panel(spark, originations, servicing, price_index, macro_folder, vintage_pattern)
+    tables.write_by_vintage(text, f"{out}/panel")
+    panel = spark.read.schema(text.schema).parquet(f"{out}/panel")
+    dates = [c for c, kind in panel.dtypes if kind == "date"]
+    tables.write_summary(loans.period_null_rates(panel, dates), f"{out}/period_null_rates")
     key = ["loan_seq_num"] if split_by_loan else ROW_KEY
     defaults = labels.default_rows(panel, LOAN_KEY, codes).select("vintage", *PD_FEATURES, *ROW_KEY, "default_12m")
     tables.write_by_vintage(labels.complete_cases(defaults, PD_FEATURES, "vintage"), f"{out}/pd_rows")

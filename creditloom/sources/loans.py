@@ -59,28 +59,31 @@ VINTAGE_PATTERN = r"[_=](\d{4})(?:\.|/)"
 def read_pipe_text(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], used: Sequence[str] | None = None, missing: Sequence[str] = MISSING_TEXTS, vintage_pattern: str = VINTAGE_PATTERN) -> DataFrame:
     """All-text scan of one or many files (a glob covers all years), with ``vintage`` taken from the path.
 
-    ``used`` limits the columns; the parser then skips the others.
+    ``used`` limits the columns; the parser then skips the others. A path that ``vintage_pattern`` does not match is an error, as
+    rows without vintage would be lost in the join by vintage.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.read.schema(schema).option("sep", "|").option("header", False).option("encoding", "ISO-8859-1")
         .option("mode", "PERMISSIVE").option("recursiveFileLookup", True).csv(path)
     )
-    vintage = F.regexp_extract(F.col("_metadata.file_path"), vintage_pattern, 1).try_cast("int")
+    file = F.col("_metadata.file_path")
+    year = F.regexp_extract(file, vintage_pattern, 1).try_cast("int")
+    vintage = F.when(year.isNotNull(), year).otherwise(F.raise_error(F.concat(F.lit(f"no vintage by {vintage_pattern} in the path "), file)).cast("int"))
     return raw.select(*[F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) for c in (used or columns)], vintage.alias("vintage"))
 
 
-def read_originations(spark: SparkSession, path: str | Sequence[str], sentinels: Sequence[str] | Mapping[str, Sequence[str]] = NUMERIC_SENTINELS) -> DataFrame:
+def read_originations(spark: SparkSession, path: str | Sequence[str], sentinels: Sequence[str] | Mapping[str, Sequence[str]] = NUMERIC_SENTINELS, vintage_pattern: str = VINTAGE_PATTERN) -> DataFrame:
     """Origination scan. The 9.. texts mean missing in every column; pass a mapping column -> texts to be selective."""
     if not isinstance(sentinels, Mapping):
-        return read_pipe_text(spark, path, ORIGINATION_COLUMNS, missing=(*MISSING_TEXTS, *sentinels))
-    raw = read_pipe_text(spark, path, ORIGINATION_COLUMNS)
+        return read_pipe_text(spark, path, ORIGINATION_COLUMNS, missing=(*MISSING_TEXTS, *sentinels), vintage_pattern=vintage_pattern)
+    raw = read_pipe_text(spark, path, ORIGINATION_COLUMNS, vintage_pattern=vintage_pattern)
     return raw.withColumns({c: F.when(~F.col(c).isin(*texts), F.col(c)) for c, texts in sentinels.items()})
 
 
-def read_servicing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_servicing(spark: SparkSession, path: str | Sequence[str], vintage_pattern: str = VINTAGE_PATTERN) -> DataFrame:
     """Servicing scan of the used columns; rows without loan id or period are left out."""
-    return read_pipe_text(spark, path, SERVICING_COLUMNS, SERVICING_USED).dropna(subset=["loan_seq_num", "monthly_reporting_period"])
+    return read_pipe_text(spark, path, SERVICING_COLUMNS, SERVICING_USED, vintage_pattern=vintage_pattern).dropna(subset=["loan_seq_num", "monthly_reporting_period"])
 
 
 def _parsed(c: Column, fmt: str) -> Column:

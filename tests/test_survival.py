@@ -53,8 +53,8 @@ def test_concordance_by_pairs(spark, monkeypatch):
         if a.event == 1 and (a.duration < b.duration or (a.duration == b.duration and b.event == 0)):
             pairs += 1
             won += 1.0 if a.risk > b.risk else 0.5 if a.risk == b.risk else 0.0
-    for width in (4096, 4):  # one block, many blocks
-        monkeypatch.setattr(survival, "BLOCK", width)
+    for cells in (4096 * 481, 40):  # one block, many blocks
+        monkeypatch.setattr(survival, "CELLS", cells)
         r = survival.concordance_index(spark.createDataFrame(pdf), "risk").first()
         assert r["n_pairs"] == pairs and abs(r["c_index"] - won / pairs) < 1e-12
 
@@ -66,8 +66,29 @@ def test_survival_without_censoring_is_one_minus_ecdf(spark):
         assert abs(s - (pdf.duration > t).mean()) < 1e-12
 
 
-def test_log_rank_k_groups_reduces_to_two():
-    risk, deaths = np.array([[5.0, 6.0], [4.0, 3.0]]), np.array([[1.0, 2.0], [1.0, 0.0]])
-    three = survival._log_rank_statistic(np.c_[risk, [0, 0]], np.c_[deaths, [0, 0]])
-    two = survival._log_rank_statistic(risk, deaths)
-    assert abs(two[0] - three[0]) < 1e-9 and two[1] == 1
+def test_concordance_of_long_durations(spark):
+    rows = spark.createDataFrame([(0.9, 500, 1), (0.1, 600, 1), (0.95, 10, 1), (0.5, 400, 0)], "risk double, duration int, event int")
+    assert survival.concordance_index(rows, "risk").first()["n_pairs"] == 4
+
+
+def plain_log_rank(pdf):
+    groups = sorted(pdf.g.unique())
+    oe, v = np.zeros(len(groups)), np.zeros((len(groups), len(groups)))
+    for t in sorted(pdf.duration.unique()):
+        at = pdf[pdf.duration >= t]
+        n, d = len(at), ((at.duration == t) & (at.event == 1)).sum()
+        share = np.array([(at.g == g).sum() / n for g in groups])
+        oe += np.array([((at.g == g) & (at.duration == t) & (at.event == 1)).sum() for g in groups]) - d * share
+        if n > 1:
+            v += d * (n - d) / (n - 1) * (np.diag(share) - np.outer(share, share))
+    k = len(groups) - 1
+    return len(groups), float(oe[:k] @ np.linalg.pinv(v[:k, :k]) @ oe[:k])
+
+
+def test_log_rank_of_many_groups_and_long_durations(spark):
+    rng = np.random.default_rng(0)
+    for groups, longest in ((3, 125_000), (2, 40), (201, 900)):
+        pdf = pd.DataFrame({"g": [f"g{i % groups:03d}" for i in range(420)], "duration": rng.integers(1, longest, 420), "event": rng.integers(0, 2, 420)})
+        got = survival.log_rank(spark.createDataFrame(pdf), "g", max_t=None).first()
+        n, stat = plain_log_rank(pdf)
+        assert got["n_groups"] == n and got["dof"] == n - 1 and abs(got["statistic"] - stat) < 1e-6 * max(1.0, stat)
