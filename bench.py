@@ -13,7 +13,7 @@ HEADLINE = [
     "default_label_rows", "price_change_lookup", "nearest_rate_lag", "loss_label_rows", "woe_table", "information_value",
     "population_stability", "scorecard", "discrimination", "split_metric_rows", "calibration_error", "kaplan_meier",
     "concordance_index", "cumulative_default_by_age", "path_ecl_summary", "peak_weighted_ecl", "loan_loss_quantile", "servicing_scan",
-    "cox_coefficients", "temperature_fit",
+    "cox_coefficients", "temperature_fit", "logistic_coefficients", "boosted_metrics", "loss_model_metrics",
 ]
 
 

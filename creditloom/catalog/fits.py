@@ -14,7 +14,7 @@ from creditloom.operators.scenarios import PATH_SCENARIOS, PEAK_SCENARIOS
 
 PD_COLS = ["credit_score", "orig_upb", "loan_age", "current_upb", "delinquency_status", "occupancy_status"]
 #: Fewer rounds than the 500 of the operator, of full depth: a query fits its model anew each time it runs.
-SMALL = {"maxIter": 40, "minInstancesPerNode": 5}
+SMALL = {"maxIter": 25, "minInstancesPerNode": 5}
 
 
 def modelling_rows(spark, sf):
@@ -98,6 +98,22 @@ def logistic_scores(spark, sf):
     return scored_logistic(spark, sf).select(*KEYS, "default_12m", "score", "split")
 
 
+@query("logistic_score_equations", sql="""
+SELECT feature, TRUE AS solved FROM (VALUES ('intercept'), ('credit_score_woe'), ('orig_upb_woe'), ('loan_age_woe'), ('current_upb_woe'), ('delinquency_status_woe'), ('occupancy_status_woe')) AS t(feature)""")
+def logistic_score_equations(spark, sf):
+    """At the optimum the weighted residuals are at right angles to each feature, up to the penalty's pull."""
+    train = train_part(modelling_rows(spark, sf))
+    m = models.fit_logistic_pd(train, PD_COLS)
+    z = encoding.standardised(m.woe.transform(m.transform(train)), m.moments)
+    w = encoding.balanced_weight(encoding.class_counts(train, "default_12m"), "default_12m")
+    residual = w * (F.col("score") - F.col("default_12m"))
+    sums = [F.sum(residual * (F.lit(1.0) if c is None else F.col(c))) for c in (None, *m.columns)]
+    pull = [0.0, *map(float, m.model.coefficients)]
+    names = ["intercept", *m.columns]
+    off = F.array(*[F.struct(F.lit(n).alias("feature"), (F.abs(s + b) <= 1e-4 * F.sum(w)).alias("solved")) for n, s, b in zip(names, sums, pull)])
+    return z.agg(off.alias("r")).select(F.inline("r"))
+
+
 @query("logistic_metrics")
 def logistic_metrics(spark, sf):
     return metrics.evaluate(scored_logistic(spark, sf), ["split"], "score", "default_12m")
@@ -127,7 +143,7 @@ def loss_models(spark, sf):
     rows = base.lgd_rows(spark, sf)
     m = models.fit_loss_models(
         train_part(rows), LGD_COLS, ["channel", "occupancy_status"], others=[rows.filter(F.col("split") == "oos")],
-        forest_params={"numTrees": 40}, boosted_params={"maxIter": 40},
+        forest_params={"numTrees": 25}, boosted_params={"maxIter": 25},
     )
     return rows, m
 
@@ -234,6 +250,18 @@ def attribution_rows(spark, sf):
     return out.select(*KEYS, "default_12m", *[f"shap_{f}" for f in feats], "base_value", "margin", "predicted_pd")
 
 
+@query("attribution_additivity", views="fx_pd", sql="""
+SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, TRUE AS additive, TRUE AS a_probability FROM fx_pd""")
+def attribution_additivity(spark, sf):
+    """Base value and attributions of a row add up to its margin, and the margin's curve is its predicted default rate."""
+    out, feats = attributed(spark, sf)
+    total = sum((F.col(f"shap_{f}") for f in feats), F.col("base_value"))
+    return out.select(
+        "loan_seq_num", day("report_date").alias("report_date"), (F.abs(total - F.col("margin")) < 1e-6).alias("additive"),
+        F.col("predicted_pd").between(0, 1).alias("a_probability"),
+    )
+
+
 @query("attribution_importance")
 def attribution_importance(spark, sf):
     return attribution.global_importance(*attributed(spark, sf))

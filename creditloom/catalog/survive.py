@@ -59,9 +59,20 @@ def log_rank_two_groups(spark, sf):
     return r.select("n_groups", "dof", rounded(F.col("statistic")).alias("statistic"))
 
 
-@query("log_rank_by_channel")
+@query("log_rank_by_channel", views="fx_survival", sql="""
+WITH t AS (SELECT least(duration, 120) AS t, channel AS g, sum(event) AS d, count(*) AS c FROM fx_survival GROUP BY 1, 2),
+times AS (SELECT DISTINCT t FROM t),
+r AS (SELECT x.t, sum(CASE WHEN t.t >= x.t THEN c END)::DOUBLE AS n, sum(CASE WHEN t.t = x.t THEN d ELSE 0 END)::DOUBLE AS d,
+   sum(CASE WHEN t.t >= x.t AND g = 'F' THEN c ELSE 0 END) / sum(CASE WHEN t.t >= x.t THEN c END)::DOUBLE AS p1, sum(CASE WHEN t.t = x.t AND g = 'F' THEN d ELSE 0 END) AS d1,
+   sum(CASE WHEN t.t >= x.t AND g = 'O' THEN c ELSE 0 END) / sum(CASE WHEN t.t >= x.t THEN c END)::DOUBLE AS p2, sum(CASE WHEN t.t = x.t AND g = 'O' THEN d ELSE 0 END) AS d2
+   FROM times x CROSS JOIN t GROUP BY 1),
+w AS (SELECT *, CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0 END AS w FROM r WHERE d > 0),
+s AS (SELECT sum(d1 - d * p1) AS x1, sum(d2 - d * p2) AS x2, sum(w * p1 * (1 - p1)) AS v11, sum(w * p2 * (1 - p2)) AS v22, -sum(w * p1 * p2) AS v12 FROM w),
+q AS (SELECT (x1 * x1 * v22 - 2 * x1 * x2 * v12 + x2 * x2 * v11) / (v11 * v22 - v12 * v12) AS stat FROM s)
+SELECT 3 AS n_groups, 2 AS dof, round(stat, 6) AS statistic, round(exp(-stat / 2), 6) AS p_value FROM q""")
 def log_rank_by_channel(spark, sf):
-    return survival.log_rank(survival_rows(spark, sf), "channel")
+    r = survival.log_rank(survival_rows(spark, sf), "channel")
+    return r.select("n_groups", "dof", rounded(F.col("statistic")).alias("statistic"), rounded(F.col("p_value")).alias("p_value"))
 
 
 @query("concordance_index", views="fx_survival", sql="""
