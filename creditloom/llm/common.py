@@ -101,13 +101,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(held, [key, "_salt"], "left").drop("_salt")
 
 
-def with_minimum(pairs: DataFrame, key: str, value: str, low: str = "low", salts: int = 32, least_rows: int = 1) -> DataFrame:
-    """``pairs`` with the smallest ``value`` of each ``key`` as column ``low``; keys of fewer than ``least_rows`` rows go. A key with many rows
-    is spread by a salt of the value: minima per salt, then over the few salts, then handed back to each (key, salt)."""
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
-    part = salted.groupBy(key, "_salt").agg(F.min(value).alias(low), F.count("*").alias("_n"))
-    least = part.groupBy(key).agg(F.min(low).alias(low), F.sum("_n").alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
-    return salted.join(part.select(key, "_salt").join(least, key), [key, "_salt"]).drop("_salt")
+def with_minimum(pairs: DataFrame, key: str, value: str, low: str = "low", least_rows: int = 1) -> DataFrame:
+    """``pairs`` with the smallest ``value`` of each ``key`` as column ``low``; keys of fewer than ``least_rows`` rows go.
+
+    Minima are combined before the shuffle. The join that hands them back has one row for each key on one side, so the adaptive
+    skew join splits a key that has many pairs.
+    """
+    least = pairs.groupBy(key).agg(F.min(value).alias(low), F.count("*").alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
+    return pairs.join(least, key)
 
 
 def running_start(rows: DataFrame, order: list[str], weight: str, start: str = "start") -> DataFrame:
@@ -132,7 +133,7 @@ def components(vertices: DataFrame, links: DataFrame, rounds: int = 60) -> DataF
     """Smallest id reachable from each vertex. ``vertices(id)``, ``links(a, b)`` of one ordered type -> ``(id, component_id)``.
 
     Large-star and small-star steps in turn, each an aggregate and a join on ids, until a pair of steps changes nothing. Links
-    are rewritten to the shared folder after every pair of steps. A vertex that many links name is spread by a salt of the far end.
+    are rewritten to the shared folder after every pair of steps.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
