@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import components, slices, stored, with_minimum, words_of
@@ -20,6 +20,8 @@ ROWS = 4
 #: Bits of a shingle's number; its count within the text stands above them.
 SHINGLE_BITS = 44
 SALTS = 32
+#: Places for flags of wanted documents; further members that all others of a bucket are compared with.
+FLAGS, PIVOTS = 1 << 20, 6
 
 _ONE, _TWO, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,10 +171,24 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(items, pa.binary())], names=["cls", "items"])
 
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi").select("text")
+    rows = docs.where(_flagged(ids)).join(ids, docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi").select("text")
     return rows.mapInArrow(run, "cls binary, items binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
+def _flagged(ids: DataFrame) -> Column:
+    """True for all of ``ids(_rep)`` and for few other doc_ids: 2^20 flags at hashed places keep most texts out of the shuffle that follows."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS)).cast("int")
+    flags = np.zeros(FLAGS, dtype=bool)
+    flags[ids.select(place("_rep").alias("p")).distinct().toArrow().column("p").to_numpy()] = True
+    held = ids.sparkSession.sparkContext.broadcast(flags)
+
+    @F.arrow_udf("boolean")
+    def flagged(places: pa.Array) -> pa.Array:
+        return pa.array(held.value[places.to_numpy(zero_copy_only=False)])
+
+    return flagged(place("doc_id"))
+
+
 def duplicate_classes(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``cls, component`` for every class of equal shingles that is linked to another one.
 
@@ -192,8 +208,11 @@ def duplicate_classes(docs: DataFrame, sketched: DataFrame, similarity: float =
     tested = stored(_with_lowest(members), "pairs")
     links = stored(verified(tested, held, similarity), "links")
     grouped = stored(_grouped(met, links), "groups")
-    parts = members.join(grouped, "cls").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = stored(members.join(parts.where("low <> high").select("bucket"), "bucket", "left_semi").select("cls").distinct().join(grouped, "cls"), "open")
+    pairs = stored(_with_pivots(_several_groups(members, grouped)).join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        tested, links = tested.union(pairs), stored(links.union(verified(pairs, held, similarity)), "links")
+        grouped = stored(_grouped(met, links), "groups")
+    open_ = stored(_several_groups(members, grouped).select("cls", "component").distinct(), "open")
     if open_.isEmpty():
         return grouped
     pairs = _sharing_rare(held.join(open_, "cls", "left_semi"), open_, similarity)
@@ -201,6 +220,22 @@ def duplicate_classes(docs: DataFrame, sketched: DataFrame, similarity: float =
     return _grouped(met, links.union(verified(pairs, held, similarity)))
 
 
+def _several_groups(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Members, with their ``component``, of the buckets that hold more than one."""
+    rows = members.join(grouped, "cls")
+    parts = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    return rows.join(parts, "bucket", "left_semi")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different groups, one of them a pivot of a bucket: the smallest members by ``PIVOTS`` other orders. Near
+    copies of one text are often just below the threshold to one pivot and above it to the next."""
+    orders = [F.min_by(F.struct("cls", "component"), F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS)]
+    pivots = rows.groupBy("bucket").agg(F.array(*orders).alias("pivots"))
+    pairs = rows.join(pivots, "bucket").select("cls", "component", F.explode(F.array_distinct("pivots")).alias("p")).where("component <> p.component")
+    return pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
+
+
 def _grouped(met: DataFrame, links: DataFrame) -> DataFrame:
     return components(met.select(F.col("cls").alias("id")), links).select(F.col("id").alias("cls"), F.col("component_id").alias("component"))
 
@@ -239,13 +274,17 @@ def _sharing_rare(held: DataFrame, grouped: DataFrame, similarity: float) -> Dat
                 tokens.append(number[at[:n]].astype(np.int64))
                 rows.append(np.full(len(tokens[-1]), k))
             index = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], names=["cls", "token"])
+            columns = [batch.column(0).take(index), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "token"])
 
     rows = held.select("cls", "items").mapInArrow(rare, "cls binary, token long").join(grouped, "cls")
     mixed_ = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     rows = stored(rows.join(mixed_, "token", "left_semi"), "rare")
-    x, y = (rows.select("token", F.col("cls").alias(c), F.col("component").alias(f"g_{c}")) for c in ("a", "b"))
-    return x.join(y, "token").where("a < b AND g_a <> g_b").select("a", "b").distinct()
+    # a pair is named by the smallest of the rare shingles that it shares, so it comes up once
+    rows = rows.join(rows.groupBy("cls").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "cls")
+    x, y = (rows.select("token", F.col("cls").alias(c), F.col("component").alias(f"g_{c}"), F.col("tokens").alias(f"t_{c}")) for c in ("a", "b"))
+    once = F.expr("array_min(array_intersect(t_a, t_b))") == x["token"]
+    return x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & once).select("a", "b")
 
 
 def _with_lowest(members: DataFrame) -> DataFrame:
