@@ -188,13 +188,10 @@ def waterfall(df: DataFrame, features: Sequence[str], keys: Sequence[str], top:
 
 
 def extreme_rows(df: DataFrame, score: str, columns: Sequence[str]) -> DataFrame:
-    """The row of the highest and of the lowest score, in one aggregate; ties go to the smallest key."""
+    """The row of the highest and of the lowest score, in one aggregate; ties go to the smallest value of the first column."""
     cells = F.struct(*[F.col(c) for c in columns])
-    s = F.col(score)
-    first = F.col(columns[0])
-    one = df.agg(
-        F.max_by(cells, F.struct(s, -F.xxhash64(first))).alias("hi"), F.min_by(cells, F.struct(s, -F.xxhash64(first))).alias("lo")
-    )
+    s, first = F.col(score), F.col(columns[0])
+    one = df.agg(F.min_by(cells, F.struct(-s, first)).alias("hi"), F.min_by(cells, F.struct(s, first)).alias("lo"))
     both = F.array(F.struct(F.lit("highest").alias("which"), F.col("hi").alias("r")), F.struct(F.lit("lowest").alias("which"), F.col("lo").alias("r")))
     return one.select(F.inline(both)).select("which", "r.*")
 

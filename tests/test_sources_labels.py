@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from creditloom.operators import joins, labels, splits
@@ -95,3 +96,25 @@ def test_missing_macro_files_give_null_features(spark, tmp_path):
     (tmp_path / "unemployment_rate.csv").write_text("Date, Unemployment_Rate \n2000-01-01,4.0\n2000-02-01,x\n")
     assert [tuple(r) for r in macro.read_unemployment(spark, str(tmp_path)).collect()] == [(d("2000-01-01"), 4.0)]
     assert tables.read_csv_or_empty(spark, str(tmp_path / "gone")).columns == tables.SCORE_SCHEMA.fieldNames()
+
+
+def test_a_path_without_year_is_an_error(spark, tmp_path):
+    (tmp_path / "servicing.txt").write_text(line(loans.SERVICING_COLUMNS, loan_seq_num="A", monthly_reporting_period="01/2000"), encoding="latin-1")
+    with pytest.raises(Exception, match="no vintage"):
+        loans.read_servicing(spark, str(tmp_path)).collect()
+    assert loans.read_servicing(spark, str(tmp_path), r"(\d{4})?servicing") is not None
+
+
+def test_complete_cases_keep_rows_of_a_null_part(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, None), (2001, None)], "vintage int, a double")
+    assert sorted(map(tuple, labels.complete_cases(df, ["a"], "vintage").collect()), key=str) == [(2001, None), (None, 1.0)]
+
+
+def test_a_second_write_leaves_no_old_partition(spark, tmp_path):
+    rows = spark.createDataFrame([("train", 1), ("oot", 2)], "split string, x int")
+    path = str(tmp_path / "t")
+    tables.write_by_split(rows, path)
+    tables.write_by_split(rows.filter("split = 'train'"), path)
+    assert [tuple(r) for r in spark.read.parquet(path).select("split", "x").collect()] == [("train", 1)]
+    tables.write_by(rows.filter("split = 'oot'"), path, "split", incremental=True)
+    assert spark.read.parquet(path).count() == 2
