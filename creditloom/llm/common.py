@@ -59,7 +59,7 @@ def words_of(texts: pa.Array) -> Words:
     return Words(coded.indices.to_numpy().astype(np.int64), np.diff(seen[ends]).astype(np.int64), coded.dictionary)
 
 
-def slices(texts: pa.Array, limit: int = 12 << 20) -> Iterator[slice]:
+def slices(texts: pa.Array, limit: int = 6 << 20) -> Iterator[slice]:
     """Consecutive row ranges with at most ``limit`` bytes of text each, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
     done = 0

@@ -20,6 +20,8 @@ ROWS = 4
 #: Bits of a shingle's number; its count within the text stands above them.
 SHINGLE_BITS = 44
 SALTS = 32
+#: Bytes of text that are sketched at once.
+SLICE = 3 << 20
 #: Places for flags of wanted documents; further members that all others of a bucket are compared with.
 FLAGS, PIVOTS = 1 << 20, 6
 
@@ -121,7 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([rows.column(0), *sketch(rows.column(1))], names=["doc_id", "cls", "bands"])
 
@@ -160,7 +162,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE):
                 texts = batch.column(0).slice(part.start, part.stop - part.start)
                 flat, n = packed(texts)
                 ends = np.cumsum(n)
