@@ -19,7 +19,11 @@ MIN_WORDS = 50
 
 def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs(rid, text)`` -> a row for each line: ``rid, idx, left`` (lines from here to the text's end), ``line`` (its 128-bit number), ``need``
-    (lines from here that first have ``min_words`` words; 0 if the text ends before or this line has none)."""
+    (lines from here that first have ``min_words`` words; 0 if the text ends before), ``most`` (lines from here to the last line before which
+    nothing later than this one has ``min_words`` words; 0 with ``need``).
+
+    A run of ``min_words`` words is covered by those of its parts that lose enough words with their last line (``need``) or with their first:
+    these have ``need`` to ``most`` lines, at most one of them ends at each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,31 +39,35 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 at, end = np.arange(len(codes)), np.repeat(ends, n)
                 total = np.cumsum(words)
                 reach = np.searchsorted(total, total - words + min_words) + 1
-                need = np.where((reach <= end) & (words > 0), reach - at, 0)
+                need = np.where(reach <= end, reach - at, 0)
+                after = np.append(reach[1:], len(codes) + 1)
+                most = np.where(need > 0, np.maximum(need, np.minimum(after - 1, end) - at), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [rid.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at - np.repeat(ends - n, n)), pa.array(end - at), numbers.take(pa.array(codes)), pa.array(need)],
-                    names=["rid", "idx", "left", "line", "need"],
+                    [rid.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at - np.repeat(ends - n, n)), pa.array(end - at), numbers.take(pa.array(codes)), pa.array(need), pa.array(most)],
+                    names=["rid", "idx", "left", "line", "need", "most"],
                 )
 
-    return docs.mapInArrow(run, "rid long, idx long, left long, line binary, need long")
+    return docs.mapInArrow(run, "rid long, idx long, left long, line binary, need long, most long")
 
 
 def repeated_runs(lines: DataFrame, order: DataFrame) -> DataFrame:
-    """``rid, idx, need, first`` for every suffix whose first ``need`` lines also start an earlier suffix; ``first`` is the position of the first of them.
+    """``rid, idx, need, first`` for every suffix and each number of lines from its ``need`` to its ``most`` that also start an earlier suffix; ``first`` is
+    the position of the first of them.
 
     ``order(rid, doc_id)`` puts the texts in a row by doc_id, so every line has a position. Level k names each stretch of 2^k lines by the
     position of its first copy, from two names of level k - 1; a stretch without a second copy has no name and drops out, so
-    levels shrink fast. Two overlapping stretches name any length between two powers. Suffixes with one name for their first ``need`` lines are an
+    levels shrink fast. Two overlapping stretches name any length between two powers. Suffixes with one name for so many first lines are an
     interval of the suffix array with that common prefix.
     """
     starts = running_start(lines.where("idx = 0").select("rid", F.col("left").alias("n")).join(order, "rid"), ["doc_id", "rid"], "n").select("rid", "start")
     again = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line", F.lit(True).alias("again"))
     rows = lookup(lines, again, "line", "rid").where("again").drop("again")
-    rows = rows.join(starts, "rid").withColumn("pos", F.col("start") + F.col("idx")).select("pos", "rid", "idx", "left", "need", "line")
+    rows = rows.join(starts, "rid").withColumn("pos", F.col("start") + F.col("idx")).select("pos", "rid", "idx", "left", "need", "most", "line")
     level = stored(with_minimum(rows, "line", "pos", "name").drop("line"), "level")
     found, length = [], 1
     while True:
-        here = level.where((F.col("need") >= length) & (F.col("need") < 2 * length))
+        here = level.where((F.col("need") > 0) & (F.col("most") >= length) & (F.col("need") < 2 * length))
+        here = here.withColumn("need", F.explode(F.sequence(F.greatest("need", F.lit(length)), F.least("most", F.lit(2 * length - 1)))))
         tail = level.select(F.col("pos").alias("_pos"), F.col("name").alias("_name"))
         ends = here.join(tail, here["pos"] + here["need"] - length == tail["_pos"]).withColumn("run", F.concat_ws(" ", "need", "name", "_name"))
         found.append(stored(with_minimum(ends.select("run", "pos", "rid", "idx", "need"), "run", "pos", "first", least_rows=2).where("pos > first").select("rid", "idx", "need", "first"), "runs"))
@@ -67,7 +75,7 @@ def repeated_runs(lines: DataFrame, order: DataFrame) -> DataFrame:
         pairs = longer.join(tail, longer["pos"] + length == tail["_pos"]).withColumn("pair", F.concat_ws(" ", "name", "_name")).drop("name", "_name", "_pos")
         level = stored(with_minimum(pairs, "pair", "pos", "name", least_rows=2).drop("pair"), "level")
         length *= 2
-        if not (level.agg(F.max("need")).first()[0] or 0) >= length:
+        if not (level.agg(F.max("most")).first()[0] or 0) >= length:
             break
     out = found[0]
     for more in found[1:]:
@@ -100,7 +108,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """The rows of ``docs`` as a struct ``doc`` with their new ``text`` and the columns ``n_lines, n_deleted``.
 
     Texts follow each other by doc_id (nulls last, rows of one doc_id in the table's order). A line goes if it lies in a run of lines, at least
-    ``min_words`` words long and within one text, that also stands earlier; so maximal repeated runs vanish but for their first copy, and every deleted line equals one that stays
+    ``min_words`` words long and within one text, that also stands earlier; so maximal repeated runs vanish to their last line but for their first copy, and every deleted line equals one that stays
     before it. Lines are what stands between ``\\n`` and are equal if all characters are.
 
     A text that loses all its lines becomes null. A null text counts as one empty line and stays null. Other columns pass through whatever

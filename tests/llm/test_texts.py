@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,6 +151,38 @@ def test_short_lines_many_times_and_overlapping_runs(spark):
     assert multiset(linerun.dedup_lines(table(spark, rows)).select("doc.doc_id", "doc.text", "n_lines", "n_deleted")) == plain_lines(rows)
 
 
+def every_repeated_line(rows, least=50):
+    """Each line of any run of at least ``least`` words that also stands earlier."""
+    first, found = {}, []
+    for k, (_, text) in enumerate(rows):
+        lines = text.split("\n")
+        counts = [len(words(x)) for x in lines]
+        drop = [False] * len(lines)
+        for p in range(len(lines)):
+            for q in range(p, len(lines)):
+                if sum(counts[p : q + 1]) >= least and first.setdefault(tuple(lines[p : q + 1]), (k, p)) < (k, p):
+                    drop[p : q + 1] = [True] * (q + 1 - p)
+        left = [x for x, d in zip(lines, drop, strict=True) if not d]
+        found.append((rows[k][0], "\n".join(left) if left else None, len(lines), sum(drop)))
+    return Counter(found)
+
+
+def test_runs_go_to_their_last_line(spark):
+    rng = random.Random(11)
+
+    def lines(*counts):
+        return [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in counts]
+
+    two, five, blank, long_ = lines(60, 10), lines(12, 30, 9, 20, 5), ["", *lines(55), "", ""], lines(50, *[1] * 40, 30, 0, 15, 3)
+    rows = [["own a", *two], two, [*two, "own b"], five, ["own c", *five, "own d"], blank, ["own e", *blank, "own f"], long_, [*long_[:20], "own g"], ["own h", *long_[3:], *long_]]
+    pool = lines(*[rng.randrange(0, 40) for _ in range(12)])
+    rows += [[x for _ in range(5) for at in [rng.randrange(12)] for x in pool[at : at + rng.randrange(1, 6)]] for _ in range(30)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(rows)]
+    expected = every_repeated_line(rows)
+    assert (1, None, 2, 2) in expected and (4, "own c\nown d", 7, 5) in expected
+    assert multiset(linerun.dedup_lines(table(spark, rows)).select("doc.doc_id", "doc.text", "n_lines", "n_deleted")) == expected
+
+
 # operator 4
 
 
