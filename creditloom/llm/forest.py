@@ -26,15 +26,21 @@ SAMPLE = 32_768
 LEAST_SAMPLE = 16
 #: Share of a node's sample on either side of the split that goes both ways.
 SPILL = 0.08
+#: Share of a node's near pairs that a split may part; the best of so many drawn splits is taken, estimated on so many vectors of the node.
+PARTED = 0.05
+DRAWS = 8
+PROBE = 512
 
 
 @dataclass
 class Forest:
-    """Trees as heaps: node k has the children 2k + 1 and 2k + 2. ``low`` and ``high`` bound the projections that go both ways."""
+    """Trees as heaps: node k has the children 2k + 1 and 2k + 2. ``low`` and ``high`` bound the projections that go both ways.
+    A node that is ``whole`` has no children."""
 
     directions: np.ndarray  # tree, node, dimension
     low: np.ndarray
     high: np.ndarray
+    whole: np.ndarray
     depth: int
 
     def route(self, unit: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +50,7 @@ class Forest:
             row = np.arange(len(unit)) if t == 0 else np.flatnonzero(depth > 0)
             node = np.zeros(len(row), dtype=np.int64)
             for level in range(self.depth):
-                deeper = depth[row] > level
+                deeper = (depth[row] > level) & ~self.whole[t][node]
                 done_row, done_node, row, node = row[~deeper], node[~deeper], row[deeper], node[deeper]
                 at = np.einsum("ij,ij->i", unit[row], self.directions[t][node])
                 left, right = at <= self.high[t][node], at >= self.low[t][node]
@@ -57,23 +63,49 @@ class Forest:
         return row[order], key[order]
 
 
-def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 7) -> Forest:
-    """Random directions; each split lies at a random rank between 40 and 60 per cent of the node's part of the sample."""
+def near_pairs(unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
+
+
+def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 7, cosine: float = COSINE) -> Forest:
+    """Random directions; each split lies at a random rank between 40 and 60 per cent of the node's part of the sample.
+
+    Of several drawn splits the one that parts the fewest pairs of ``cosine`` is taken. A node in which all of them part more than ``PARTED``, as in a
+    dense group of near copies, is not split, so the group is compared whole. A tree without a split compares all and is enough."""
     depth = max(0, min(depth, int(np.log2(max(1, len(sample) / LEAST_SAMPLE)))))
     n_nodes, dim = (1 << depth) - 1, sample.shape[1]
     rng = np.random.default_rng(seed)
-    directions = rng.normal(size=(trees, max(1, n_nodes), dim))
-    directions /= np.linalg.norm(directions, axis=2, keepdims=True)
-    low, high = np.full((trees, max(1, n_nodes)), -np.inf), np.full((trees, max(1, n_nodes)), np.inf)
+    shape = (trees, max(1, n_nodes))
+    directions = np.zeros((*shape, dim))
+    low, high, whole = np.full(shape, -np.inf), np.full(shape, np.inf), np.zeros(shape, dtype=bool)
     for t in range(trees):
         held = {0: np.arange(len(sample))}
         for node in range(n_nodes):
+            if node not in held:
+                continue
             own = held.pop(node)
-            at = sample[own] @ directions[t][node]
-            share = rng.uniform(0.4, 0.6)
-            low[t][node], split, high[t][node] = np.quantile(at, [share - spill, share, share + spill]) if len(at) else (0.0, 0.0, 0.0)
-            held[2 * node + 1], held[2 * node + 2] = own[at <= split], own[at > split]
-    return Forest(directions, low, high, depth)
+            probe = rng.choice(own, min(len(own), PROBE), replace=False)
+            a, b = near_pairs(sample[probe], cosine)
+            best = np.inf
+            for _ in range(DRAWS):
+                direction = rng.normal(size=dim)
+                direction /= np.linalg.norm(direction)
+                at = sample[own] @ direction
+                share = rng.uniform(0.4, 0.6)
+                limits = np.quantile(at, [share - spill, share, share + spill]) if len(at) else np.zeros(3)
+                tried = sample[probe] @ direction
+                left, right = tried <= limits[2], tried >= limits[0]
+                parted = 1 - ((left[a] & left[b]) | (right[a] & right[b])).mean() if len(a) else 0.0
+                if parted < best:
+                    best, directions[t][node], (low[t][node], split, high[t][node]), projected = parted, direction, limits, at
+                if not best:
+                    break
+            if best > PARTED:
+                whole[t][node] = True
+            else:
+                held[2 * node + 1], held[2 * node + 2] = own[projected <= split], own[projected > split]
+    needed = [int(np.argmax(whole[:, 0]))] if whole[:, 0].any() else list(range(trees))
+    return Forest(directions[needed], low[needed], high[needed], whole[needed], depth)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -185,7 +217,7 @@ def linked_vectors(
     directly, ``component_id`` is the smallest vec_id reachable, ``kept`` whether that is the row's own.
 
     Equal vectors of a label are one class with a number of copies. Splits are fitted on about ``sample`` classes, then all classes are routed; how deep follows
-    from the size of the label, so a label of up to ``leaf`` vectors is compared whole. A leaf that is still large is compared in blocks, one task for
+    from the size of the label, so a label of up to ``leaf`` vectors is compared whole. A group too dense to be split, or a leaf that is still large, is compared in blocks, one task for
     each pair of blocks. No pair leaves its task: each pair counts in its first common leaf, and links are handed on as a forest.
 
     Null, zero, empty and non-finite vectors, and rows without label, have no links. Vectors of different lengths do not link. Rows that repeat
@@ -201,7 +233,7 @@ def linked_vectors(
     chosen = bounded_sample(classes.select("cid", "vec"), ["cid"], sample).select("vec").toArrow().column("vec").combine_chunks() if deepest else pa.array([], pa.binary())
     length = max((len(x) for x in chosen.to_pylist()), default=8) if deepest else 8
     held = matrix(chosen.filter(pc.equal(pc.binary_length(chosen), length)), length // 8) if deepest else np.zeros((1, 1))
-    forest = spark.sparkContext.broadcast(fit_forest(held, deepest, trees if deepest else 1))
+    forest = spark.sparkContext.broadcast(fit_forest(held, deepest, trees if deepest else 1, cosine=cosine))
     leaves = _leaves(lookup(classes, sizes.select("label", "depth"), "label", "cid"), forest)
     large = leaves.groupBy("label", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     large = large.select("label", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))

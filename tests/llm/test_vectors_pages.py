@@ -78,6 +78,20 @@ def test_links_equal_brute_force(spark, leaf):
         assert 0.99 * there <= found <= there
 
 
+def test_links_within_a_dense_group(spark):
+    rng = np.random.default_rng(8)
+    n, dim = 3000, 64
+    unit = rng.normal(size=(n, dim))
+    unit[: n // 3] = rng.normal(size=dim) + rng.normal(size=(n // 3, dim)) * 0.22
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    there = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert there[: n // 3].mean() > 0.9 * (n // 3)
+    held = spark.createDataFrame([(i, v, 1) for i, v in enumerate(unit.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in forest.linked_vectors(held, leaf=47).collect()}
+    assert all(got[i] <= there[i] for i in range(n))
+    assert sum(got.values()) >= 0.98 * there.sum()
+
+
 def test_no_vectors(spark):
     assert forest.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
