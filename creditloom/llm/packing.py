@@ -15,9 +15,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import gather, slices, stored
+from creditloom.llm.common import gather, per_row, slices, stored
 
 END = 0
+#: The vocabulary's one special token. Its string in a text is that token, and cuts the text for all others.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Texts where a space touches other white space are tokenised whole; in all others every space starts a token.
 UNEVEN = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}] | [\s\x{1C}-\x{1F}\x{85}\p{Z}]"
 
@@ -40,13 +42,30 @@ def token_bytes(path: str) -> np.ndarray:
 
 
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts, flat, and their number for each text.
+    """Token ids of all texts, flat, and their number for each text; the special token's string is its one id."""
+    texts = pc.fill_null(texts, "")
+    if not pc.any(pc.match_substring(texts, SPECIAL)).as_py():
+        return encode_plain(texts, path)
+    between = pc.split_pattern(texts, SPECIAL)
+    n = np.diff(between.offsets.to_numpy()).astype(np.int64)
+    ids, counts = encode_plain(between.flatten(), path)
+    last = np.zeros(len(counts), dtype=bool)
+    last[np.cumsum(n) - 1] = True
+    with_special = counts + ~last
+    out = np.full(int(with_special.sum()), SPECIAL_ID, dtype=ids.dtype)
+    plain = np.ones(len(out), dtype=bool)
+    plain[(np.cumsum(with_special) - 1)[~last]] = False
+    out[plain] = ids
+    return out, per_row(with_special, n)
+
+
+def encode_plain(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of texts in which no string is special.
 
     Words repeat, so each distinct one is tokenised once for a batch: the pattern never lets a token go over a space, hence the
     ids of a text are those of its parts between spaces, one after the other. The distinct parts are tokenised as one string and
     cut where their bytes end.
     """
-    texts = pc.fill_null(texts, "")
     uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
     counts = np.zeros(len(texts), dtype=np.int64)
     even = np.flatnonzero(~uneven)
@@ -122,7 +141,7 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: str = "doc
     from a document's own number of tokens, and ids of sequences combine the writing task and the rank in it. The pieces are
     written to the shared folder first, so the ids stay as they are whatever is recomputed later.
 
-    A null or empty text is the single id 0. Rows with the same or a null doc_id are packed each for itself. An empty table gives
+    The string of the special token in a text is its one id. A null or empty text is the single id 0; a text of any length is tokenised whole. Rows with the same or a null doc_id are packed each for itself. An empty table gives
     no piece. Further columns are not carried.
     """
     if limit < 1 or limit & (limit - 1):

@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 # operator 6
