@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import Words, slices, stored, words_of
+from creditloom.session import small_side
 
 WINDOW = 10
 #: Words of test items that meet a block's lists at once; more are dealt out over several passes of that block.
@@ -119,15 +120,22 @@ def windows_at(words: Column, width: int = WINDOW) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
 
 
-def _meetings(index: DataFrame, items: DataFrame, width: int) -> DataFrame:
+def lists_of(index: DataFrame, items: DataFrame) -> DataFrame:
+    """The lists of the items' terms, and every block's row of documents. One pass over the index; all that follows reads these lists only."""
+    terms = small_side(stored(items.select(F.explode("words").alias("term")).distinct(), "terms"))
+    wanted = index.where(F.col("term").isNotNull()).join(terms, "term", "left_semi").select(*index.columns)
+    return stored(wanted.union(index.where(F.col("term").isNull())), "lists")
+
+
+def _meetings(lists: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """``block, iid``: the blocks that hold the rarest term of one of an item's windows. A window with a term that no block holds meets none."""
     spread = items.select("iid", F.posexplode("words").alias("pos", "term"))
-    totals = index.where(F.col("term").isNotNull()).join(spread.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
+    totals = lists.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("total"))
     rated = spread.join(totals, "term", "left").groupBy("iid").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("total", F.lit(0)).alias("total"), "term"))).alias("r"))
     keyed = rated.select("iid", F.transform("r", lambda c: F.struct(c["total"].alias("total"), c["term"].alias("term"))).alias("r"))
     rarest = F.array_distinct(F.transform(windows_at(F.col("r"), width), lambda s: F.array_min(F.slice("r", s, width))))
     wanted = keyed.select("iid", F.explode(rarest).alias("w")).where("w.total > 0").select("iid", F.col("w.term").alias("term"))
-    return index.select("block", "term").join(wanted, "term").select("block", "iid").distinct()
+    return lists.select("block", "term").join(wanted, "term").select("block", "iid").distinct()
 
 
 class Block:
@@ -235,9 +243,10 @@ def matches(index: DataFrame, items: DataFrame, width: int = WINDOW, within: int
     size = items.agg(F.sum(F.size("words"))).first()[0] or 0
     chunks = -(-size // CHUNK_WORDS) or 1
     cell = lambda chunk: (F.col("block") * chunks + chunk).alias("cell")
-    pairs = _meetings(index, items, width).select("block", "iid", cell(F.pmod(F.xxhash64("iid"), F.lit(chunks))))
+    held = lists_of(index, items)
+    pairs = _meetings(held, items, width).select("block", "iid", cell(F.pmod(F.xxhash64("iid"), F.lit(chunks))))
     pairs = stored(pairs, "meetings")
-    lists = index.select("block", "term", "n", "gaps", "docs", cell(F.lit(0)) if chunks == 1 else F.explode(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda c: F.col("block") * chunks + c)).alias("cell"))
+    lists = held.select("block", "term", "n", "gaps", "docs", cell(F.lit(0)) if chunks == 1 else F.explode(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda c: F.col("block") * chunks + c)).alias("cell"))
     lists = lists.join(pairs.select("cell").distinct(), "cell", "left_semi")
     sent = pairs.join(items.select("iid", "words"), "iid").select("cell", "iid", "words")
 
