@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from creditloom.operators.joins import join_panel
 from creditloom.operators.labels import default_rows, loss_rows
+from creditloom.session import fresh_path
+
+_SAVED: dict[tuple[str, str, str], str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +35,14 @@ def query(name: str, sql: str | None = None, views: str = ""):
     return wrap
 
 
+def saved(spark: SparkSession, sf_dir: str, name: str, kind, fit: Callable):
+    """An artefact that is fitted once for a session and its data, written to the shared folder, and loaded by every query that uses it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SAVED:
+        _SAVED[key] = fit().save(fresh_path(spark, name))
+    return kind.load(_SAVED[key])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from creditloom.catalog import base
-from creditloom.catalog.base import query
+from creditloom.catalog.base import query, saved
 from creditloom.catalog.panel import day
-from creditloom.catalog.stress import KEYS, featured_rows, path_table, peak_table
+from creditloom.catalog.stress import KEYS, PATHS, featured_rows, path_table, peak_table
 from creditloom.functions.scalars import rounded
-from creditloom.operators import attribution, calibration, encoding, labels, metrics, models, scenarios, splits
+from creditloom.operators import attribution, calibration, encoding, metrics, models, scenarios, splits
 from creditloom.operators.scenarios import PATH_SCENARIOS, PEAK_SCENARIOS
+from creditloom.session import fresh_path
 
 PD_COLS = ["credit_score", "orig_upb", "loan_age", "current_upb", "delinquency_status", "occupancy_status"]
-#: Fewer rounds than the 500 of the operator, of full depth: a query fits its model anew each time it runs.
-SMALL = {"maxIter": 25, "minInstancesPerNode": 5}
-
-
 def modelling_rows(spark, sf):
     return base.pd_rows(spark, sf).select(*KEYS, "split", "default_12m", *PD_COLS)
 
@@ -25,14 +23,17 @@ def train_part(df):
     return df.filter(F.col("split") == "train")
 
 
+def logistic(spark, sf):
+    return saved(spark, sf, "logistic", models.LogisticPd, lambda: models.fit_logistic_pd(train_part(modelling_rows(spark, sf)), PD_COLS))
+
+
 def scored_logistic(spark, sf):
-    rows = modelling_rows(spark, sf)
-    return models.fit_logistic_pd(train_part(rows), PD_COLS).transform(rows)
+    return logistic(spark, sf).transform(modelling_rows(spark, sf))
 
 
 def boosted(spark, sf):
     rows = modelling_rows(spark, sf)
-    return rows, models.fit_boosted_pd(train_part(rows), PD_COLS, ["occupancy_status"], **SMALL)
+    return rows, saved(spark, sf, "boosted", models.BoostedPd, lambda: models.fit_boosted_pd(train_part(rows), PD_COLS, ["occupancy_status"]))
 
 
 @query("median_values", views="fx_pd", sql="""
@@ -90,7 +91,7 @@ def class_weights(spark, sf):
 
 @query("logistic_coefficients")
 def logistic_coefficients(spark, sf):
-    return models.fit_logistic_pd(train_part(modelling_rows(spark, sf)), PD_COLS).coefficients(spark)
+    return logistic(spark, sf).coefficients(spark)
 
 
 @query("logistic_scores")
@@ -103,12 +104,12 @@ SELECT feature, TRUE AS solved FROM (VALUES ('intercept'), ('credit_score_woe'),
 def logistic_score_equations(spark, sf):
     """At the optimum the weighted residuals are at right angles to each feature, up to the penalty's pull."""
     train = train_part(modelling_rows(spark, sf))
-    m = models.fit_logistic_pd(train, PD_COLS)
-    z = encoding.standardised(m.woe.transform(m.transform(train)), m.moments)
+    m = logistic(spark, sf)
+    z = m.encoded(m.transform(train))
     w = encoding.balanced_weight(encoding.class_counts(train, "default_12m"), "default_12m")
     residual = w * (F.col("score") - F.col("default_12m"))
     sums = [F.sum(residual * (F.lit(1.0) if c is None else F.col(c))) for c in (None, *m.columns)]
-    pull = [0.0, *map(float, m.model.coefficients)]
+    pull = [0.0, *m.weights]
     names = ["intercept", *m.columns]
     off = F.array(*[F.struct(F.lit(n).alias("feature"), (F.abs(s + b) <= 1e-4 * F.sum(w)).alias("solved")) for n, s, b in zip(names, sums, pull)])
     return z.agg(off.alias("r")).select(F.inline("r"))
@@ -141,11 +142,8 @@ LGD_COLS = ["orig_upb", "credit_score", "loan_age", "current_upb", "channel", "o
 
 def loss_models(spark, sf):
     rows = base.lgd_rows(spark, sf)
-    m = models.fit_loss_models(
-        train_part(rows), LGD_COLS, ["channel", "occupancy_status"], others=[rows.filter(F.col("split") == "oos")],
-        forest_params={"numTrees": 25}, boosted_params={"maxIter": 25},
-    )
-    return rows, m
+    fit = lambda: models.fit_loss_models(train_part(rows), LGD_COLS, ["channel", "occupancy_status"], others=[rows.filter(F.col("split") == "oos")])
+    return rows, saved(spark, sf, "loss", models.LossModels, fit)
 
 
 @query("loss_predictions")
@@ -240,7 +238,7 @@ def attributed(spark, sf):
     """Attributions with the encoded feature values and the label beside them."""
     rows, m = boosted(spark, sf)
     feats = m.features
-    out = attribution.tree_attributions(m.model, m.vectors(rows), feats, keep=[*KEYS, "split", "default_12m", *feats])
+    out = attribution.tree_attributions(m.trees, m.vectors(rows), feats, keep=[*KEYS, "split", "default_12m", *feats])
     return out, feats
 
 
@@ -275,10 +273,10 @@ def attribution_waterfall(spark, sf):
 
 @query("extreme_risk_loans", views="fx_pd", sql="""
 WITH r AS (SELECT loan_seq_num, 1 / (1 + exp(-credit_score / 550.0::DOUBLE)) AS s FROM fx_pd)
-SELECT 'highest' AS which, round(max(s), 6) AS score FROM r UNION ALL SELECT 'lowest', round(min(s), 6) FROM r""")
+SELECT 'highest' AS which, arg_max(loan_seq_num, (s, -loan_seq_num)) AS loan_seq_num, round(max(s), 6) AS score FROM r UNION ALL SELECT 'lowest', arg_min(loan_seq_num, (s, loan_seq_num)), round(min(s), 6) FROM r""")
 def extreme_risk_loans(spark, sf):
     r = base.pd_rows(spark, sf).withColumn("score", 1 / (1 + F.exp(-F.col("credit_score") / 550.0)))
-    return attribution.extreme_rows(r, "score", ["loan_seq_num", "score"]).select("which", rounded(F.col("score")).alias("score"))
+    return attribution.extreme_rows(r, "score", ["loan_seq_num", "score"]).select("which", "loan_seq_num", rounded(F.col("score")).alias("score"))
 
 
 @query("attribution_segments")
@@ -340,27 +338,59 @@ MACRO_COLS = ["ur_3m_lag", "hpi_change", "loan_age", "credit_score"]
 
 def macro_model(spark, sf):
     rows = featured_rows(spark, sf)
-    full = labels.default_rows(base.panel(spark, sf)).select(*KEYS, "default_12m")
-    train = rows.join(full, KEYS)
-    m = models.fit_boosted_pd(train, MACRO_COLS, [], **SMALL)
-    return rows, lambda df: m.transform(df, "pd")
+    return rows, saved(spark, sf, "macro", models.BoostedPd, lambda: models.fit_boosted_pd(rows, MACRO_COLS, []))
 
 
 @query("model_path_losses")
 def model_path_losses(spark, sf):
-    rows, predict = macro_model(spark, sf)
-    pds = scenarios.model_path_pds(rows, path_table(spark, sf), predict, KEYS)
+    rows, m = macro_model(spark, sf)
+    pds = scenarios.ensemble_path_pds(rows, path_table(spark, sf), m, KEYS)
     return scenarios.ecl_summary(scenarios.path_ecl(pds, PATH_SCENARIOS, KEYS), PATH_SCENARIOS)
 
 
 @query("model_peak_losses")
 def model_peak_losses(spark, sf):
-    rows, predict = macro_model(spark, sf)
+    rows, m = macro_model(spark, sf)
     peaks = scenarios.peak_quarters(peak_table(spark, sf))
-    return scenarios.weighted_ecl(scenarios.model_scenario_pds(rows, peaks, predict, [*KEYS, "orig_upb"]), PEAK_SCENARIOS)
+    return scenarios.weighted_ecl(scenarios.ensemble_scenario_pds(rows, peaks, m, [*KEYS, "orig_upb"]), PEAK_SCENARIOS)
 
 
 @query("model_sensitivity")
 def model_sensitivity(spark, sf):
-    rows, predict = macro_model(spark, sf)
-    return scenarios.model_sensitivity(rows, predict)
+    return scenarios.ensemble_sensitivity(*macro_model(spark, sf))
+
+
+@query("model_path_agreement", views="fx_pd fx_ur", sql=PATHS + """
+SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, count(*) AS cells, TRUE AS same FROM fx_pd, paths WHERE quarter > 0 GROUP BY ALL""")
+def model_path_agreement(spark, sf):
+    """Every quarter of every path from the one pass over the trees, beside the score of a row that was changed to that quarter."""
+    rows, m = macro_model(spark, sf)
+    rows = scenarios.filled(rows, m.preparation.fills)
+    paths = path_table(spark, sf)
+    fan = scenarios.stressed_rows(rows.select(*KEYS, *MACRO_COLS), paths)
+    one = m.transform(fan, "pd").select(*KEYS, "scenario", "quarter", "pd")
+    arrays = scenarios.ensemble_path_pds(rows, paths, m, KEYS)
+    cells = F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.col(f"pds_{s.name.lower()}").alias("pds")) for s in PATH_SCENARIOS])
+    every = arrays.select(*KEYS, F.inline(cells)).select(*KEYS, "scenario", F.posexplode("pds").alias("q", "p")).withColumn("quarter", F.col("q") + 1).drop("q")
+    both = one.join(every, [*KEYS, "scenario", "quarter"])
+    return both.groupBy("loan_seq_num", day("report_date").alias("report_date")).agg(F.count(F.lit(1)).alias("cells"), F.every(F.abs(F.col("p") - F.col("pd")) < 1e-12).alias("same"))
+
+
+@query("reloaded_scores", views="fx_pd", sql="""
+SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, TRUE AS logistic, TRUE AS boosted, TRUE AS margin FROM fx_pd""")
+def reloaded_scores(spark, sf):
+    """Scores of the artefacts as they were fitted beside those of the same ones saved, loaded and run as stages of a pipeline that was itself saved and loaded."""
+    rows, trees = boosted(spark, sf)
+    fresh = {"logistic": logistic(spark, sf), "boosted": trees}
+    path = fresh_path(spark, "pipeline")
+    PipelineModel([m.into(k) for k, m in fresh.items()]).write().save(path)
+    direct = rows
+    for k, m in fresh.items():
+        direct = m.transform(direct, f"d_{k}")
+    direct = direct.withColumn("d_margin", F.log(F.col("d_boosted") / (1 - F.col("d_boosted"))))
+    both = PipelineModel.load(path).transform(direct)
+    margin = attribution.tree_attributions(trees.trees, trees.vectors(both.withColumns({f"_{c}": F.col(c) for c in ("logistic", "boosted")})), trees.features, keep=[*KEYS, "d_logistic", "d_boosted", "d_margin", "_logistic", "_boosted"])
+    return margin.select(
+        "loan_seq_num", day("report_date").alias("report_date"), (F.col("d_logistic") == F.col("_logistic")).alias("logistic"), (F.col("d_boosted") == F.col("_boosted")).alias("boosted"),
+        (F.abs(F.col("margin") - F.col("d_margin")) < 1e-9).alias("margin"),
+    )

@@ -116,11 +116,15 @@ def complete_case_rows(spark, sf):
 
 
 @query("usable_feature_counts", views="fx_panel", sql="""
-SELECT count(actual_loss) AS actual_loss, count(zero_balance_removal_upb) AS zero_balance_removal_upb,
-       count(credit_score) AS credit_score, count(CASE WHEN credit_score < 0 THEN 1 END) AS never FROM fx_panel""")
+WITH n AS (SELECT count(actual_loss) AS a, count(zero_balance_removal_upb) AS b, count(credit_score) AS c, count(CASE WHEN credit_score < 0 THEN 1 END) AS d FROM fx_panel)
+SELECT feature, n > 0 AS usable, n FROM (SELECT 'actual_loss' AS feature, a AS n FROM n UNION ALL SELECT 'zero_balance_removal_upb', b FROM n
+  UNION ALL SELECT 'credit_score', c FROM n UNION ALL SELECT 'never', d FROM n)""")
 def usable_feature_counts(spark, sf):
     p = base.panel(spark, sf).withColumn("never", F.when(F.col("credit_score") < 0, 1))
-    return p.agg(*[F.count(c).alias(c) for c in ("actual_loss", "zero_balance_removal_upb", "credit_score", "never")])
+    names = ["actual_loss", "zero_balance_removal_upb", "credit_score", "never"]
+    live = labels.usable_columns(p, names)
+    cells = [F.struct(F.lit(c).alias("feature"), F.lit(c in live).alias("usable"), F.count(c).alias("n")) for c in names]
+    return p.agg(F.array(*cells).alias("r")).select(F.inline("r"))
 
 
 CUT = dt.date(2000, 6, 1)

@@ -114,11 +114,11 @@ def loss_by_channel(spark, sf):
 
 
 @query("loss_histogram_by_channel", views="fx_lgd", sql="""
-WITH b AS (SELECT channel, CASE WHEN lgd = 1 THEN 20 ELSE CAST(floor(lgd / 0.05::DOUBLE) AS INTEGER) + 1 END AS bin_no FROM fx_lgd)
-SELECT channel, CAST(count(*) AS BIGINT) AS n, CAST(min(bin_no) AS INTEGER) AS first_bin, CAST(max(bin_no) AS INTEGER) AS last_bin FROM b GROUP BY 1""")
+WITH b AS (SELECT channel, CASE WHEN lgd = 1 THEN 20 ELSE CAST(floor(20 * lgd::DOUBLE) AS INTEGER) + 1 END AS bin_no FROM fx_lgd)
+SELECT channel, bin_no, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY channel) * 0.05::DOUBLE), 6) AS density FROM b GROUP BY 1, 2""")
 def loss_histogram_by_channel(spark, sf):
     h = reports.histogram(base.lgd_rows(spark, sf), ["channel"], "lgd", 0, 1, 20)
-    return h.groupBy("channel").agg(F.sum("n").alias("n"), F.min("bin_no").alias("first_bin"), F.max("bin_no").alias("last_bin"))
+    return h.select("channel", "bin_no", "n", rounded(F.col("density")).alias("density"))
 
 
 @query("latest_rate_level", views="fx_ur", sql="""

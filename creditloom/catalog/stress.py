@@ -9,7 +9,7 @@ from creditloom.catalog.base import query
 from creditloom.catalog.panel import day
 from creditloom.catalog.report import quant
 from creditloom.functions.scalars import rounded
-from creditloom.operators import joins, labels, ordered, reports, scenarios
+from creditloom.operators import encoding, joins, labels, ordered, reports, scenarios
 from creditloom.operators.scenarios import PATH_SCENARIOS, PEAK_SCENARIOS
 from creditloom.sources import macro
 
@@ -115,24 +115,21 @@ def path_summary(spark, sf):
 
 @query("stressed_feature_rows", views="fx_pd fx_ur", sql=PATHS + """
 SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, scenario, quarter, ur AS ur_3m_lag, round(1 / hpi_ratio, 6) AS hpi_change, CAST(loan_age + quarter * 3 AS INTEGER) AS loan_age
-FROM fx_pd, paths WHERE quarter IN (4, 20)""")
+FROM fx_pd, paths WHERE quarter > 0""")
 def stressed_feature_rows(spark, sf):
-    paths = path_table(spark, sf).filter(F.col("quarter").isin(4, 20)).collect()
-    cells = F.array(*[F.struct(F.lit(r["scenario"]).alias("scenario"), F.lit(r["quarter"]).alias("quarter"), F.lit(r["ur"]).alias("u"), F.lit(r["hpi_ratio"]).alias("h")) for r in paths])
-    fan = risk_rows(spark, sf).select("*", F.inline(cells))
-    out = fan.withColumns(scenarios.override_columns("u", "h", "quarter"))
+    out = scenarios.stressed_rows(risk_rows(spark, sf), path_table(spark, sf))
     return out.select("loan_seq_num", day("report_date").alias("report_date"), "scenario", "quarter", "ur_3m_lag", rounded(F.col("hpi_change")).alias("hpi_change"), "loan_age")
 
 
 @query("survival_product", views="fx_pd fx_ur", sql=LONG + """
 SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, """ + ", ".join(
-    f"round(max(CASE WHEN scenario = '{s.name}' AND quarter = {q} THEN alive END), 6) AS alive_{s.name.lower()}_{q}" for s in PATH_SCENARIOS for q in (4, 20)
+    f"round(max(CASE WHEN scenario = '{s.name}' AND quarter = {q} THEN alive END), 6) AS alive_{s.name.lower()}_{q}" for s in PATH_SCENARIOS for q in range(1, 21)
 ) + " FROM lng GROUP BY 1, 2")
 def survival_product(spark, sf):
     arrays = {s: scenarios.survival_array(F.col(f"pds_{s.name.lower()}")) for s in PATH_SCENARIOS}
     return projected(spark, sf).select(
         "loan_seq_num", day("report_date").alias("report_date"),
-        *[rounded(F.get(a, F.lit(q))).alias(f"alive_{s.name.lower()}_{q}") for s, a in arrays.items() for q in (4, 20)],
+        *[rounded(F.get(a, F.lit(q))).alias(f"alive_{s.name.lower()}_{q}") for s, a in arrays.items() for q in range(1, 21)],
     )
 
 
@@ -240,23 +237,26 @@ def peak_weighted_ecl(spark, sf):
 
 
 def featured_rows(spark, sf):
+    """All rows of the book; those without a rate or an index keep them empty."""
     p = labels.default_rows(base.panel(spark, sf))
     p = joins.attach_rate_lag(joins.attach_price_change(p, base.price_index(spark, sf)), base.unemployment(spark, sf))
-    return p.select(*KEYS, "loan_age", "credit_score", "orig_upb", "ur_3m_lag", "hpi_change").dropna()
+    return p.select(*KEYS, "default_12m", "loan_age", "credit_score", "orig_upb", "ur_3m_lag", "hpi_change")
 
 
 @query("macro_sensitivity", views="fx_pd fx_ur fx_hpi", sql="""
 WITH lags AS (SELECT DISTINCT report_date, CAST(report_date - INTERVAL 3 MONTH AS DATE) AS lag_date FROM fx_pd),
 near AS (SELECT report_date, unemployment_rate AS ur, row_number() OVER (PARTITION BY report_date ORDER BY abs(datediff('day', date, lag_date)), date) AS rn
    FROM lags JOIN fx_ur ON abs(datediff('day', date, lag_date)) <= 45),
-f AS (SELECT p.credit_score, p.loan_age, n.ur, CASE WHEN c.hpi_index > 0 THEN o.hpi_index / c.hpi_index END AS hpi FROM fx_pd p JOIN near n ON n.report_date = p.report_date AND n.rn = 1
-  JOIN fx_hpi o ON o.zip3 = p.zip3 AND o.year = year(p.orig_date) AND o.quarter = quarter(p.orig_date)
-  JOIN fx_hpi c ON c.zip3 = p.zip3 AND c.year = year(p.report_date) AND c.quarter = quarter(p.report_date)),
+e AS (SELECT p.credit_score, p.loan_age, n.ur, CASE WHEN c.hpi_index > 0 THEN o.hpi_index / c.hpi_index END AS hpi FROM fx_pd p LEFT JOIN near n ON n.report_date = p.report_date AND n.rn = 1
+  LEFT JOIN fx_hpi o ON o.zip3 = p.zip3 AND o.year = year(p.orig_date) AND o.quarter = quarter(p.orig_date)
+  LEFT JOIN fx_hpi c ON c.zip3 = p.zip3 AND c.year = year(p.report_date) AND c.quarter = quarter(p.report_date)),
+f AS (SELECT credit_score, loan_age, coalesce(ur, (SELECT median(ur) FROM e)) AS ur, coalesce(hpi, (SELECT median(hpi) FROM e)) AS hpi FROM e),
 """ + f"m AS (SELECT avg({sql_pd('ur', 'hpi', 'loan_age')}) AS b, avg({sql_pd('(ur + 1.0)', 'hpi', 'loan_age')}) AS u, avg({sql_pd('ur', '(hpi + 0.1)', 'loan_age')}) AS h FROM f)" + """
 SELECT 'ur_3m_lag' AS feature, 1.0::DOUBLE AS shock, round(b * 100, 6) AS pd_base_pct, round(u * 100, 6) AS pd_shocked_pct, round((u - b) * 100, 6) + 0 AS delta_pd_pp FROM m
 UNION ALL SELECT 'hpi_change', 0.1::DOUBLE, round(b * 100, 6), round(h * 100, 6), round((h - b) * 100, 6) + 0 FROM m""")
 def macro_sensitivity(spark, sf):
-    s = scenarios.sensitivity(featured_rows(spark, sf), SCORER)
+    rows = featured_rows(spark, sf)
+    s = scenarios.sensitivity(scenarios.filled(rows, encoding.medians(rows, ["ur_3m_lag", "hpi_change"])), SCORER)
     return s.withColumns({c: rounded(F.col(c)) for c in ("pd_base_pct", "pd_shocked_pct", "delta_pd_pp")})
 
 
@@ -264,8 +264,8 @@ def macro_sensitivity(spark, sf):
 l AS (SELECT 'Severe' AS scenario, pd * 0.4::DOUBLE * orig_upb / 1000 AS loss FROM sp WHERE scenario = 'Severe'), """ + quant("l", "scenario", "loss", [(99, 100)]) + """
 SELECT scenario, round(any_value(q1), 6) AS quantile, round(avg(CASE WHEN loss >= q1 THEN loss END), 6) AS tail_mean FROM l JOIN qs ON g = scenario GROUP BY 1""")
 def loan_loss_quantile(spark, sf):
-    l = peak_pds(spark, sf).select(F.lit("Severe").alias("scenario"), (F.col("pd_severe") * 0.4 * F.col("orig_upb") / 1000).alias("loss"))
-    return scenarios.loan_loss_quantile(l, "loss", ["scenario"]).withColumns({c: rounded(F.col(c)) for c in ("quantile", "tail_mean")})
+    l = peak_pds(spark, sf).select((F.col("pd_severe") * 0.4 * F.col("orig_upb") / 1000).alias("loss"))
+    return scenarios.loan_loss_quantile(l, "loss").withColumn("scenario", F.lit("Severe")).withColumns({c: rounded(F.col(c)) for c in ("quantile", "tail_mean")})
 
 
 @query("path_against_peak", views="fx_pd fx_ur", sql=ECL + """,
@@ -281,13 +281,13 @@ def path_against_peak(spark, sf):
 
 
 @query("stressed_pd_distribution", views="fx_pd fx_ur", sql=PEAK_PD + """,
-b AS (SELECT scenario, least(CAST(floor(pd * 100 / 0.5::DOUBLE) AS INTEGER) + 1, 40) AS bin_no FROM sp WHERE pd * 100 BETWEEN 0 AND 20)
-SELECT scenario, CAST(sum(1) AS BIGINT) AS n FROM b GROUP BY 1""")
+b AS (SELECT scenario, least(CAST(floor(40 * (pd * 100) / 20) AS INTEGER) + 1, 40) AS bin_no FROM sp WHERE pd * 100 BETWEEN 0 AND 20)
+SELECT scenario, bin_no, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY scenario) * 0.5::DOUBLE), 6) AS density FROM b GROUP BY 1, 2""")
 def stressed_pd_distribution(spark, sf):
     p = peak_pds(spark, sf)
     cells = F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.col(f"pd_{s.name.lower()}").alias("pd")) for s in PEAK_SCENARIOS])
     h = reports.histogram(p.select(F.inline(cells)), ["scenario"], F.col("pd") * 100, 0, 20, 40)
-    return h.groupBy("scenario").agg(F.sum("n").alias("n"))
+    return h.select("scenario", "bin_no", "n", rounded(F.col("density")).alias("density"))
 
 
 @query("stressed_pd_percentiles", views="fx_pd fx_ur", sql=PEAK_PD + "," + quant("sp", "scenario", "pd", [(1, 2), (95, 100), (99, 100)]) + """
@@ -314,9 +314,9 @@ def loss_exposure_histogram(spark, sf):
 
 
 @query("stressed_pd_ecdf", views="fx_pd fx_ur", sql=PEAK_PD + """,
-d AS (SELECT scenario, round(pd, 4) AS pd, count(*) AS n FROM sp GROUP BY 1, 2)
+d AS (SELECT scenario, round(pd, 12) AS pd, count(*) AS n FROM sp GROUP BY 1, 2)
 SELECT scenario, pd, n, round(sum(n) OVER (PARTITION BY scenario ORDER BY pd) / sum(n) OVER (PARTITION BY scenario), 6) AS ecdf FROM d""")
 def stressed_pd_ecdf(spark, sf):
     p = peak_pds(spark, sf)
-    cells = F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.round(f"pd_{s.name.lower()}", 4).alias("pd")) for s in PEAK_SCENARIOS])
+    cells = F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.round(f"pd_{s.name.lower()}", 12).alias("pd")) for s in PEAK_SCENARIOS])
     return ordered.ecdf(p.select(F.inline(cells)), ["scenario"], "pd").withColumn("ecdf", rounded(F.col("ecdf")))

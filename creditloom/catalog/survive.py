@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditloom.catalog import base
-from creditloom.catalog.base import query
+from creditloom.catalog.base import query, saved
 from creditloom.catalog.panel import day
 from creditloom.functions.scalars import rounded
 from creditloom.operators import metrics, reports, survival
@@ -17,6 +17,10 @@ def survival_rows(spark, sf):
     return survival.survival_table(base.pd_rows(spark, sf), COVARIATES, keep=("channel",))
 
 
+def cox(spark, sf):
+    return saved(spark, sf, "cox", survival.CoxArtefact, lambda: survival.CoxArtefact(survival.fit_cox(survival_rows(spark, sf), COVARIATES))).model
+
+
 @query("survival_table", views="fx_survival", sql="""
 SELECT loan_seq_num, CAST(duration AS INTEGER) AS duration, event, credit_score, delinquency_indicator, orig_upb, channel, strftime(first_date, '%Y-%m-%d') AS first_date FROM fx_survival""")
 def survival_table(spark, sf):
@@ -76,43 +80,42 @@ def log_rank_by_channel(spark, sf):
 
 
 @query("concordance_index", views="fx_survival", sql="""
-WITH c AS (SELECT round(credit_score / 550, 2) AS r, duration AS d, sum(event) AS ev, sum(1 - event) AS ce FROM fx_survival GROUP BY 1, 2),
+WITH c AS (SELECT credit_score / 550 + orig_upb / 1e7 AS r, duration AS d, sum(event) AS ev, sum(1 - event) AS ce FROM fx_survival GROUP BY 1, 2),
 p AS (SELECT sum(a.ev * CASE WHEN b.d > a.d THEN b.ev + b.ce ELSE b.ce END * CASE WHEN a.r > b.r THEN 1 WHEN a.r = b.r THEN 0.5 ELSE 0 END)::DOUBLE AS won,
    sum(a.ev * CASE WHEN b.d > a.d THEN b.ev + b.ce ELSE b.ce END) AS pairs FROM c a JOIN c b ON b.d >= a.d WHERE a.ev > 0)
 SELECT CAST(pairs AS BIGINT) AS n_pairs, round(won / pairs, 6) AS c_index FROM p""")
 def concordance_index(spark, sf):
-    s = survival_rows(spark, sf).withColumn("risk", F.round(F.col("credit_score") / 550, 2))
+    s = survival_rows(spark, sf).withColumn("risk", F.col("credit_score") / 550 + F.col("orig_upb") / 1e7)
     return survival.concordance_index(s, "risk").withColumn("c_index", rounded(F.col("c_index")))
 
 
 @query("cox_coefficients")
 def cox_coefficients(spark, sf):
-    return survival.cox_summary(survival.fit_cox(survival_rows(spark, sf), COVARIATES), spark)
+    return survival.cox_summary(cox(spark, sf), spark)
 
 
 @query("horizon_default_probability")
 def horizon_default_probability(spark, sf):
-    s = survival_rows(spark, sf)
-    return survival.horizon_pds(survival.fit_cox(s, COVARIATES), s)
+    return survival.horizon_pds(cox(spark, sf), survival_rows(spark, sf))
 
 
 @query("horizon_probability_summary")
 def horizon_probability_summary(spark, sf):
     s = survival_rows(spark, sf)
-    h = survival.horizon_pds(survival.fit_cox(s, COVARIATES), s)
+    h = survival.horizon_pds(cox(spark, sf), s)
     return reports.horizon_summary(h, {f"pd_{m}m": f"{m}m" for m in (12, 24, 36, 60)})
 
 
 @query("horizon_calibration")
 def horizon_calibration(spark, sf):
     s = survival_rows(spark, sf)
-    return survival.horizon_calibration(survival.horizon_pds(survival.fit_cox(s, COVARIATES), s))
+    return survival.horizon_calibration(survival.horizon_pds(cox(spark, sf), s))
 
 
 @query("schoenfeld_trend")
 def schoenfeld_trend(spark, sf):
     s = survival_rows(spark, sf)
-    r = survival.schoenfeld_residuals(survival.fit_cox(s, COVARIATES), s)
+    r = survival.schoenfeld_residuals(cox(spark, sf), s)
     return survival.with_correlation_p(survival.linear_trend(r, ["feature"], "residual", "duration"))
 
 

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import clip, code_label, percentage_points, right_closed_bin, sigmoid
-from creditloom.operators.evidence import feature_tally
-from creditloom.operators.ordered import even_probs, exact_quantiles, quantiles_of_tally
+from creditloom.operators.ordered import even_probs, exact_quantiles
+from creditloom.operators.ranks import column_quantiles
 from creditloom.operators.reports import FEATURE_LABELS
-from creditloom.session import fresh_path
+from creditloom.operators.trees import Trees, read_trees
+
+#: Rows that meet all leaves at once, and places of the arrays in between.
+ROWS, CELLS = 256, 1 << 21
 
 
 # ----------------------------------------------------------------------------------------------------------
-# Trees as flat tables. Models are bounded by their training parameters (trees x 2^depth nodes), not by data.
+# Leaves as tables of answers. Models are bounded by their training parameters (trees x 2^depth nodes), not by data.
 # ----------------------------------------------------------------------------------------------------------
 @dataclass
 class LeafPath:
@@ -33,118 +37,112 @@ class LeafPath:
     share: list[float]
 
 
-def export_leaves(model, spark) -> list[LeafPath]:
-    """Leaves of a fitted boosted model on the margin scale (log-odds for the classifier).
-
-    Node tables are read from the saved model in the shared folder. Splits must be on continuous columns.
-    """
-    path = fresh_path(spark, "tree-model")
-    model.write().save(path)
-    nodes: dict[int, dict[int, tuple]] = {}
-    for r in spark.read.parquet(f"{path}/data").collect():
-        nd = r["nodeData"]
-        sp = nd["split"]
-        nodes.setdefault(r["treeID"], {})[nd["id"]] = (
-            nd["prediction"], float(nd["rawCount"]), nd["leftChild"], nd["rightChild"],
-            sp["featureIndex"], sp["leftCategoriesOrThreshold"], sp["numCategories"],
-        )
-    scale = 2.0 if hasattr(model, "numClasses") else 1.0
-    weights = list(model.treeWeights)
+def leaf_paths(trees: Trees) -> list[LeafPath]:
     leaves: list[LeafPath] = []
-    for tree, table in nodes.items():
-        factor = scale * weights[tree]
-        todo = [(0, {})]
+    for root in trees.roots:
+        todo: list[tuple[int, dict[int, tuple[float, float, float]]]] = [(int(root), {})]
         while todo:
             i, met = todo.pop()
-            prediction, count, left, right, feature, threshold, n_cat = table[i]
-            if left < 0:
+            f = int(trees.feature[i])
+            if f < 0:
                 keys = sorted(met)
-                leaves.append(LeafPath(
-                    factor * prediction, keys, [met[k][0] for k in keys], [met[k][1] for k in keys], [met[k][2] for k in keys]
-                ))
+                leaves.append(LeafPath(float(trees.value[i]), keys, [met[k][0] for k in keys], [met[k][1] for k in keys], [met[k][2] for k in keys]))
                 continue
-            if n_cat not in (-1, 0):
-                raise ValueError("attribution supports continuous splits; encode categories as numbers")
-            lo, hi, share = met.get(feature, (-np.inf, np.inf, 1.0))
-            cut = threshold[0]
-            for child, bounds in ((left, (lo, min(hi, cut))), (right, (max(lo, cut), hi))):
-                todo.append((child, {**met, feature: (*bounds, share * table[child][1] / count)}))
+            lo, hi, share = met.get(f, (-np.inf, np.inf, 1.0))
+            cut = float(trees.threshold[i])
+            for child, bounds in ((int(trees.below[i]), (lo, min(hi, cut))), (int(trees.above[i]), (max(lo, cut), hi))):
+                todo.append((child, {**met, f: (*bounds, share * trees.count[child] / trees.count[i])}))
     return leaves
 
 
-def _add_leaf(phi: np.ndarray, x: np.ndarray, leaf: LeafPath, weights: dict[int, np.ndarray]) -> float:
-    """Add one leaf's Shapley shares to ``phi`` (rows x features); returns its mean value."""
-    m = len(leaf.features)
-    share = np.array(leaf.share)
-    mean = leaf.value * float(np.prod(share))
-    if m == 0:
-        return mean
-    taken = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi in zip(leaf.features, leaf.lower, leaf.upper)], axis=1)
-    # Rows that meet the same conditions share one answer; there are at most 2^m of them.
-    code = taken @ (1 << np.arange(m))
-    seen, inverse = np.unique(code, return_inverse=True)
-    one = ((seen[:, None] >> np.arange(m)) & 1).astype(float)
-    for i in range(m):
-        # coefficients by coalition size of prod_{j != i} (share_j + one_j * t)
-        poly = np.zeros((len(seen), m))
-        poly[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                moved = np.zeros_like(poly)
-                moved[:, 1:] = poly[:, :-1] * one[:, j : j + 1]
-                poly = poly * share[j] + moved
-        amount = leaf.value * (one[:, i] - share[i]) * (poly @ weights[m])
-        phi[:, leaf.features[i]] += amount[inverse]
-    return mean
-
-
-def _size_weights(limit: int) -> dict[int, np.ndarray]:
-    """|S|! (m - |S| - 1)! / m! for every coalition size."""
-    from math import factorial
+def export_leaves(model, spark) -> list[LeafPath]:
+    """Leaves of a fitted Spark model on the margin scale (log-odds for the classifier)."""
+    return leaf_paths(read_trees(model, spark))
 
-    return {m: np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]) for m in range(1, limit + 1)}
 
+def _size_weights(m: int) -> np.ndarray:
+    """|S|! (m - |S| - 1)! / m! for every coalition size."""
+    return np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
 
-def tree_attributions(
-    model, df: DataFrame, features: Sequence[str], vector: str = "features", keep: Sequence[str] = ()
-) -> DataFrame:
-    """Shapley values of every row, ``shap_<feature>``, with base value, margin and probability.
 
-    Path-dependent values with the training row counts of the nodes. Rows stay in their partitions: the
-    leaf table is broadcast, the feature vector goes through Arrow in batches, and no row is sampled away.
-    The margin comes from the model itself, so base + sum of values can be checked against it.
+@dataclass
+class LeafTables:
+    """All leaves that meet ``m`` features: what each of the 2^m answers to their conditions adds to each of the m features, worked out once for the model."""
+
+    features: np.ndarray  # leaves x m
+    lower: np.ndarray
+    upper: np.ndarray
+    answers: np.ndarray  # leaves x 2^m x m
+
+    def add(self, phi: np.ndarray, x: np.ndarray) -> None:
+        """Add the shares of every row to ``phi`` (rows x features): a condition code picks each leaf's answer."""
+        n_leaves, m = self.features.shape
+        step = max(1, CELLS // (max(1, len(x)) * m))
+        bits = 1 << np.arange(m)
+        for k in range(0, n_leaves, step):
+            part = slice(k, k + step)
+            held = x[:, self.features[part]]
+            code = ((held > self.lower[part]) & (held <= self.upper[part])) @ bits
+            amount = self.answers[part][np.arange(code.shape[1]), code]  # rows x leaves x m
+            owner = np.zeros((amount.shape[1] * m, phi.shape[1]))
+            owner[np.arange(len(owner)), self.features[part].ravel()] = 1.0
+            phi += amount.reshape(len(x), -1) @ owner
+
+
+def leaf_tables(leaves: Sequence[LeafPath]) -> tuple[list[LeafTables], float]:
+    """Tables by number of features, and the base value: the mean of all leaves."""
+    base = sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves)
+    out = []
+    for m in sorted({len(leaf.features) for leaf in leaves} - {0}):
+        own = [leaf for leaf in leaves if len(leaf.features) == m]
+        share, value = np.array([leaf.share for leaf in own]), np.array([leaf.value for leaf in own])
+        one = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
+        answers = np.zeros((len(own), 1 << m, m))
+        weights = _size_weights(m)
+        for i in range(m):
+            # coefficients by coalition size of prod_{j != i} (share_j + one_j * t)
+            poly = np.zeros((len(own), 1 << m, m))
+            poly[:, :, 0] = 1.0
+            for j in range(m):
+                if j != i:
+                    moved = np.zeros_like(poly)
+                    moved[:, :, 1:] = poly[:, :, :-1] * one[None, :, j : j + 1]
+                    poly = poly * share[:, None, j : j + 1] + moved
+            answers[:, :, i] = value[:, None] * (one[None, :, i] - share[:, None, i]) * (poly @ weights)
+        out.append(LeafTables(np.array([leaf.features for leaf in own]), np.array([leaf.lower for leaf in own]), np.array([leaf.upper for leaf in own]), answers))
+    return out, base
+
+
+def tree_attributions(model, df: DataFrame, features: Sequence[str], vector: str = "features", keep: Sequence[str] = ()) -> DataFrame:
+    """Shapley values of every row, ``shap_<feature>``, with base value, margin and probability. ``model``: :class:`Trees` or a fitted Spark model.
+
+    Path-dependent values with the training row counts of the nodes. Rows stay in their partitions: the tables of answers are broadcast (leaves x 2^depth x depth numbers),
+    the feature vector goes through Arrow in batches, and no row is sampled away. The margin is summed from the leaves themselves, so base + sum of values can be checked against it.
     """
     spark = df.sparkSession
-    leaves = export_leaves(model, spark)
-    shipped = spark.sparkContext.broadcast(leaves)
-    weights = _size_weights(max([len(lf.features) for lf in leaves] + [1]))
+    trees = model if isinstance(model, Trees) else read_trees(model, spark)
+    tables, base = leaf_tables(leaf_paths(trees))
+    shipped = spark.sparkContext.broadcast((trees, tables))
     p = len(features)
-    scored = model.transform(df)
-    if "rawPrediction" in scored.columns:
-        margin = 2.0 * vector_to_array("rawPrediction")[1]
-    else:
-        margin = F.col("prediction")
-    wanted = scored.select(*keep, vector_to_array(vector).alias("_x"), margin.alias("margin"))
-    schema = wanted.select(*keep, "margin").schema
-    for f in features:
-        schema = schema.add(f"shap_{f}", "double")
-    schema = schema.add("base_value", "double")
+    wanted = df.select(*keep, vector_to_array(vector).alias("_x"))
+    schema = df.select(*keep).schema
+    for f in ("margin", *[f"shap_{f}" for f in features], "base_value"):
+        schema = schema.add(f, "double")
     names = [f.name for f in schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["_x"].to_numpy())
-            phi = np.zeros((len(pdf), p))
-            base = sum(_add_leaf(phi, x, lf, weights) for lf in shipped.value)
-            out = pdf.drop(columns="_x")
-            for i, f in enumerate(features):
-                out[f"shap_{f}"] = phi[:, i]
-            out["base_value"] = base
-            yield out[names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, tables = shipped.value
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(n, p)
+            phi = np.zeros((n, p))
+            for k in range(0, n, ROWS):
+                for table in tables:
+                    table.add(phi[k : k + ROWS], x[k : k + ROWS])
+            made = [trees.margins(x), *phi.T, np.full(n, base)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in made)], names=names)
 
-    return wanted.mapInPandas(run, schema).withColumn("predicted_pd", sigmoid(F.col("margin")))
+    return wanted.mapInArrow(run, schema).withColumn("predicted_pd", sigmoid(F.col("margin")))
 
 
 # ----------------------------------------------------------------------------------------------------------
@@ -188,12 +186,12 @@ def waterfall(df: DataFrame, features: Sequence[str], keys: Sequence[str], top:
 
 
 def extreme_rows(df: DataFrame, score: str, columns: Sequence[str]) -> DataFrame:
-    """The row of the highest and of the lowest score, in one aggregate; ties go to the smallest value of the first column."""
+    """The row of the highest and of the lowest score, in one aggregate; ties go to the smallest value of the first column. Rows without a score are neither."""
     cells = F.struct(*[F.col(c) for c in columns])
     s, first = F.col(score), F.col(columns[0])
-    one = df.agg(F.min_by(cells, F.struct(-s, first)).alias("hi"), F.min_by(cells, F.struct(s, first)).alias("lo"))
+    one = df.filter(s.isNotNull()).agg(F.min_by(cells, F.struct(-s, first)).alias("hi"), F.min_by(cells, F.struct(s, first)).alias("lo"))
     both = F.array(F.struct(F.lit("highest").alias("which"), F.col("hi").alias("r")), F.struct(F.lit("lowest").alias("which"), F.col("lo").alias("r")))
-    return one.select(F.inline(both)).select("which", "r.*")
+    return one.select(F.inline(both)).filter(F.col("r").isNotNull()).select("which", "r.*")
 
 
 def _decile_edges(df: DataFrame, score: str, k: int) -> DataFrame:
@@ -236,10 +234,11 @@ def segment_report(
 
 def percentile_scale(df: DataFrame, columns: Sequence[str], lo: int = 2, hi: int = 98) -> DataFrame:
     """Add ``<c>_scaled``: position between the 2nd and 98th percentile, limited to [0, 1]."""
-    tallied = feature_tally(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, [], {"n": F.lit(1)})
-    # Two numbers per column come back; chaining a join per column would read the input again for each of them.
-    rows = quantiles_of_tally(tallied, ["feature"], "value", "n", [(lo, 100), (hi, 100)]).collect()
-    cuts = {r["feature"]: r["edges"] for r in rows}
+    narrow = df.select(*columns).persist()
+    try:
+        cuts = {c: (v[0], v[1]) for c, v in column_quantiles(narrow, columns, [(lo, 100), (hi, 100)]).items()}
+    finally:
+        narrow.unpersist()
     scaled = {}
     for c in columns:
         low, high = cuts.get(c, (0.0, 0.0))

@@ -218,6 +218,60 @@ def model_path_pds(
     return packed.select(*keys, *keep, *[v.alias(k) for k, v in arrays.items()])
 
 
+def filled(loans: DataFrame, fills: Mapping[str, float]) -> DataFrame:
+    """Missing values of the named columns replaced, so that no loan leaves a total."""
+    return loans.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in fills.items() if c in loans.columns})
+
+
+def stressed_rows(loans: DataFrame, paths: DataFrame, hpi_convention: str = "inverse") -> DataFrame:
+    """Every loan in every quarter of every scenario, with its features changed: (loan columns, scenario, quarter)."""
+    rows = [r for own in _by_scenario(paths).values() for r in own if r["quarter"] > 0]
+    cells = F.array(*[F.struct(F.lit(r["scenario"]).alias("scenario"), F.lit(int(r["quarter"])).alias("quarter"), F.lit(float(r["ur"])).alias("_u"), F.lit(float(r["hpi_ratio"])).alias("_h")) for r in rows])
+    return loans.select("*", F.inline(cells)).withColumns(override_columns("_u", "_h", "quarter", hpi_convention)).drop("_u", "_h")
+
+
+def _macro_cells(rows: Sequence[Row], hpi_convention: str, ages: bool) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """Feature values that each macro row sets, and what it adds to the age."""
+    if hpi_convention not in ("inverse", "reference"):
+        raise ValueError("hpi_convention is 'inverse' or 'reference'")
+    price = [1.0 / float(r["hpi_ratio"]) if hpi_convention == "inverse" else float(r["hpi_ratio"]) for r in rows]
+    return {"ur_3m_lag": [float(r["ur"]) for r in rows], "hpi_change": price}, {"loan_age": [3.0 * r["quarter"] for r in rows]} if ages else {}
+
+
+def ensemble_path_pds(
+    loans: DataFrame, paths: DataFrame, fitted, keys: Sequence[str], keep: Sequence[str] = ("orig_upb",), hpi_convention: str = "inverse", pd_period: str = "as_is",
+) -> DataFrame:
+    """The arrays of :func:`model_path_pds` from an artefact with ``cell_pds``: all quarters of all scenarios are cells of one pass over the trees, so a row
+    neither fans out nor moves. A missing feature counts as its median of train, also under a shock."""
+    grid = {s: [r for r in rows if r["quarter"] > 0] for s, rows in _by_scenario(paths).items()}
+    rows = [r for own in grid.values() for r in own]
+    scored = fitted.cell_pds(loans, *_macro_cells(rows, hpi_convention, True), len(rows), "_pds")
+    if pd_period not in ("as_is", "annual_to_quarter"):
+        raise ValueError("pd_period is 'as_is' or 'annual_to_quarter'")
+    pds = F.col("_pds") if pd_period == "as_is" else F.transform("_pds", lambda p: 1.0 - F.pow(1.0 - p, F.lit(0.25)))
+    out, done = [], 0
+    for name, own in grid.items():
+        out.append(F.slice(pds, done + 1, len(own)).alias(f"pds_{name.lower()}"))
+        done += len(own)
+    return scored.select(*keys, *keep, *out)
+
+
+def ensemble_scenario_pds(loans: DataFrame, peaks: DataFrame, fitted, keep: Sequence[str], hpi_convention: str = "inverse") -> DataFrame:
+    """:func:`model_scenario_pds` from an artefact with ``cell_pds``: one pass for all scenarios."""
+    rows = peaks.orderBy("scenario").collect()
+    scored = fitted.cell_pds(loans, *_macro_cells(rows, hpi_convention, False), len(rows), "_pds")
+    return scored.select(*keep, *[F.col("_pds")[i].alias(f"pd_{r['scenario'].lower()}") for i, r in enumerate(rows)])
+
+
+def ensemble_sensitivity(loans: DataFrame, fitted, shocks: Mapping[str, float] | None = None) -> DataFrame:
+    """:func:`model_sensitivity` from an artefact with ``cell_pds``: the base and every shock are cells of one pass, averaged before the shuffle."""
+    shocks = SHOCKS if shocks is None else shocks
+    add = {f: [0.0] + [d if f == g else 0.0 for g in shocks] for f, d in shocks.items()}
+    scored = fitted.cell_pds(loans, {}, add, 1 + len(shocks), "_pds")
+    one = scored.agg(F.avg(F.col("_pds")[0]).alias("_base"), *[F.avg(F.col("_pds")[i + 1]).alias(f"_s_{f}") for i, f in enumerate(shocks)])
+    return _sensitivity_rows(one, shocks)
+
+
 def survival_array(pds: Column) -> Column:
     """Probability of being alive at the end of quarter 0, 1, ..: a fold over the row's own array."""
     return F.aggregate(pds, F.array(F.lit(1.0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) * (1.0 - p))))
@@ -463,13 +517,16 @@ def _sensitivity_rows(one: DataFrame, shocks: Mapping[str, float]) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def loan_loss_quantile(losses: DataFrame, loss: str, by: Sequence[str], level: tuple[int, int] = (99, 100)) -> DataFrame:
-    """Quantile of per-loan expected loss and the mean of losses at or above it."""
-    q = exact_quantiles(losses, by, loss, [level], "_q").select(*by, F.col("_q")[0].alias("quantile"))
-    tail = losses.join(F.broadcast(q), list(by))
-    return tail.groupBy(*by).agg(
+def loan_loss_quantile(losses: DataFrame, loss: str, by: Sequence[str] = (), level: tuple[int, int] = (99, 100)) -> DataFrame:
+    """Quantile of per-loan expected loss and the mean of losses at or above it, for each group (or over all rows)."""
+    group = list(by)
+    keyed = losses if group else losses.withColumn("_g", F.pmod(F.xxhash64(loss), F.lit(1)))
+    keys = group or ["_g"]
+    q = exact_quantiles(keyed, keys, loss, [level], "_q").select(*keys, F.col("_q")[0].alias("quantile"))
+    tail = keyed.join(q, keys)
+    return tail.groupBy(*keys).agg(
         F.max("quantile").alias("quantile"), F.avg(F.when(F.col(loss) >= F.col("quantile"), F.col(loss))).alias("tail_mean")
-    )
+    ).select(*group, "quantile", "tail_mean")
 
 
 def path_against_peak(ecl: DataFrame, pds: DataFrame, scenarios: Sequence[Scenario], horizon: int = 4, lgd: float = LOSS_SHARE) -> DataFrame:

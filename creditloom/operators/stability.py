@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.scalars import case_below, right_closed_bin
-from creditloom.operators.evidence import CATEGORY_LIMIT, FLOOR, feature_tally, number_label, numeric_edges
+from creditloom.functions.scalars import case_below
+from creditloom.operators.evidence import FLOOR, fit_bins
+from creditloom.session import written
 
 
 def psi_flag(psi: Column) -> Column:
@@ -24,27 +25,20 @@ def stability_bins(
     ``sample`` names the column that tells samples apart; ``reference`` is the value of the reference.
     Bins come from the reference only. Numeric rows outside the reference range fall out of the share's
     base. For categories the base is every row of the sample, so unseen categories lower the seen shares.
+    All samples are counted in one table of bins, which is written; ``df`` is worked out once.
     """
-    t = feature_tally(df, features, [sample], {"n": F.lit(1)})
-    edges = numeric_edges(t, "n", n_bins, F.col(sample) == reference)
-    placed = t.join(F.broadcast(edges), "feature", "left")
-    is_num = F.col("value").isNotNull() & (F.col("n_keys") > CATEGORY_LIMIT)
-    bins = (
-        placed.select(
-            sample, "feature",
-            F.when(is_num, right_closed_bin(F.col("value"), F.col("edges"))).alias("bin_no"),
-            F.when(~is_num, F.coalesce(F.col("label"), number_label(F.col("value")))).alias("label"),
-            "n",
-        )
-        .filter(F.col("bin_no").isNotNull() | F.col("label").isNotNull())
-        .groupBy("feature", "bin_no", "label", sample)
-        .agg(F.sum("n").alias("n"))
-    )
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("feature", sample))
-    shares = bins.withColumn("share", share)
+    narrow = df.select(sample, *features).persist()
+    try:
+        plan = fit_bins(narrow.filter(F.col(sample) == reference), features, n_bins)
+        long = narrow.select(sample, F.inline(plan.cells())).filter(F.col("bin_no").isNotNull() | F.col("label").isNotNull())
+        bins = written(long.groupBy("feature", "bin_no", "label", sample).agg(F.count(F.lit(1)).alias("n")), "bins")
+    finally:
+        narrow.unpersist()
+    totals = bins.groupBy("feature", sample).agg(F.sum("n").alias("_all"))
+    shares = bins.join(totals, ["feature", sample]).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
     ref = shares.filter(F.col(sample) == reference).select("feature", "bin_no", "label", F.col("share").alias("p"))
     # Every other sample must meet every reference bin, also the bins it has no row in.
-    samples = shares.filter(F.col(sample) != reference).select("feature", sample).distinct()
+    samples = totals.filter(F.col(sample) != reference).select("feature", sample)
     grid = ref.join(samples, "feature")
     mine = shares.filter(F.col(sample) != reference).select(
         F.col("feature").alias("_f"), F.col("bin_no").alias("_b"), F.col("label").alias("_l"), F.col(sample).alias("_s"),

@@ -1,30 +1,35 @@
 """Survival tables and estimators on integer durations.
 
-Loan age is limited to 480 months, so everything that follows a risk set is a table of at most 480 rows
-per group: one combined ``groupBy(duration)`` over the loans, then short windows or small matrices.
+Everything that follows a risk set starts from one combined ``groupBy(duration)`` over the loans. Sums over longer durations are taken within
+ranges of durations and shifted by the totals of the ranges behind, so durations may be as many as they like.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.tails import chi2_tail, normal_two_sided, pearson_two_sided
+from creditloom.operators.fitted import Fitted
 from creditloom.operators.labels import usable_columns
 from creditloom.operators.metrics import score_bands
-from creditloom.operators.ordered import exact_quantiles, pinned, running_totals
+from creditloom.operators.ordered import exact_quantiles
+from creditloom.session import written
 
 MAX_AGE = 480
-#: Longest duration that a Cox fit takes: its driver holds one row of sums for each duration.
-MAX_DURATION = 48_000
-#: Durations in one part of the log-rank sums.
+#: Durations in one part of the log-rank sums and of residuals.
 RANGE = 512
+#: Ranges of durations in a Cox fit; the driver holds one row of sums for each.
+COX_RANGES = 64
 
 
 def survival_table(
@@ -106,8 +111,8 @@ def log_rank(df: DataFrame, by: str, max_t: int | None = 120, missing: str = "Un
     """k-sample log-rank test: groups, chi-square statistic, degrees of freedom, p-value (one row).
 
     The event table is cut into ranges of ``RANGE`` durations. A group's loans that leave after a range are carried into it as
-    one row, so each range adds its part of observed minus expected deaths and of their covariance by itself; the driver gets
-    the k + k x k sums and solves the (k - 1) system.
+    one row, so each range works out the groups' shares of its risk sets by itself; they are written. The covariance of the k groups is never formed: its system is solved by
+    conjugate gradients, each step one pass over the shares that multiplies it with a vector. The driver holds vectors of k numbers.
     """
     spark = df.sparkSession
     g = F.coalesce(F.col(by).cast("string"), F.lit(missing))
@@ -115,9 +120,10 @@ def log_rank(df: DataFrame, by: str, max_t: int | None = 120, missing: str = "Un
     t = t.withColumn("_range", F.floor(F.col("duration") / RANGE))
     per = t.groupBy("_grp", "_range").agg(F.sum("exits").alias("exits"))
     bounds = per.groupBy("_grp").agg(F.min("_range").alias("_first"), F.max("_range").alias("_last"))
-    lowest = bounds.agg(F.min("_first")).first()[0]
-    if lowest is None:
+    known = bounds.collect()
+    if not known:
         return spark.createDataFrame([(0, None, 0, None)], "n_groups int, statistic double, dof int, p_value double")
+    names, lowest = sorted(r["_grp"] for r in known), min(r["_first"] for r in known)
     # every range that a group's loans pass through, whether or not one leaves there
     grid = bounds.select("_grp", F.explode(F.sequence(F.lit(lowest), F.col("_last"))).alias("_range"))
     later = Window.partitionBy("_grp").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -125,41 +131,76 @@ def log_rank(df: DataFrame, by: str, max_t: int | None = 120, missing: str = "Un
         "_grp", F.lit(None).cast("long").alias("duration"), F.coalesce(F.sum("exits").over(later), F.lit(0)).alias("exits"), F.lit(0).alias("deaths"), "_range",
     )
     parts = t.union(carried).select("_grp", "duration", F.col("exits").cast("double"), F.col("deaths").cast("double"), "_range")
-    sums = parts.groupBy("_range").applyInPandas(_log_rank_part, "a string, b string, value double").groupBy("a", "b").agg(F.sum("value").alias("value"), F.count("*").alias("_n"))
-    oe, v = {}, {}
-    for a, b, value, _ in sums.collect():
-        if b is None:
-            oe[a] = value
-        else:
-            v[a, b] = value
-    groups = sorted(oe)
-    k = len(groups) - 1
-    if k < 1:
-        stat = 0.0
-    else:
-        x, m = np.array([oe[a] for a in groups[:k]]), np.array([[v.get((a, b), 0.0) for b in groups[:k]] for a in groups[:k]])
-        stat = float(x @ np.linalg.pinv(m) @ x)
-    return spark.createDataFrame([(len(groups), stat, k, chi2_tail(stat, k))], "n_groups int, statistic double, dof int, p_value double")
-
-
-def _log_rank_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Observed minus expected deaths (b null) and covariance terms of one range of durations."""
-    groups, at = np.unique(pdf["_grp"].to_numpy().astype(str), return_inverse=True)
-    inside = pdf["duration"].notna().to_numpy()
-    times, row = np.unique(pdf["duration"].to_numpy()[inside], return_inverse=True)
-    exits, deaths = np.zeros((len(times), len(groups))), np.zeros((len(times), len(groups)))
-    np.add.at(exits, (row, at[inside]), pdf["exits"].to_numpy()[inside])
-    np.add.at(deaths, (row, at[inside]), pdf["deaths"].to_numpy()[inside])
-    after = np.zeros(len(groups))
-    np.add.at(after, at[~inside], pdf["exits"].to_numpy()[~inside])
+    place = {name: i for i, name in enumerate(names)}
+    shares = written(parts.groupBy("_range").applyInArrow(lambda table: _risk_shares(table, place), "weight double, died double, shares array<double>, deaths array<double>"), "shares")
+    k = len(names) - 1
+    x = _added(shares, len(names), lambda w, d, s, own: (own - d[:, None] * s).sum(axis=0))[:k]
+    diagonal = _added(shares, len(names), lambda w, d, s, own: (w[:, None] * (s - s**2)).sum(axis=0))[:k]
+
+    def times(y: np.ndarray) -> np.ndarray:
+        y = np.append(y, 0.0)
+        return _added(shares, len(names), lambda w, d, s, own: s.T @ (-w * (s @ y)) + (w @ s) * y)[:k]
+
+    stat = float(x @ _solved(times, x, diagonal)) if k > 0 else 0.0
+    return spark.createDataFrame([(len(names), stat, k, chi2_tail(stat, k))], "n_groups int, statistic double, dof int, p_value double")
+
+
+def _risk_shares(table: pa.Table, place: dict[str, int]) -> pa.Table:
+    """For each duration of one range with a death: the weight of its covariance, its deaths, each group's share of those at risk and its deaths."""
+    at = np.array([place[g] for g in table["_grp"].to_pylist()])
+    d = table["duration"].to_numpy().astype(float)
+    inside = ~np.isnan(d)
+    times, row = np.unique(d[inside], return_inverse=True)
+    exits, deaths = np.zeros((len(times), len(place))), np.zeros((len(times), len(place)))
+    np.add.at(exits, (row, at[inside]), table["exits"].to_numpy()[inside])
+    np.add.at(deaths, (row, at[inside]), table["deaths"].to_numpy()[inside])
+    after = np.bincount(at[~inside], weights=table["exits"].to_numpy()[~inside], minlength=len(place))
     risk = exits[::-1].cumsum(axis=0)[::-1] + after
-    n, d = risk.sum(axis=1), deaths.sum(axis=1)
-    share = np.divide(risk, n[:, None], out=np.zeros_like(risk), where=n[:, None] > 0)
-    oe = (deaths - d[:, None] * share).sum(axis=0)
-    w = np.divide(d * (n - d), n - 1, out=np.zeros_like(d), where=n > 1)
-    cov = np.diag((w[:, None] * share).sum(axis=0)) - (share * w[:, None]).T @ share
-    a, b = np.meshgrid(groups, groups, indexing="ij")
-    return pd.DataFrame({"a": [*groups, *a.ravel()], "b": [*[None] * len(groups), *b.ravel()], "value": [*oe, *cov.ravel()]})
+    n, died = risk.sum(axis=1), deaths.sum(axis=1)
+    some = (died > 0) & (n > 0)
+    n, died, risk, deaths = n[some], died[some], risk[some], deaths[some]
+    weight = np.divide(died * (n - died), n - 1, out=np.zeros_like(died), where=n > 1)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, len(place), dtype=np.int32)), pa.array(v.ravel())) for v in (risk / n[:, None], deaths)]
+    return pa.table({"weight": weight, "died": died, "shares": lists[0], "deaths": lists[1]})
+
+
+def _added(shares: DataFrame, k: int, fn: Callable[..., np.ndarray]) -> np.ndarray:
+    """Sum over all durations of a vector of k numbers that ``fn(weight, died, shares, deaths)`` makes of a batch; tasks send one vector each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k)
+        for batch in batches:
+            w, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            s, own = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k) for c in (2, 3))
+            total += fn(w, d, s, own)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["i", "v"])
+
+    out = np.zeros(k)
+    for r in shares.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _solved(times: Callable[[np.ndarray], np.ndarray], x: np.ndarray, diagonal: np.ndarray, tol: float = 1e-11) -> np.ndarray:
+    """y with ``times(y) = x`` by conjugate gradients, scaled by the diagonal; a part of x that the matrix can't reach is left out."""
+    scale = np.divide(1.0, diagonal, out=np.zeros_like(diagonal), where=diagonal > 1e-12 * max(diagonal.max(initial=0.0), 1e-300))
+    y, r = np.zeros(len(x)), np.where(scale > 0, x, 0.0)
+    z = scale * r
+    p, rz = z, float(r @ z)
+    goal = tol**2 * rz
+    for _ in range(2 * len(x) + 10):
+        if rz <= goal or rz == 0:
+            break
+        v = np.where(scale > 0, times(p), 0.0)
+        bend = float(p @ v)
+        if bend <= 1e-14 * float((p**2) @ diagonal):
+            break  # a direction in which the matrix is flat
+        y, r = y + rz / bend * p, r - rz / bend * v
+        z = scale * r
+        rz, before = float(r @ z), rz
+        p = z + rz / before * p
+    return y
 
 
 @dataclass
@@ -174,7 +215,7 @@ class CoxModel:
     log_likelihood: float
     n: int
     n_events: int
-    baseline: list[tuple[int, float]]  # (duration, cumulative hazard), at most 480 rows
+    baseline: DataFrame | Sequence[tuple[int, float]]  # (duration, hazard) of every duration with an event
     iterations: int
 
     def eta(self) -> Column:
@@ -184,10 +225,30 @@ class CoxModel:
             total = total + F.lit(float(b)) * (F.col(f).cast("double") - F.lit(float(m)))
         return total
 
-    def cumulative_hazard(self, horizon: int) -> float:
-        """Baseline cumulative hazard at the last event time up to ``horizon`` (0 before the first)."""
-        past = [h for t, h in self.baseline if t <= horizon]
-        return past[-1] if past else 0.0
+    def cumulative_hazards(self, horizons: Sequence[int]) -> list[float]:
+        """Baseline cumulative hazard at the last event time up to each horizon (0 before the first): one row from the table of hazards."""
+        if not isinstance(self.baseline, DataFrame):
+            return [sum(h for t, h in self.baseline if t <= horizon) for horizon in horizons]
+        row = self.baseline.agg(*[F.coalesce(F.sum(F.when(F.col("duration") <= h, F.col("hazard"))), F.lit(0.0)) for h in horizons]).first()
+        return [float(v) for v in row]
+
+
+class CoxArtefact(Fitted):
+    """A fitted model that can be saved; the hazards stay a table."""
+
+    def __init__(self, model: CoxModel):
+        numbers = {"means": model.means, "scales": model.scales, "coef": model.coef, "std_error": model.std_error}
+        state = {"features": list(model.features), **{k: [float(x) for x in v] for k, v in numbers.items()}}
+        state |= {"log_likelihood": float(model.log_likelihood), "n": int(model.n), "n_events": int(model.n_events), "iterations": int(model.iterations)}
+        super().__init__(state, {"baseline": model.baseline})
+
+    @property
+    def model(self) -> CoxModel:
+        s = self.state
+        return CoxModel(s["features"], *(np.array(s[k]) for k in ("means", "scales", "coef", "std_error")), s["log_likelihood"], s["n"], s["n_events"], self.tables["baseline"], s["iterations"])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.state.get("output", "eta"), self.model.eta())
 
 
 def _tie_sums(d: int, a: float) -> np.ndarray:
@@ -200,11 +261,11 @@ def _tie_sums(d: int, a: float) -> np.ndarray:
     return total
 
 
-def _risk_sums(df: DataFrame, z: Sequence[Column], eta: Column) -> dict[int, np.ndarray]:
-    """Per duration: counts, event sums of z, and risk / event sums of exp(eta) x (1, z, zz'). One aggregate."""
+def _risk_sums(df: DataFrame, z: Sequence[Column], eta: Column) -> DataFrame:
+    """Per duration (and its range): counts, event sums of z, and risk / event sums of exp(eta) x (1, z, zz'). One aggregate."""
     p = len(z)
     cells = df.select(
-        "duration", "event", F.exp(eta).alias("_w"), *[c.alias(f"_z{i}") for i, c in enumerate(z)]
+        "_range", "duration", "event", F.exp(eta).alias("_w"), *[c.alias(f"_z{i}") for i, c in enumerate(z)]
     )
     died = F.col("event") == 1
     w, dw = F.col("_w"), F.when(died, F.col("_w")).otherwise(0.0)
@@ -214,21 +275,29 @@ def _risk_sums(df: DataFrame, z: Sequence[Column], eta: Column) -> dict[int, np.
     terms += [F.sum(F.when(died, c).otherwise(0.0)) for c in zs]
     for weight in (w, dw):
         terms += [F.sum(weight)] + [F.sum(weight * c) for c in zs] + [F.sum(weight * zs[i] * zs[j]) for i, j in pairs]
-    rows = cells.groupBy("duration").agg(F.array(*terms).alias("s")).collect()
-    return {r["duration"]: np.array(r["s"]) for r in rows}
+    return cells.groupBy("_range", "duration").agg(F.array(*terms).alias("s"))
 
 
-def _unpack(s: np.ndarray, p: int):
-    m = p * (p + 1) // 2
-    block = 1 + p + m
-    head, risk, dead = s[: 2 + p], s[2 + p : 2 + p + block], s[2 + p + block :]
+def _range_totals(sums: DataFrame, p: int) -> dict[int, np.ndarray]:
+    """Risk sums of all later ranges, for each of at most ``COX_RANGES`` ranges."""
+    block = 1 + p + p * (p + 1) // 2
+    rows = sums.groupBy("_range").agg(*[F.sum(F.col("s")[2 + p + i]).alias(f"v{i}") for i in range(block)]).collect()
+    out, total = {}, np.zeros(block)
+    for r in sorted(rows, key=lambda r: -r["_range"]):
+        out[r["_range"]] = total
+        total = total + np.array(r[1:], dtype=float)
+    return out
 
-    def square(flat):
-        out = np.zeros((p, p))
-        out[np.triu_indices(p)] = flat
-        return out + np.triu(out, 1).T
 
-    return head, (risk[0], risk[1 : 1 + p], square(risk[1 + p :])), (dead[0], dead[1 : 1 + p], square(dead[1 + p :]))
+def _unpack_block(flat: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
+    out = np.zeros((p, p))
+    out[np.triu_indices(p)] = flat[1 + p :]
+    return float(flat[0]), np.array(flat[1 : 1 + p]), out + np.triu(out, 1).T
+
+
+def _unpack(s: np.ndarray, p: int):
+    block = 1 + p + p * (p + 1) // 2
+    return s[: 2 + p], _unpack_block(s[2 + p : 2 + p + block], p), _unpack_block(s[2 + p + block :], p)
 
 
 def fit_cox(
@@ -237,30 +306,28 @@ def fit_cox(
     """Cox model with Efron ties and an L2 penalty, by Newton steps.
 
     Objective: mean partial log-likelihood - penalizer / 2 x |beta|^2 on covariates scaled to unit sample
-    deviation. Each step is one aggregate of at most 480 rows; the matrix work is p x p on the driver.
+    deviation. Each step is one aggregate to a row for each duration; durations are cut into at most ``COX_RANGES`` ranges, which get the sums of the later ranges
+    and add up their part of likelihood, gradient and Hessian in a task each. The driver sees ranges, never durations; the matrix work is p x p.
     """
     feats = usable_columns(df, features)
-    data = df.select(F.col("duration").cast("int").alias("duration"), F.col("event").cast("int").alias("event"),
-                     *[F.col(f).cast("double").alias(f) for f in feats]).dropna().persist()
+    data = df.select(F.col("duration").cast("long").alias("duration"), F.col("event").cast("int").alias("event"),
+                     *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
+    probs = F.array(*[F.lit(i / COX_RANGES) for i in range(1, COX_RANGES)])
+    stats = data.agg(
+        F.count(F.lit(1)), F.sum("event"), *[F.avg(f) for f in feats], *[F.stddev_samp(f) for f in feats], F.percentile_approx("duration", probs, 4 * COX_RANGES),
+    ).first()
+    n, n_events, p = stats[0], stats[1] or 0, len(feats)
+    if n_events == 0:
+        raise ValueError("no event in the survival table")
+    limits = sorted(set(stats[-1]))
+    data = data.withColumn("_range", F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in limits]), lambda x: x < F.col("duration")))).persist()
     try:
-        stats = data.agg(
-            F.count(F.lit(1)), F.sum("event"), *[F.avg(f) for f in feats], *[F.stddev_samp(f) for f in feats],
-            F.max("duration"),
-        ).first()
-        n, n_events, p = stats[0], stats[1] or 0, len(feats)
-        if n_events == 0:
-            raise ValueError("no event in the survival table")
-        if stats[-1] > MAX_DURATION:
-            raise ValueError("durations must be whole periods of a limited range")
         means, scales = np.array(stats[2 : 2 + p], float), np.array(stats[2 + p : 2 + 2 * p], float)
         scales[~(scales > 0)] = 1.0
         z = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(feats, means, scales)]
         beta, kept, best = np.zeros(p), np.zeros(p), -np.inf
         for step in range(1, max_iter + 1):
-            eta = F.lit(0.0)
-            for c, b in zip(z, beta):
-                eta = eta + c * F.lit(float(b))
-            value, grad, hess, baseline = _cox_terms(_risk_sums(data, z, eta), beta)
+            value, grad, hess, _ = _cox_step(data, z, beta)
             value -= 0.5 * penalizer * n * float(beta @ beta)
             if value < best - 1e-9 * abs(best):
                 beta = (beta + kept) / 2  # overshoot: go back halfway
@@ -272,16 +339,42 @@ def fit_cox(
                 break
             beta = beta + move
         se = np.sqrt(np.diag(np.linalg.inv(-hess))) / scales
+        baseline = _cox_step(data, z, kept, hazards=True)[3]
         return CoxModel(list(feats), means, scales, kept / scales, se, best, n, n_events, baseline, step)
     finally:
         data.unpersist()
 
 
-def _cox_terms(sums: dict[int, np.ndarray], beta: np.ndarray):
-    """Log-likelihood, gradient, Hessian (Efron) and Breslow baseline from the per-duration sums."""
+def _cox_step(data: DataFrame, z: Sequence[Column], beta: np.ndarray, hazards: bool = False):
+    """Log-likelihood, gradient, Hessian (Efron) at ``beta``, or the Breslow hazards of every duration with an event."""
+    p = len(beta)
+    eta = F.lit(0.0)
+    for c, b in zip(z, beta):
+        eta = eta + c * F.lit(float(b))
+    sums = _risk_sums(data, z, eta).persist()
+    try:
+        later = _range_totals(sums, p)
+
+        def run(table: pa.Table) -> pa.Table:
+            value, grad, hess, found = _cox_terms(dict(zip(table["duration"].to_pylist(), map(np.array, table["s"].to_pylist()))), beta, later[table["_range"][0].as_py()])
+            if hazards:
+                return pa.table({"duration": pa.array([t for t, _ in found], pa.int64()), "hazard": pa.array([h for _, h in found], pa.float64())})
+            return pa.table({"terms": [[value, *grad, *hess.ravel()]]})
+
+        parts = sums.groupBy("_range").applyInArrow(run, "duration long, hazard double" if hazards else "terms array<double>")
+        if hazards:
+            return None, None, None, written(parts, "hazards")
+        total = np.sum([r["terms"] for r in parts.collect()], axis=0)  # a row for each range
+        return total[0], total[1 : 1 + p], total[1 + p :].reshape(p, p), None
+    finally:
+        sums.unpersist()
+
+
+def _cox_terms(sums: dict[int, np.ndarray], beta: np.ndarray, later: np.ndarray):
+    """The part of one range of durations; ``later`` has the risk sums of all longer durations."""
     p = len(beta)
     value, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
-    r0, r1, r2 = 0.0, np.zeros(p), np.zeros((p, p))
+    r0, r1, r2 = _unpack_block(later, p)
     hazards = []
     for t in sorted(sums, reverse=True):
         head, risk, dead = _unpack(sums[t], p)
@@ -298,11 +391,7 @@ def _cox_terms(sums: dict[int, np.ndarray], beta: np.ndarray):
         mixed = np.outer(r1, d1) + np.outer(d1, r1)
         hess += np.outer(r1, r1) * ratio**2 * inv2 - mixed * d * l_inv2 / d0**2 + np.outer(d1, d1) * ll_inv2 / d0**2
         hazards.append((t, d / r0))
-    total, baseline = 0.0, []
-    for t, h in reversed(hazards):
-        total += h
-        baseline.append((t, total))
-    return value, grad, hess, baseline
+    return value, grad, hess, hazards
 
 
 def cox_summary(model: CoxModel, spark) -> DataFrame:
@@ -317,64 +406,117 @@ def cox_summary(model: CoxModel, spark) -> DataFrame:
     )
 
 
-CELLS = 4096 * 481  # cells of the dense arrays below: distinct risks of a block x durations that occur
+#: Distinct durations of a range of the outlive counts below; places of a dense array there.
+DURATIONS, PLACES = 2048, 1 << 21
+
+
+def earlier_weight(key: np.ndarray, weight: np.ndarray, ask: np.ndarray) -> float:
+    """Sum over i of ``ask[i]`` x the ``weight`` of all j before i with a larger key.
+
+    Counted block by block: at each size, items of a right block meet those of the block left of it, both in the order of their keys. Arrays are sparse: room for the items only,
+    whatever the span of the keys.
+    """
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(np.diff(key[order], prepend=key[order][:1]) > 0) if len(key) else rank
+    place, total, size = np.arange(len(key)), 0.0, 1
+    while size < len(key):
+        pair, right = place // (2 * size), (place // size) % 2 == 1
+        # larger keys first; at equal keys the right block first, so that it doesn't meet the left one's equal keys
+        at = np.lexsort((~right, -rank, pair))
+        seen = np.cumsum(np.where(right[at], 0.0, weight[at]))
+        own, asks = pair[at], np.where(right[at], ask[at], 0.0)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        before = np.concatenate([[0.0], seen])[first]
+        total += float((asks * (seen - before[np.cumsum(np.diff(own, prepend=own[:1]) > 0)])).sum())
+        size *= 2
+    return total
+
+
+def _inside_part(table: pa.Table) -> tuple[float, float]:
+    """Won and tied pairs among the loans of one range of risks. An event at duration d has key 2d, a censored loan 2d + 1: the one that outlives an event has the larger key."""
+    risk, d, ev, ce = (table[c].to_numpy() for c in ("_r", "_d", "ev", "ce"))
+    order = np.lexsort((d, risk))
+    risk, d, ev, ce = risk[order], d[order].astype(np.int64), ev[order].astype(float), ce[order].astype(float)
+    key = np.stack([2 * d, 2 * d + 1], axis=1).ravel()
+    weight, ask = np.stack([ev, ce], axis=1).ravel(), np.stack([ev, np.zeros(len(ev))], axis=1).ravel()
+    # within one risk durations ascend, so no earlier loan of the same risk outlives a later one
+    won = earlier_weight(key, weight, ask)
+    group = np.cumsum(np.diff(risk, prepend=risk[:1]) != 0)
+    both = ev + ce
+    running = np.cumsum(both)
+    last = np.append(np.flatnonzero(np.diff(group)), len(group) - 1)[group]
+    return won, float((ev * (running[last] - running + ce)).sum())
+
+
+def _across_parts(rows: pa.Table) -> tuple[float, float]:
+    """Won pairs between ranges of risks, and all comparable pairs, for the events of one range of durations. Rows without a duration hold what outlives the range."""
+    part, d, ev, ce = (rows[c].to_numpy(zero_copy_only=False) for c in ("_part", "_d", "ev", "ce"))
+    inside = ~np.isnan(d.astype(float))
+    parts, column = np.unique(part, return_inverse=True)
+    later = np.bincount(column[~inside], weights=ce[~inside], minlength=len(parts)).astype(float)
+    times, row = np.unique(d[inside].astype(np.int64), return_inverse=True)
+    won = pairs = 0.0
+    step = max(1, PLACES // max(1, len(parts)))
+    for high in range(len(times), 0, -step):
+        low = max(0, high - step)
+        own = (row >= low) & (row < high)
+        e, c = np.zeros((high - low, len(parts))), np.zeros((high - low, len(parts)))
+        np.add.at(e, (row[own] - low, column[inside][own]), ev[inside][own])
+        np.add.at(c, (row[own] - low, column[inside][own]), ce[inside][own])
+        both = e + c
+        outlive = later + both[::-1].cumsum(axis=0)[::-1] - both + c
+        won += float((e * (outlive.cumsum(axis=1) - outlive)).sum())
+        pairs += float((e.sum(axis=1) * outlive.sum(axis=1)).sum())
+        later = later + both.sum(axis=0)
+    return won, pairs
 
 
 def concordance_index(df: DataFrame, risk: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of comparable pairs in which the higher risk fails first (ties in risk count half).
 
     A pair is comparable when the shorter duration is an event; at equal durations an event precedes a
-    censored loan. Exact and without a pair join: loans become counts per (risk, duration), distinct
-    risks are numbered by running totals and cut into blocks, the narrower the longer the axis of durations. Pairs across blocks come
-    from a running sum per duration over block totals, pairs inside a block from cumulated counts.
+    censored loan. Exact and without a pair join: loans become counts per (risk, duration), which are dealt out by ranges of the
+    risk. Pairs inside a range are counted in its task, in room for its own rows; pairs across ranges come from the counts per (range,
+    duration), dealt out by ranges of durations with what outlives each. Durations may have any span.
     """
     group = list(by)
-    base = df.select(*by, F.col(risk).cast("double").alias("_r"), F.col("duration").cast("int").alias("_d"), F.col("event").cast("int").alias("_e"))
+    spark = df.sparkSession
+    base = df.select(*by, F.col(risk).cast("double").alias("_r"), F.col("duration").cast("long").alias("_d"), F.col("event").cast("int").alias("_e"))
     base = base.filter(F.col("_r").isNotNull() & F.col("_d").isNotNull())
-    low, high = base.agg(F.min("_d"), F.max("_d")).first()
-    width = 1 if low is None else high - low + 1
-    base, block = base.withColumn("_d", F.col("_d") - F.lit(low or 0)), max(16, CELLS // width)
-    if not group:
-        base, group = base.withColumn("_g", F.pmod(F.xxhash64("_r"), F.lit(1))), ["_g"]
-    cells = pinned(
-        base.groupBy(*group, "_r", "_d").agg(F.sum("_e").cast("long").alias("ev"), F.sum(1 - F.col("_e")).cast("long").alias("ce")), ["ev", "ce"]
-    )
-    ranks = running_totals(cells.groupBy(*group, "_r").agg(F.max(F.lit(1)).alias("one"), F.sum("ev").alias("ev"), F.sum("ce").alias("ce")), group, "_r", ["one"])
-    ranks = ranks.select(*group, "_r", F.col("one_before").alias("_rank"))
-    placed = cells.join(ranks, [*group, "_r"]).withColumn("_block", F.floor(F.col("_rank") / block)).withColumn(
-        "_pos", (F.col("_rank") % block).cast("int")
+    keys = [F.col(g) for g in group]
+    cells = base.groupBy(*group, "_r", "_d").agg(F.sum("_e").cast("long").alias("ev"), F.sum(1 - F.col("_e")).cast("long").alias("ce"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    cells = written(cells.repartitionByRange(parts, *keys, F.col("_r")).withColumn("_part", F.spark_partition_id()), "risks")
+    dealt = written(cells.groupBy(*group, "_part", "_d").agg(F.sum("ev").alias("ev"), F.sum("ce").alias("ce")), "durations")
+    times = dealt.select("_d").distinct()
+    ranges = max(1, -(-times.count() // DURATIONS))
+    times = written(times.repartitionByRange(ranges, "_d").withColumn("_range", F.spark_partition_id()), "ranges")
+    hist = dealt.join(times, "_d")
+    # what outlives a range, for every range of risks that a group has
+    held = hist.groupBy(*group, "_range", "_part").agg(F.sum(F.col("ev") + F.col("ce")).alias("n"))
+    grid = held.select(*group, "_part").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("_range"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*group, "_range", "_part")]
+    named = held.withColumnsRenamed({c: f"_k_{c}" for c in (*group, "_range", "_part")})
+    later = Window.partitionBy(*group, "_part").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(named, reduce(and_, same), "left").select(
+        *group, "_range", "_part", F.lit(None).cast("long").alias("_d"), F.lit(0).cast("long").alias("ev"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("ce")
     )
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*group, "_block").schema.fields)
-
-    def block_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ev, ce = np.zeros((block, width)), np.zeros((block, width))
-        at = (pdf["_pos"].to_numpy(), pdf["_d"].to_numpy())
-        np.add.at(ev, at, pdf["ev"].to_numpy())
-        np.add.at(ce, at, pdf["ce"].to_numpy())
-        both = ev + ce
-        # loans lasting longer than the duration, plus those censored at it
-        outlive = both[:, ::-1].cumsum(axis=1)[:, ::-1] - both + ce
-        lower = outlive.cumsum(axis=0) - outlive
-        out = pd.DataFrame({
-            "_d": np.arange(width, dtype=np.int32), "ev": ev.sum(axis=0), "outlive": outlive.sum(axis=0),
-            "won": (ev * lower).sum(axis=0), "tied": (ev * outlive).sum(axis=0),
-        })
-        for i, value in enumerate(key):
-            out.insert(i, f"k{i}", value)
-        return out
-
-    # positional columns: the group keys, the block, then one row per duration
-    blocks = placed.groupBy(*group, "_block").applyInPandas(
-        block_rows, ", ".join(f"k{i} {part.split(' ', 1)[1]}" for i, part in enumerate(key_schema.split(", ")))
-        + ", _d int, ev double, outlive double, won double, tied double",
-    ).withColumnsRenamed({f"k{i}": g for i, g in enumerate([*group, "_block"])})
-    earlier = Window.partitionBy(*group, "_d").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    everyone = Window.partitionBy(*group, "_d")
-    total = blocks.select(
-        *group, "tied",
-        (F.col("won") + F.col("ev") * F.coalesce(F.sum("outlive").over(earlier), F.lit(0.0))).alias("won"),
-        (F.col("ev") * F.sum("outlive").over(everyone)).alias("pairs"),
-    ).groupBy(*group).agg(F.sum("won").alias("won"), F.sum("tied").alias("tied"), F.sum("pairs").alias("pairs"))
+    fields = [*group, "_range", "_part", "_d", "ev", "ce"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*group).schema.fields)
+
+    def counted(fn: Callable[[pa.Table], tuple[float, float]]) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            one, two = fn(table)
+            return pa.table({**{g: table[g].slice(0, 1) for g in group}, "a": [one], "b": [two]})
+
+        return run
+
+    schema = ", ".join([*([kinds] if kinds else []), "a double, b double"])
+    inner = cells.groupBy(*group, "_part").applyInArrow(counted(_inside_part), schema).select(*group, F.col("a").alias("won"), F.col("b").alias("tied"), F.lit(0.0).alias("pairs"))
+    across = hist.select(*fields).union(carried.select(*fields)).groupBy(*group, "_range").applyInArrow(counted(_across_parts), schema)
+    total = inner.unionByName(across.select(*group, F.col("a").alias("won"), F.lit(0.0).alias("tied"), F.col("b").alias("pairs")))
+    total = total.groupBy(*group).agg(F.sum("won").alias("won"), F.sum("tied").alias("tied"), F.sum("pairs").alias("pairs"))
     index = F.try_divide(F.col("won") + F.col("tied") / 2, F.col("pairs"))
     return total.select(*by, F.col("pairs").cast("long").alias("n_pairs"), index.alias("c_index"))
 
@@ -383,8 +525,9 @@ def horizon_pds(model: CoxModel, df: DataFrame, horizons: Sequence[int] = (12, 2
     """Probability of default by each horizon, one column each: a narrow projection over the loans."""
     hazard = F.exp(model.eta())
     rows = df.dropna(subset=model.features)
+    base = model.cumulative_hazards(horizons)
     return rows.select(
-        *keep, *[(1.0 - F.exp(-F.lit(model.cumulative_hazard(h)) * hazard)).alias(f"pd_{h}m") for h in horizons],
+        *keep, *[(1.0 - F.exp(-F.lit(b) * hazard)).alias(f"pd_{h}m") for h, b in zip(horizons, base)],
         F.col("event").alias("actual_default"),
     )
 
@@ -392,18 +535,21 @@ def horizon_pds(model: CoxModel, df: DataFrame, horizons: Sequence[int] = (12, 2
 def schoenfeld_residuals(model: CoxModel, df: DataFrame) -> DataFrame:
     """Long table (duration, feature, residual): covariate of each event minus its risk-set mean.
 
-    The means are a table of one row per duration (at most 480), broadcast to the event rows.
+    Sums per duration are added up from the longest down within ranges, and across ranges from their totals; the means join the event rows by duration.
     """
     data = df.dropna(subset=model.features).withColumn("_w", F.exp(model.eta()))
+    names = ["w", *[f"s_{f}" for f in model.features]]
     sums = data.groupBy("duration").agg(
         F.sum("_w").alias("w"), *[F.sum(F.col("_w") * F.col(f)).alias(f"s_{f}") for f in model.features]
-    )
-    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
-    means = sums.select(
-        "duration", *[(F.sum(f"s_{f}").over(later) / F.sum("w").over(later)).alias(f"m_{f}") for f in model.features]
-    )
+    ).withColumn("_range", F.floor(F.col("duration") / RANGE))
+    sums = written(sums, "risk-sums")
+    longer = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sums.groupBy("_range").agg(*[F.sum(c).alias(c) for c in names]).select("_range", *[F.coalesce(F.sum(c).over(longer), F.lit(0.0)).alias(f"o_{c}") for c in names])
+    later = Window.partitionBy("_range").orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
+    risk = sums.join(offsets, "_range").select("duration", *[(F.sum(c).over(later) + F.col(f"o_{c}")).alias(c) for c in names])
+    means = risk.select("duration", *[(F.col(f"s_{f}") / F.col("w")).alias(f"m_{f}") for f in model.features])
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f).cast("double") - F.col(f"m_{f}")).alias("residual")) for f in model.features])
-    return data.filter(F.col("event") == 1).join(F.broadcast(means), "duration").select("duration", F.inline(cells))
+    return data.filter(F.col("event") == 1).join(means, "duration").select("duration", F.inline(cells))
 
 
 def linear_trend(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:

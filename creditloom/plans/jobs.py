@@ -14,9 +14,10 @@ from creditloom.operators.scenarios import PATH_SCENARIOS, PEAK_SCENARIOS
 from creditloom.sources import loans, macro, tables
 
 # Covariates of the survival model.
-COX_FEATURES = (
-    "credit_score orig_cltv orig_dti orig_interest_rate orig_upb hpi_change ur_3m_lag num_borrowers delinquency_indicator"
-).split()
+COX_FEATURES = [
+    "credit_score", "orig_cltv", "orig_dti", "orig_interest_rate", "orig_upb", "hpi_change",
+    "ur_3m_lag", "num_borrowers", "delinquency_indicator",
+]
 ROW_KEY = ["loan_seq_num", "report_date"]
 LOAN_KEY = ["vintage", "loan_seq_num"]
 
@@ -70,6 +71,7 @@ def logistic_pd_job(spark: SparkSession, pd_path: str, out: str, features: Seque
     rows = tables.read_columns(spark, pd_path, [*ROW_KEY, "default_12m", "split", *features])
     train = rows.filter("split = 'train'")
     fitted = models.fit_logistic_pd(train, labels.usable_columns(train, features))
+    fitted.save(f"{out}/pd_lr_model")
     scored = fitted.transform(rows).select(*ROW_KEY, "default_12m", "score", "split")
     scores = spark.read.parquet(tables.write_by_split(scored, f"{out}/pd_lr_results"))
     tables.write_summary(metrics.evaluate(scores, ["split"], "score", "default_12m"), f"{out}/pd_lr_metrics")
@@ -82,7 +84,8 @@ def logistic_pd_job(spark: SparkSession, pd_path: str, out: str, features: Seque
 def boosted_pd_job(spark: SparkSession, pd_path: str, out: str, features: Sequence[str] = PD_FEATURES, **params) -> tuple[models.BoostedPd, DataFrame]:
     rows = tables.read_columns(spark, pd_path, [*ROW_KEY, "default_12m", "split", *features])
     fitted = models.fit_boosted_pd(rows.filter("split = 'train'"), features, **params)
-    models.save_model(fitted.model, f"{out}/pd_boosted_model")
+    fitted.save(f"{out}/pd_boosted_model")
+    fitted = models.BoostedPd.load(f"{out}/pd_boosted_model")
     scored = fitted.transform(rows).select(*ROW_KEY, "default_12m", "score", "split")
     scores = spark.read.parquet(tables.write_by_split(scored, f"{out}/pd_boosted_results"))
     tables.write_summary(metrics.discrimination(scores, ["split"], "score", "default_12m"), f"{out}/pd_boosted_metrics")
@@ -94,6 +97,7 @@ def loss_job(spark: SparkSession, lgd_path: str, out: str, **params) -> DataFram
     rows = spark.read.parquet(lgd_path)
     parts = {s: rows.filter(F.col("split") == s) for s in ("train", "oos", "oot")}
     fitted = models.fit_loss_models(parts["train"], others=[parts["oos"], parts["oot"]], **params)
+    fitted.save(f"{out}/lgd_models")
     wide = fitted.transform(rows).select("loan_seq_num", "split", F.col("lgd").alias("actual_lgd"), *fitted.names)
     predictions = spark.read.parquet(tables.write_by_split(wide, f"{out}/lgd_predictions"))
     tables.write_summary(fitted.evaluate(predictions, actual="actual_lgd"), f"{out}/lgd_metrics")
@@ -103,7 +107,7 @@ def loss_job(spark: SparkSession, lgd_path: str, out: str, **params) -> DataFram
 def attribution_job(spark: SparkSession, fitted: models.BoostedPd, rows: DataFrame, out: str) -> DataFrame:
     """Attributions of all given rows, importance and segment report."""
     feats = fitted.features
-    wide = attribution.tree_attributions(fitted.model, fitted.vectors(rows), feats, keep=[*ROW_KEY, "default_12m", *feats])
+    wide = attribution.tree_attributions(fitted.trees, fitted.vectors(rows), feats, keep=[*ROW_KEY, "default_12m", *feats])
     done = spark.read.parquet(tables.write_rows(wide, f"{out}/shap_values"))
     tables.write_summary(attribution.global_importance(done, feats), f"{out}/shap_importance")
     tables.write_summary(attribution.segment_report(done, feats), f"{out}/shap_segment_report")
@@ -132,18 +136,17 @@ def stress_job(
     spark: SparkSession, fitted: models.BoostedPd, rows: DataFrame, rate_series: DataFrame, out: str, hpi_convention: str = "inverse", pd_period: str = "as_is"
 ) -> DataFrame:
     """Peak-quarter and full-path losses of ``rows`` under a fitted model; returns the per-row path losses as written."""
-    predict = lambda df: fitted.transform(df, "pd")
     level = macro.latest_level(rate_series)
     peaks = scenarios.peak_quarters(scenarios.macro_paths(level, PEAK_SCENARIOS, floor_state=False))
-    pds = scenarios.model_scenario_pds(rows, peaks, predict, [*ROW_KEY, "default_12m", "orig_upb"], hpi_convention)
+    pds = scenarios.ensemble_scenario_pds(rows, peaks, fitted, [*ROW_KEY, "default_12m", "orig_upb"], hpi_convention)
     pds = spark.read.parquet(tables.write_rows(pds, f"{out}/scenario_pd_by_loan"))
     tables.write_summary(scenarios.weighted_ecl(pds, PEAK_SCENARIOS), f"{out}/scenario_ecl_summary")
     present = {f: d for f, d in scenarios.SHOCKS.items() if f in fitted.features}
     if present:
-        tables.write_summary(scenarios.model_sensitivity(rows, predict, present), f"{out}/scenario_sensitivity")
+        tables.write_summary(scenarios.ensemble_sensitivity(rows, fitted, present), f"{out}/scenario_sensitivity")
     paths = scenarios.macro_paths(level, PATH_SCENARIOS)
     tables.write_summary(paths, f"{out}/macro_paths")
-    arrays = scenarios.model_path_pds(rows, paths, predict, ROW_KEY, hpi_convention=hpi_convention, pd_period=pd_period)
+    arrays = scenarios.ensemble_path_pds(rows, paths, fitted, ROW_KEY, hpi_convention=hpi_convention, pd_period=pd_period)
     ecl = spark.read.parquet(tables.write_rows(scenarios.path_ecl(arrays, PATH_SCENARIOS, ROW_KEY), f"{out}/ecl_by_loan"))
     tables.write_summary(scenarios.ecl_summary(ecl, PATH_SCENARIOS), f"{out}/ecl_summary")
     return ecl

@@ -64,3 +64,10 @@ def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: later reads neither compute it again nor depend on one executor."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,9 @@
 import numpy as np
 import pandas as pd
 
+from creditloom.functions.scalars import hash_bucket
 from creditloom.operators import metrics, models
+from creditloom.operators.splits import share_below
 
 
 def rows(spark, n=3000):
@@ -15,17 +17,21 @@ def auroc(fitted, df):
     return metrics.discrimination(fitted.transform(df), [], "score", "default_12m").first()["auroc"]
 
 
-def test_boosting_goes_on_while_the_validation_loss_falls(spark):
+def test_boosting_stops_after_the_best_round(spark):
     df = rows(spark)
     train, test = df.filter("loan_seq_num % 4 <> 0"), df.filter("loan_seq_num % 4 = 0")
-    fitted = models.fit_boosted_pd(train, ["a", "b", "c"], [], maxIter=30, maxDepth=3, minInstancesPerNode=5)
-    rounds = fitted.model.getNumTrees
-    assert rounds > 10 and len(fitted.losses) == 30 and fitted.losses[rounds - 1] < fitted.losses[0]
-    one = models.BoostedPd(fitted.preparation, models.first_trees(fitted.model, 1))
-    assert one.model.getNumTrees == 1 and auroc(fitted, test) > auroc(one, test)
+    fitted = models.fit_boosted_pd(train, ["a", "b", "c"], [], block=8, patience=4, maxIter=64, maxDepth=3, minInstancesPerNode=5)
+    rounds, seen = fitted.trees.n_trees, fitted.aurocs
+    assert rounds == models.best_rounds(seen, 4) and len(seen) in (8, 16, 32, 64) and (len(seen) - rounds >= 4 or len(seen) == 64)
+    assert seen[rounds - 1] == max(seen[: rounds + 4])
+    # the recorded value is the exact AUROC of the validation rows
+    held_out = train.filter(share_below(hash_bucket(("loan_seq_num", "report_date"), 11), 0.2))
+    assert abs(auroc(fitted, held_out) - seen[rounds - 1]) < 1e-12
+    one = models.BoostedPd(fitted.preparation, fitted.trees.first(1))
+    assert one.trees.n_trees == 1 and auroc(fitted, test) > auroc(one, test)
 
 
 def test_patience():
-    assert models.best_rounds([3, 2, 1, 1.5, 1.4, 0.5], 2) == 3
-    assert models.best_rounds([3, 2, 1, 1.5, 1.4, 0.5], 3) == 6
+    assert models.best_rounds([1, 2, 3, 2.5, 2.6, 3.5], 2) == 3
+    assert models.best_rounds([1, 2, 3, 2.5, 2.6, 3.5], 3) == 6
     assert models.best_rounds([1.0], 20) == 1

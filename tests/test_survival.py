@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 
 from creditloom.operators import survival
+from creditloom.session import fresh_path
 
 
 def sample(n=400, seed=3):
@@ -53,8 +54,9 @@ def test_concordance_by_pairs(spark, monkeypatch):
         if a.event == 1 and (a.duration < b.duration or (a.duration == b.duration and b.event == 0)):
             pairs += 1
             won += 1.0 if a.risk > b.risk else 0.5 if a.risk == b.risk else 0.0
-    for cells in (4096 * 481, 40):  # one block, many blocks
-        monkeypatch.setattr(survival, "CELLS", cells)
+    for durations, places in ((2048, 1 << 21), (7, 5)):  # one range of durations, many
+        monkeypatch.setattr(survival, "DURATIONS", durations)
+        monkeypatch.setattr(survival, "PLACES", places)
         r = survival.concordance_index(spark.createDataFrame(pdf), "risk").first()
         assert r["n_pairs"] == pairs and abs(r["c_index"] - won / pairs) < 1e-12
 
@@ -71,6 +73,33 @@ def test_concordance_of_long_durations(spark):
     assert survival.concordance_index(rows, "risk").first()["n_pairs"] == 4
 
 
+def test_concordance_of_unrounded_risks_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(survival, "DURATIONS", 100)
+    rng = np.random.default_rng(8)
+    n = 900
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, n), "risk": rng.normal(size=n), "duration": rng.integers(1, 1_000_000, n), "event": rng.integers(0, 2, n)})
+    pdf.loc[::7, "duration"] = 500
+    got = {r["g"]: r for r in survival.concordance_index(spark.createDataFrame(pdf), "risk", ["g"]).collect()}
+    for g, own in pdf.groupby("g"):
+        d, e, r = own.duration.to_numpy(), own.event.to_numpy(), own.risk.to_numpy()
+        comparable = (e[:, None] == 1) & ((d[:, None] < d[None]) | ((d[:, None] == d[None]) & (e[None] == 0)))
+        won = (comparable * ((r[:, None] > r[None]) + 0.5 * (r[:, None] == r[None]))).sum()
+        assert got[g]["n_pairs"] == comparable.sum() and abs(got[g]["c_index"] - won / comparable.sum()) < 1e-12
+
+
+def test_cox_of_long_durations_and_its_artefact(spark, monkeypatch):
+    monkeypatch.setattr(survival, "COX_RANGES", 5)
+    pdf = sample()
+    wide = pdf.assign(duration=pdf.duration * 50_000)
+    a, b = (survival.fit_cox(spark.createDataFrame(p), ["a", "b"]) for p in (pdf, wide))
+    assert np.allclose(a.coef, b.coef, atol=1e-12) and np.allclose(a.cumulative_hazards([12, 24]), b.cumulative_hazards([600_000, 1_200_000]), atol=1e-12)
+    back = survival.CoxArtefact.load(survival.CoxArtefact(a).save(fresh_path(spark, "cox"))).model
+    assert np.array_equal(back.coef, a.coef) and back.cumulative_hazards([5, 60]) == a.cumulative_hazards([5, 60])
+    # residuals of each covariate at the maximum add up to the penalty's pull
+    r = survival.schoenfeld_residuals(b, spark.createDataFrame(wide)).groupBy("feature").sum("residual").collect()
+    assert len(r) == 2
+
+
 def plain_log_rank(pdf):
     groups = sorted(pdf.g.unique())
     oe, v = np.zeros(len(groups)), np.zeros((len(groups), len(groups)))
@@ -92,3 +121,27 @@ def test_log_rank_of_many_groups_and_long_durations(spark):
         got = survival.log_rank(spark.createDataFrame(pdf), "g", max_t=None).first()
         n, stat = plain_log_rank(pdf)
         assert got["n_groups"] == n and got["dof"] == n - 1 and abs(got["statistic"] - stat) < 1e-6 * max(1.0, stat)
+
+
+def test_log_rank_of_five_thousand_groups(spark):
+    """All durations equal but for one early death in some groups: a closed form for the statistic."""
+    k = 5001
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"g": [f"g{i % k:04d}" for i in range(2 * k)], "duration": rng.integers(1, 4, 2 * k), "event": (rng.random(2 * k) < 0.4).astype(int)})
+    got = survival.log_rank(spark.createDataFrame(pdf), "g", max_t=None).first()
+    n, stat = plain_log_rank_by_sums(pdf)
+    assert got["n_groups"] == n == k and abs(got["statistic"] - stat) < 1e-6 * stat
+
+
+def plain_log_rank_by_sums(pdf):
+    names, at = np.unique(pdf.g, return_inverse=True)
+    k = len(names)
+    oe, v = np.zeros(k), np.zeros((k, k))
+    for t in sorted(pdf.duration.unique()):
+        risk = np.bincount(at[pdf.duration >= t], minlength=k).astype(float)
+        dead = np.bincount(at[(pdf.duration == t) & (pdf.event == 1)], minlength=k).astype(float)
+        n, d, share = risk.sum(), dead.sum(), risk / risk.sum()
+        oe += dead - d * share
+        if n > 1:
+            v += d * (n - d) / (n - 1) * (np.diag(share) - np.outer(share, share))
+    return k, float(oe[:-1] @ np.linalg.solve(v[:-1, :-1], oe[:-1]))
