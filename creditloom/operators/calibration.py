@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import clip, logit, sigmoid
 from creditloom.operators import metrics
+from creditloom.operators.fitted import Fitted
 from creditloom.operators.metrics import score_tally
 from creditloom.operators.models import fit_logistic
 
@@ -109,11 +110,23 @@ def fit_temperature(df: DataFrame, score: str, target: str, grid: tuple[float, f
     return Temperature(t_best, goal - mean_logit / t_best, best["loss"] / n)
 
 
-@dataclass
-class Calibrators:
-    platt: Platt
-    isotonic: Isotonic
-    temperature: Temperature
+class Calibrators(Fitted):
+    """The three maps of one score; saved whole, the isotonic one as Spark's own model."""
+
+    def __init__(self, platt: Platt, isotonic: Isotonic, temperature: Temperature):
+        super().__init__({"platt": asdict(platt), "temperature": asdict(temperature)}, models={"isotonic": isotonic.model})
+
+    @property
+    def platt(self) -> Platt:
+        return Platt(**self.state["platt"])
+
+    @property
+    def isotonic(self) -> Isotonic:
+        return Isotonic(self.models["isotonic"])
+
+    @property
+    def temperature(self) -> Temperature:
+        return Temperature(**self.state["temperature"])
 
     def transform(self, df: DataFrame, score: str, prefix: str = "") -> DataFrame:
         out = df.withColumn(f"{prefix}platt", self.platt.apply(F.col(score))).withColumn(f"{prefix}temperature", self.temperature.apply(F.col(score)))
@@ -137,18 +150,18 @@ def calibration_metrics(df: DataFrame, columns: dict[str, str], target: str, bin
 
 
 def calibrate_models(
-    df: DataFrame, models: dict[str, str], target: str, half: str = "half", keep: Sequence[str] = ()
+    df: DataFrame, models: dict[str, str], target: str, half: str = "half", keep: Sequence[str] = (), fitted: dict[str, Calibrators] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """For every score column in ``models`` (column -> name): fit on the ``cal`` half, score and measure the ``eval`` half.
+    """For every score column in ``models`` (column -> name): fit on the ``cal`` half (or take ``fitted`` by name), score and measure the ``eval`` half.
 
     Returns (metrics of all models and methods, calibrated eval rows).
     """
     cal, out = df.filter(F.col(half) == "cal"), df.filter(F.col(half) == "eval")
     columns: dict[str, str] = {}
     for score, name in models.items():
-        fitted = fit_calibrators(cal.filter(F.col(score).isNotNull()), score, target)
+        own = (fitted or {}).get(name) or fit_calibrators(cal.filter(F.col(score).isNotNull()), score, target)
         prefix = f"{name.lower()}_"
-        out = fitted.transform(out, score, prefix)
+        out = own.transform(out, score, prefix)
         columns[score] = f"{name} Raw"
         columns.update({f"{prefix}{m}": f"{name} {m.capitalize()}" for m in ("platt", "isotonic", "temperature")})
     return calibration_metrics(out, columns, target), out.select(*keep, target, *columns)

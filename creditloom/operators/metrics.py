@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,12 @@ def discrimination(df: DataFrame, by: Sequence[str], score: str, target: str) ->
     return out.withColumn("gini", 2 * F.col("auroc") - 1)
 
 
+def compare_models(scores: Mapping[str, DataFrame], target: str = "default_12m", score: str = "score", split: str = "split") -> DataFrame:
+    """Discrimination of several models (name -> scored rows) side by side: one row for each model and split, the best of a split first."""
+    both = reduce(DataFrame.unionByName, [df.select(split, target, F.col(score).alias("score")).withColumn("model", F.lit(name)) for name, df in scores.items()])
+    return discrimination(both, ["model", split], "score", target).orderBy(split, F.desc("auroc"), "model")
+
+
 def roc_points(df: DataFrame, by: Sequence[str], score: str, target: str, steps: int = 100) -> DataFrame:
     """Points of the ROC curve, highest score first, thinned to the last point of each of ``steps`` FPR cells."""
     r = _rank_columns(score_tally(df, by, score, target), by, score)

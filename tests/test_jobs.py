@@ -33,6 +33,13 @@ def test_jobs_from_text_to_losses(spark, tmp_path):
     out = str(tmp_path / "out")
     paths = jobs.prepare_tables(spark, f"{tmp_path}/sample_orig_*.txt", f"{tmp_path}/sample_svcg_*.txt", out)
     rows = spark.read.parquet(paths["pd"])
+    table = lambda name, infer=True: spark.read.option("header", True).option("inferSchema", infer).csv(f"{out}/{name}").collect()
+    panel = spark.read.parquet(f"{out}/panel")
+    assert {r["zero_balance_code"]: r["n"] for r in table("dispositions", False)}["03"] == str(panel.filter("zero_balance_code = '03'").count())
+    assert {r["n"] for r in table("panel_null_rates")} == {panel.count()} and all(r["n_null"] == panel.filter(F.col(r["date_column"]).isNull()).count() for r in table("panel_null_rates"))
+    rates = {r["measure"]: r for r in table("rates")}
+    assert rates["default_12m"]["n"] == rows.count() and abs(rates["default_12m"]["mean"] - rows.agg(F.avg("default_12m")).first()[0]) < 1e-12
+    assert abs(rates["lgd"]["mean"] - spark.read.parquet(paths["lgd"]).agg(F.avg("lgd")).first()[0]) < 1e-12
     assert {r["split"] for r in rows.select("split").distinct().collect()} == {"train", "oos", "oot"}
     scores = jobs.logistic_pd_job(spark, paths["pd"], out)
     assert scores.count() == rows.count() and scores.filter("score <= 0 or score >= 1").count() == 0
@@ -43,12 +50,19 @@ def test_jobs_from_text_to_losses(spark, tmp_path):
     rate = spark.createDataFrame([(dt.date(2018, 1, 1), 4.0)], "date date, unemployment_rate double")
     ecl = jobs.stress_job(spark, fitted, rows.filter("split = 'oos'"), rate, out)
     assert ecl.filter("ecl_base_1Y > ecl_base_5Y + 1e-9").count() == 0 and ecl.count() == rows.filter("split = 'oos'").count()
-    jobs.calibration_job(spark, {"LR": scores}, out)
-    assert spark.read.option("header", True).csv(f"{out}/calibration_metrics_lr").count() == 4
+    for name, least in (("loan_loss_quantile", 1), ("macro_path_summary", 3), ("mean_paths", 60), ("ecl_percentiles", 12), ("ecl_horizon_growth", 12), ("ecl_recovery_saving", 3), ("ecl_uplift", 2), ("ecl_path_against_peak", 3), ("scenario_sensitivity", 0)):
+        assert len(table(name)) == least if least else True, name
+    both = jobs.compare_job(spark, {"Logistic Regression": scores, "Boosted Trees": boosted}, out)
+    assert both.count() == 2 * scores.select("split").distinct().count()
+    measured = jobs.calibration_job(spark, {"LR": scores, "GB": boosted}, out)
+    assert measured.count() == 8 and {r["model"] for r in measured.collect()} == {"LR", "GB"} and len(table("long_run_default_rate")) == 2 * 2 * 4
     horizon = jobs.survival_job(spark, paths["pd"], out, ["credit_score", "orig_dti"])
     assert horizon.filter(F.col("pd_60m") < F.col("pd_12m")).count() == 0
+    assert len(table("survival_horizon_summary")) == 4 and sum(r["n"] for r in table("survival_horizon_calibration")) == horizon.count()
     shap = jobs.attribution_job(spark, fitted, rows.filter("split = 'oos'"), out)
     total = sum((F.col(f"shap_{f}") for f in fitted.features), F.col("base_value"))
     assert shap.agg(F.max(F.abs(total - F.col("margin")))).first()[0] < 1e-9
+    assert {r["which"] for r in table("shap_waterfall")} == {"highest", "lowest"} and sum(r["n"] for r in table("shap_dependence")) == shap.count()
+    assert len(table("shap_density")) > 2 and len(table("shap_decile_profile")) >= 5
     losses = jobs.loss_job(spark, paths["lgd"], out, forest_params={"numTrees": 3}, boosted_params={"maxIter": 2})
     assert losses.filter("spline_pred < 0 or spline_pred > 1 or frm_pred is null").count() == 0
