@@ -130,6 +130,26 @@ def usable_feature_counts(spark, sf):
 CUT = dt.date(2000, 6, 1)
 
 
+@query("laid_out_default_rows", views="fx_pd", sql="""
+SELECT loan_seq_num, strftime(report_date, '%Y-%m-%d') AS report_date, default_12m, strftime(default_date, '%Y-%m-%d') AS default_date FROM fx_pd""")
+def laid_out_default_rows(spark, sf):
+    """Default labels from the panel written in buckets of loans: join and first default read it as it lies."""
+    from creditloom.session import fresh_path
+    from creditloom.sources import tables
+
+    panel = tables.write_by_key(base.panel(spark, sf), fresh_path(spark, "panel"), ["loan_seq_num"])
+    return labels.default_rows(panel).select("loan_seq_num", day("report_date").alias("report_date"), "default_12m", day("default_date").alias("default_date"))
+
+
+@query("laid_out_last_known", views="fx_lgd", sql="SELECT loan_seq_num, round(lgd_raw, 6) AS lgd_raw, round(lgd, 6) AS lgd FROM fx_lgd")
+def laid_out_last_known(spark, sf):
+    from creditloom.session import fresh_path
+    from creditloom.sources import tables
+
+    panel = tables.write_by_key(base.panel(spark, sf), fresh_path(spark, "panel"), ["loan_seq_num"])
+    return labels.loss_rows(panel).select("loan_seq_num", rounded(F.col("lgd_raw")).alias("lgd_raw"), rounded(F.col("lgd")).alias("lgd"))
+
+
 @query("temporal_split_counts", views="fx_pd", sql="""
 SELECT CASE WHEN report_date >= DATE '2000-06-01' THEN 'oot' WHEN (loan_seq_num * 7919 + 13) % 100 < 70 THEN 'train' ELSE 'oos' END AS split,
        count(*) AS n, CAST(sum(default_12m) AS BIGINT) AS n_default, round(avg(default_12m), 6) AS default_rate

@@ -46,7 +46,7 @@ def prepare_tables(
 ) -> dict[str, str]:
     """Default and loss tables per vintage, split tables, null, disposition and class rates, information value and stability summaries.
 
-    Null counts, dispositions and class rates are gathered by the passes that write the tables. The joined panel is written first, then the per-vintage tables, each read back: that cuts the lineage, the servicing text is
+    Null counts, dispositions and class rates are gathered by the passes that write the tables. The panel is laid out by loan, so labels need no further exchange on it. The joined panel is written first, then the per-vintage tables, each read back: that cuts the lineage, the servicing text is
     parsed once, and every later pass reads pruned Parquet columns.
     """
     text = featured_panel(spark, originations, servicing, price_index, macro_folder, vintage_pattern)
@@ -54,23 +54,20 @@ def prepare_tables(
     code, known = F.col("zero_balance_code"), sorted({*labels.DISPOSITION_LABELS, *codes})
     checks = {"n": F.count(F.lit(1)), **{f"null_{d}": F.count_if(F.col(d).isNull()) for d in dates}}
     checks |= {f"code_{k}": F.count_if(code == k) for k in known} | {"code_other": F.count_if(code.isNotNull() & ~code.isin(known))}
-    seen = tables.write_observed(text, lambda df: tables.write_by_vintage(df, f"{out}/panel"), checks)
-    panel = spark.read.schema(text.schema).parquet(f"{out}/panel")
+    panel, seen = tables.write_observed(text, lambda df: tables.write_by_key(df, f"{out}/panel", LOAN_KEY), checks)
     nulls = [(d, seen["n"], seen[f"null_{d}"], seen[f"null_{d}"] / max(seen["n"], 1)) for d in dates]
     tables.write_summary(spark.createDataFrame(nulls, "date_column string, n long, n_null long, null_rate double"), f"{out}/panel_null_rates")
-    found = [(k, labels.DISPOSITION_LABELS.get(k, "other"), int(k in codes), seen[f"code_{k}"]) for k in [*known, "other"]]
-    tables.write_summary(spark.createDataFrame(found, "zero_balance_code string, label string, is_default int, n long"), f"{out}/dispositions")
+    held = [(k, labels.DISPOSITION_LABELS.get(k, "other"), int(k in codes), seen[f"code_{k}"]) for k in [*known, "other"]]
+    tables.write_summary(spark.createDataFrame(held, "zero_balance_code string, label string, is_default int, n long"), f"{out}/dispositions")
     tables.write_summary(loans.period_null_rates(panel, dates), f"{out}/period_null_rates")
     key = ["loan_seq_num"] if split_by_loan else ROW_KEY
     defaults = labels.default_rows(panel, LOAN_KEY, codes).select("vintage", *PD_FEATURES, *ROW_KEY, "default_12m")
-    rates = [("default_12m", *_rate(tables.write_observed(
-        labels.complete_cases(defaults, PD_FEATURES, "vintage"), lambda df: tables.write_by_vintage(df, f"{out}/pd_rows"), _rate_of("default_12m")
-    )))]
+    _, found = tables.write_observed(labels.complete_cases(defaults, PD_FEATURES, "vintage"), lambda df: tables.write_by_vintage(df, f"{out}/pd_rows"), _rate_of("default_12m"))
+    rates = [("default_12m", *_rate(found))]
     carry = [c for c in panel.columns if c not in (*LOAN_KEY, "report_date")]
     losses = labels.loss_rows(panel, LOAN_KEY, codes, carry).select("vintage", *LGD_FEATURES, "loan_seq_num", "zero_balance_date", "lgd", "lgd_raw")
-    rates.append(("lgd", *_rate(tables.write_observed(
-        labels.complete_cases(losses, LGD_FEATURES, "vintage"), lambda df: tables.write_by_vintage(df, f"{out}/lgd_rows"), _rate_of("lgd")
-    ))))
+    _, found = tables.write_observed(labels.complete_cases(losses, LGD_FEATURES, "vintage"), lambda df: tables.write_by_vintage(df, f"{out}/lgd_rows"), _rate_of("lgd"))
+    rates.append(("lgd", *_rate(found)))
     tables.write_summary(spark.createDataFrame(rates, "measure string, n long, total double, mean double"), f"{out}/rates")
 
     pd_rows = splits.require_in_sample(spark.read.parquet(f"{out}/pd_rows"), "report_date")

@@ -153,3 +153,28 @@ def test_dictionary_numbers_labels_in_order_without_one_task(spark):
 def test_rows_without_a_target_belong_to_no_class(spark):
     df = spark.createDataFrame([(0,), (1,), (None,), (1,)], "y int")
     assert encoding.class_counts(df, "y") == {0: 1, 1: 2}
+
+
+# ------------------------------------------------------------------------------------------------ layout by loan
+def test_a_panel_laid_out_by_loan_needs_no_exchange(spark, tmp_path):
+    from creditloom.operators import joins, labels, survival
+    from creditloom.sources import tables
+
+    rng = np.random.default_rng(5)
+    panel = pd.DataFrame([(i, pd.Timestamp(2000 + m // 12, 1 + m % 12, 1).date(), m, "03" if m == 7 and i % 3 == 0 else None, 100.0 - m, None, 90.0, int(rng.integers(0, 2))) for i in range(60) for m in range(10)],
+                         columns=["loan_seq_num", "report_date", "loan_age", "zero_balance_code", "current_upb", "actual_loss", "zero_balance_removal_upb", "default_12m"])
+    schema = "loan_seq_num long, report_date date, loan_age int, zero_balance_code string, current_upb double, actual_loss double, zero_balance_removal_upb double, default_12m int"
+    df = spark.createDataFrame(panel.astype(object).where(panel.notna(), None), schema).repartition(7)
+    held = tables.write_by_key(df, f"{tmp_path}/panel", ["loan_seq_num"], buckets=4)
+    loans = tables.write_by_key(df.select("loan_seq_num").distinct().withColumn("x", F.lit(1)), f"{tmp_path}/loans", ["loan_seq_num"], buckets=4)
+    plain = lambda d: d.drop("default_12m")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (lambda d, o: joins.join_panel(d, o, ["loan_seq_num"]), lambda d, o: labels.first_default(d), lambda d, o: labels.default_rows(plain(d)), lambda d, o: survival.survival_table(d, [])):
+            out = made(held, loans)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+            assert sorted(map(str, out.collect())) == sorted(map(str, made(df, loans).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
