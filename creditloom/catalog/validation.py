@@ -32,7 +32,7 @@ def discrimination(spark, sf):
 @query("roc_points", views="fx_scores", sql=RANK_SQL + """,
 p AS (SELECT split, score AS threshold, (nt - nb) / nt AS fpr, (pt - pb) / pt AS tpr FROM r),
 c AS (SELECT *, CAST(ceil(fpr * 100) AS INTEGER) AS cell, row_number() OVER (PARTITION BY split, CAST(ceil(fpr * 100) AS INTEGER) ORDER BY tpr DESC, fpr DESC, threshold DESC) AS rn FROM p)
-SELECT split, cell, threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM c WHERE rn = 1""")
+SELECT split, cell, threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM c WHERE rn = 1 UNION ALL SELECT DISTINCT split, -1, NULL, 0, 0 FROM p""")
 def roc_points(spark, sf):
     r = metrics.roc_points(base.scores(spark, sf), ["split"], "score", "default_12m")
     return r.withColumns({c: rounded(F.col(c)) for c in ("fpr", "tpr")})
@@ -50,19 +50,17 @@ def split_metric_rows(spark, sf):
 
 @query("model_comparison", views="fx_scores", sql="""
 WITH two AS (SELECT 'Logistic Regression' AS model, split, score, default_12m FROM fx_scores
-  UNION ALL SELECT 'Boosted Trees', split, round(score * score, 4), default_12m FROM fx_scores),
+  UNION ALL SELECT 'Balance', split, orig_upb, default_12m FROM fx_scores),
 t AS (SELECT model, split, score, sum(default_12m) AS pos, sum(1 - default_12m) AS neg FROM two GROUP BY 1, 2, 3),
 r AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pb, coalesce(sum(neg) OVER w, 0) AS nb, sum(pos) OVER g AS pt, sum(neg) OVER g AS nt
   FROM t WINDOW w AS (PARTITION BY model, split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY model, split))
 SELECT model, split, round(sum(pos::DOUBLE * (nb::DOUBLE + neg::DOUBLE / 2)) / (max(pt)::DOUBLE * max(nt)::DOUBLE), 6) AS auroc,
   round(max(abs((pb + pos) / pt - (nb + neg) / nt)), 6) AS ks FROM r WHERE split IN ('oos', 'oot') GROUP BY 1, 2""")
 def model_comparison(spark, sf):
-    s = base.scores(spark, sf).select("split", "default_12m", "score").filter(F.col("split").isin("oos", "oot"))
-    two = s.withColumn("model", F.lit("Logistic Regression")).unionByName(
-        s.withColumn("score", F.round(F.col("score") * F.col("score"), 4)).withColumn("model", F.lit("Boosted Trees"))
-    )
-    d = metrics.discrimination(two, ["model", "split"], "score", "default_12m")
-    return d.select("model", "split", rounded(F.col("auroc")).alias("auroc"), rounded(F.col("ks")).alias("ks")).orderBy("split", F.desc("auroc"))
+    """The scored table beside a ranking by balance."""
+    s = base.scores(spark, sf).filter(F.col("split").isin("oos", "oot"))
+    d = metrics.compare_models({"Logistic Regression": s, "Balance": s.withColumn("score", F.col("orig_upb").cast("double"))})
+    return d.select("model", "split", rounded(F.col("auroc")).alias("auroc"), rounded(F.col("ks")).alias("ks"))
 
 
 @query("loss_error_metrics", views="fx_lgd", sql="""

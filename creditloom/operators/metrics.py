@@ -52,17 +52,20 @@ def compare_models(scores: Mapping[str, DataFrame], target: str = "default_12m",
 
 
 def roc_points(df: DataFrame, by: Sequence[str], score: str, target: str, steps: int = 100) -> DataFrame:
-    """Points of the ROC curve, highest score first, thinned to the last point of each of ``steps`` FPR cells."""
+    """Points of the ROC curve, highest score first, thinned to the last point of each of ``steps`` FPR cells. The curve starts at (0, 0), in cell -1."""
     r = _rank_columns(score_tally(df, by, score, target), by, score)
     fpr = F.try_divide(F.col("neg_total") - F.col("neg_before"), F.col("neg_total"))
     tpr = F.try_divide(F.col("pos_total") - F.col("pos_before"), F.col("pos_total"))
     pts = r.select(*by, F.col(score).alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
     cell = F.ceil(F.col("fpr") * steps).cast("int")
     best = F.max_by(F.struct("threshold", "fpr", "tpr"), F.struct("tpr", "fpr", "threshold"))
-    return (
+    thinned = (
         pts.filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
         .groupBy(*by, cell.alias("cell")).agg(best.alias("p")).select(*by, "cell", "p.threshold", "p.fpr", "p.tpr")
     )
+    # the cell with the last point of every curve, (1, 1), is there once for each group
+    first = thinned.filter(F.col("cell") == steps).select(*by, F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return first.unionByName(thinned)
 
 
 def score_bands(df: DataFrame, by: Sequence[str], score: str, target: str, k: int = 10) -> DataFrame:

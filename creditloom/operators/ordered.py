@@ -22,8 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import right_closed_bin
+from creditloom.operators.ranks import column_quantiles
+from creditloom.session import held_side
 
-# Limit tables are broadcast: MAX_GROUPS x MAX_BUCKETS doubles = 40 MB at the most. More groups raise an error.
+# Limit tables are broadcast: MAX_GROUPS x MAX_BUCKETS doubles = 40 MB at the most. More groups raise an error, unless
+# the caller says that there are many: then limits join by an ordinary shuffle on the group.
 MAX_GROUPS = 5_000
 MAX_BUCKETS = 1_024
 
@@ -50,12 +53,12 @@ def tally(df: DataFrame, by: Sequence[str], key: str, sums: Mapping[str, Column]
 
 
 def running_totals(
-    tallied: DataFrame, by: Sequence[str], key: str, sums: Sequence[str], buckets: int | None = None
+    tallied: DataFrame, by: Sequence[str], key: str, sums: Sequence[str], buckets: int | None = None, many_groups: bool = False
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller keys) and ``<s>_total`` for every column in ``sums``.
 
-    ``tallied`` has one row per (by, key). ``by`` names few groups (models, splits, features);
-    keys per group are unlimited.
+    ``tallied`` has one row per (by, key). ``by`` names few groups (models, splits, features); with ``many_groups`` there may be
+    any number of them, and none should hold most keys. Keys per group are unlimited.
     """
     if by:
         base, group = tallied, list(by)
@@ -71,10 +74,11 @@ def running_totals(
         *[F.sum(s).alias(f"{s}_total") for s in sums],
     )
     n_groups = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    limits = pinned(limits, ["_n_keys", *[f"{s}_total" for s in sums]]).withColumn("_groups", n_groups)
+    limits = pinned(limits, ["_n_keys", *[f"{s}_total" for s in sums]]).withColumn("_groups", F.lit(0) if many_groups else n_groups)
     checked = F.when(F.col("_groups") <= MAX_GROUPS, F.col("_limits")).otherwise(
-        F.raise_error(F.lit(f"running_totals takes at most {MAX_GROUPS} groups"))
+        F.raise_error(F.lit(f"more than {MAX_GROUPS} groups: pass many_groups=True"))
     )
+    side = (lambda df: df) if many_groups else F.broadcast
     # Two levels of sorted limits, so that a key is compared with about 2 * sqrt(B) of them.
     step = max(2, math.isqrt(buckets))
     limits = limits.withColumn("_limits", checked).select(
@@ -85,7 +89,7 @@ def running_totals(
     block = F.size(F.filter("_coarse", lambda e: e < F.col(key)))
     bucket = block * step + F.size(F.filter(F.get("_fine", block), lambda e: e < F.col(key)))
     placed = (
-        base.join(F.broadcast(limits), group).withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_coarse", "_fine")
+        base.join(side(limits), group).withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_coarse", "_fine")
     )
     ahead = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -96,7 +100,7 @@ def running_totals(
     inside = Window.partitionBy(*group, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     # At most MAX_GROUPS x BUCKETS rows, so the shuffle below is the window's own and not a join's.
-    out = placed.join(F.broadcast(offsets), [*group, "_bucket"])
+    out = placed.join(side(offsets), [*group, "_bucket"])
     for s in sums:
         before = F.coalesce(F.col(f"_off_{s}"), zero) + F.coalesce(F.sum(s).over(inside), zero)
         out = out.withColumn(f"{s}_before", before)
@@ -133,6 +137,7 @@ def quantiles_of_tally(
     count: str,
     probs: Sequence,
     alias: str = "edges",
+    many_groups: bool = False,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group, ``array<double>`` in probability order.
 
@@ -140,7 +145,7 @@ def quantiles_of_tally(
     (at most two per probability) rows that hold a wanted rank are gathered. Also returns ``n`` and ``n_keys``.
     """
     wanted = fractions_of(probs)
-    run = running_totals(tallied, by, key, [count])
+    run = running_totals(tallied, by, key, [count], many_groups=many_groups)
     before, held = F.col(f"{count}_before"), F.col(count)
     ranks = F.array(*[r for p in wanted for r in (_rank(F.col(f"{count}_total"), p)[0], _rank(F.col(f"{count}_total"), p)[0] + 1)])
     holders = run.filter(F.exists(ranks, lambda r: (r >= before) & (r < before + held)))
@@ -162,10 +167,10 @@ def quantiles_of_tally(
     return picked.select(*by, "n", "n_keys", F.array(*edges).alias(alias))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence, alias: str = "edges") -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence, alias: str = "edges", many_groups: bool = False) -> DataFrame:
     """Quantiles of a raw column (see :func:`quantiles_of_tally`)."""
     counted = tally(df, by, value, {"_n": F.lit(1)})
-    return quantiles_of_tally(counted, by, value, "_n", probs, alias)
+    return quantiles_of_tally(counted, by, value, "_n", probs, alias, many_groups)
 
 
 def equal_frequency_bins(
@@ -177,11 +182,15 @@ def equal_frequency_bins(
     """
     if by:
         edges = exact_quantiles(df, by, value, even_probs(k), "_edges").select(*by, F.array_distinct("_edges").alias("_edges"))
-        joined = df.join(F.broadcast(edges), list(by), "left")
+        joined = df.join(held_side(edges), list(by), "left")
     else:
-        keyed = df.withColumn("_g", F.coalesce(F.pmod(F.xxhash64(value), F.lit(1)), F.lit(0).cast("long")))
-        edges = exact_quantiles(keyed, ["_g"], value, even_probs(k), "_edges").select("_g", F.array_distinct("_edges").alias("_edges"))
-        joined = keyed.join(F.broadcast(edges), "_g", "left").drop("_g")
+        narrow = df.select(value).persist()
+        try:
+            found = column_quantiles(narrow, [value], even_probs(k))
+        finally:
+            narrow.unpersist()
+        edges = sorted(set(found.get(value, [])))
+        return df.withColumn(alias, right_closed_bin(F.col(value).cast("double"), F.array(*[F.lit(e) for e in edges])) if edges else F.lit(None).cast("int"))
     return joined.withColumn(alias, right_closed_bin(F.col(value), F.col("_edges"))).drop("_edges")
 
 

@@ -11,6 +11,7 @@ from creditloom.functions.scalars import case_below, code_label
 from creditloom.operators.labels import DEFAULT_CODES, DISPOSITION_LABELS, WIDE_DEFAULT_CODES, is_default
 from creditloom.operators.metrics import discrimination, stack_columns
 from creditloom.operators.ordered import equal_frequency_bins, exact_quantiles
+from creditloom.session import held_side
 
 # Display labels.
 CHANNEL_LABELS = {"R": "Retail", "B": "Broker", "C": "Correspondent", "T": "TPO Not Specified", "9": "Not Available"}
@@ -146,7 +147,7 @@ def score_separation(df: DataFrame, by: Sequence[str], score: str, target: str,
     """Score histogram of goods and bads with the group's KS on every row."""
     h = histogram(df, [*by, target], score, 0.0, 1.0, bins)
     ks = discrimination(df, by, score, target).select(*by, "ks")
-    return h.join(F.broadcast(ks), list(by))
+    return h.join(held_side(ks), list(by))
 
 
 def horizon_summary(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -66,6 +66,12 @@ def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return df
 
 
+def held_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A table that other rows are joined with: worked out once and written; with a broadcast hint if it has at most ``max_rows`` rows."""
+    done = written(df, "side")
+    return F.broadcast(done) if done.limit(max_rows + 1).count() <= max_rows else done
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: later reads neither compute it again nor depend on one executor."""
     path = fresh_path(df.sparkSession, label)

@@ -9,33 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.functions.scalars import clip, number, zfill
+from creditloom.session import held_side
 
 # Column order of the two file layouts.
-ORIGINATION_COLUMNS = (
-    "credit_score first_payment_date first_time_homebuyer maturity_date msa mi_pct num_units occupancy_status "
-    "orig_cltv orig_dti orig_upb orig_ltv orig_interest_rate channel ppm_flag amortization_type property_state "
-    "property_type postal_code loan_seq_num loan_purpose orig_loan_term num_borrowers seller_name servicer_name "
-    "super_conforming_flag pre_harp_seq_num program_indicator harp_indicator property_valuation_method io_indicator "
-    "mi_cancellation_indicator"
-).split()
-SERVICING_COLUMNS = (
-    "loan_seq_num monthly_reporting_period current_upb delinquency_status loan_age remaining_months "
-    "defect_settlement_date modification_flag zero_balance_code zero_balance_date current_interest_rate "
-    "current_deferred_upb ddlpi mi_recoveries net_sale_proceeds non_mi_recoveries expenses legal_costs "
-    "maintenance_costs taxes_insurance misc_expenses actual_loss modification_cost step_modification_flag "
-    "deferred_payment_plan eltv zero_balance_removal_upb delinquent_accrued_interest delinquency_due_to_disaster "
-    "borrower_assistance_status current_month_modification_cost interest_bearing_upb"
-).split()
+ORIGINATION_COLUMNS = [
+    "credit_score", "first_payment_date", "first_time_homebuyer", "maturity_date", "msa", "mi_pct", "num_units",
+    "occupancy_status", "orig_cltv", "orig_dti", "orig_upb", "orig_ltv", "orig_interest_rate", "channel", "ppm_flag",
+    "amortization_type", "property_state", "property_type", "postal_code", "loan_seq_num", "loan_purpose",
+    "orig_loan_term", "num_borrowers", "seller_name", "servicer_name", "super_conforming_flag", "pre_harp_seq_num",
+    "program_indicator", "harp_indicator", "property_valuation_method", "io_indicator", "mi_cancellation_indicator",
+]
+SERVICING_COLUMNS = [
+    "loan_seq_num", "monthly_reporting_period", "current_upb", "delinquency_status", "loan_age", "remaining_months",
+    "defect_settlement_date", "modification_flag", "zero_balance_code", "zero_balance_date", "current_interest_rate",
+    "current_deferred_upb", "ddlpi", "mi_recoveries", "net_sale_proceeds", "non_mi_recoveries", "expenses",
+    "legal_costs", "maintenance_costs", "taxes_insurance", "misc_expenses", "actual_loss", "modification_cost",
+    "step_modification_flag", "deferred_payment_plan", "eltv", "zero_balance_removal_upb",
+    "delinquent_accrued_interest", "delinquency_due_to_disaster", "borrower_assistance_status",
+    "current_month_modification_cost", "interest_bearing_upb",
+]
 # The servicing and origination columns that later steps use.
-SERVICING_USED = (
-    "loan_seq_num monthly_reporting_period current_upb delinquency_status loan_age zero_balance_code "
-    "zero_balance_date current_interest_rate mi_recoveries net_sale_proceeds non_mi_recoveries expenses actual_loss "
-    "zero_balance_removal_upb delinquent_accrued_interest interest_bearing_upb"
-).split()
-ORIGINATION_USED = (
-    "loan_seq_num orig_date zip3 credit_score first_time_homebuyer mi_pct num_units occupancy_status orig_cltv "
-    "orig_dti orig_upb orig_interest_rate channel property_state property_type loan_purpose num_borrowers"
-).split()
+SERVICING_USED = [
+    "loan_seq_num", "monthly_reporting_period", "current_upb", "delinquency_status", "loan_age", "zero_balance_code",
+    "zero_balance_date", "current_interest_rate", "mi_recoveries", "net_sale_proceeds", "non_mi_recoveries",
+    "expenses", "actual_loss", "zero_balance_removal_upb", "delinquent_accrued_interest", "interest_bearing_upb",
+]
+ORIGINATION_USED = [
+    "loan_seq_num", "orig_date", "zip3", "credit_score", "first_time_homebuyer", "mi_pct", "num_units",
+    "occupancy_status", "orig_cltv", "orig_dti", "orig_upb", "orig_interest_rate", "channel", "property_state",
+    "property_type", "loan_purpose", "num_borrowers",
+]
 # Texts that mean missing, in every file and in origination files on top.
 MISSING_TEXTS = (
     "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
@@ -46,10 +49,10 @@ NUMERIC_SENTINELS = ("9", "99", "999", "9999", "99999", "999999", "9999999")
 PERIOD_FORMATS = ("M/yyyy", "yyyyMM", "M-yyyy", "yyyy-M", "yyyy-M-d")
 # Numeric columns and their admissible ranges.
 ORIGINATION_NUMBERS = "credit_score orig_cltv orig_ltv orig_dti orig_upb orig_interest_rate mi_pct num_borrowers orig_loan_term num_units".split()
-SERVICING_NUMBERS = (
-    "loan_age current_upb actual_loss zero_balance_removal_upb mi_recoveries net_sale_proceeds non_mi_recoveries "
-    "expenses delinquent_accrued_interest interest_bearing_upb current_interest_rate"
-).split()
+SERVICING_NUMBERS = [
+    "loan_age", "current_upb", "actual_loss", "zero_balance_removal_upb", "mi_recoveries", "net_sale_proceeds",
+    "non_mi_recoveries", "expenses", "delinquent_accrued_interest", "interest_bearing_upb", "current_interest_rate",
+]
 ORIGINATION_RANGES = {"credit_score": (300.0, 850.0), "orig_cltv": (0.0, 200.0), "orig_dti": (0.0, 100.0), "orig_interest_rate": (0.0, 30.0)}
 AGE_RANGE = (0.0, 480.0)
 
@@ -94,7 +97,7 @@ def parse_periods(df: DataFrame, columns: Mapping[str, str], within: str = "vint
     """Parse month texts with one format per column and vintage.
 
     The format is the first that parses more than half of the rows, else the one that parses most. All
-    columns are counted in one aggregate (a row per vintage, broadcast back), then parsed in one projection.
+    columns are counted in one aggregate (a row per vintage, written once and broadcast while few), then parsed in one projection.
     ``columns`` maps the text column to the name of the date column.
     """
     n = F.count(F.lit(1))
@@ -112,7 +115,7 @@ def parse_periods(df: DataFrame, columns: Mapping[str, str], within: str = "vint
         best = F.array_position(F.array(*parts), F.array_max(F.array(*parts))) - 1
         choices.append(choice.otherwise(best).cast("int").alias(f"_f{i}"))
     chosen = counts.select(F.col(within).alias("_w"), *choices)
-    out = df.join(F.broadcast(chosen), F.col(within).eqNullSafe(F.col("_w")), "left")
+    out = df.join(held_side(chosen), F.col(within).eqNullSafe(F.col("_w")), "left")
     for i, (c, name) in enumerate(columns.items()):
         value = None
         for j, f in enumerate(formats):

@@ -1,6 +1,4 @@
-"""Registered queries against their SQL statements. CREDITLOOM_ALL=1 runs every one of them."""
-
-import os
+"""Registered queries against their SQL statements."""
 
 import pytest
 from compare import connect, difference
@@ -8,21 +6,13 @@ from conftest import SF
 
 from creditloom.catalog.registry import ORACLES, QUERIES
 
-CORE = [
-    "panel_join", "price_change_lookup", "nearest_rate_lag", "default_label_rows", "loss_label_rows", "complete_case_rows", "woe_table",
-    "woe_encoded_rows", "stability_summary", "scorecard", "split_metric_rows", "calibration_error", "kaplan_meier", "log_rank_two_groups",
-    "concordance_index", "path_ecl_by_loan", "path_ecl_summary", "macro_sensitivity", "origination_scan", "servicing_scan", "isotonic_fit",
-    "temperature_fit", "cumulative_loss_curve", "spline_basis_rows",
-]
-NAMES = sorted(ORACLES) if os.environ.get("CREDITLOOM_ALL") else CORE
-
 
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 

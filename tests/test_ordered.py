@@ -78,3 +78,14 @@ def test_concentration_without_distinct_order(spark):
     df = spark.createDataFrame([(1.0, 10.0)] * 10, "o double, a double")
     got = ordered.concentration(df, [], "o", "a", [(1, 5), (1, 2), (1, 1)]).orderBy("row_share").collect()
     assert [round(r["amount_share"], 12) for r in got] == [0.2, 0.5, 1.0]
+
+
+def test_any_number_of_groups(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": np.repeat(np.arange(5001), 3), "v": rng.normal(size=15003)})
+    df = spark.createDataFrame(pdf)
+    got = {r["g"]: r["edges"][0] for r in ordered.exact_quantiles(df, ["g"], "v", [(1, 2)], many_groups=True).collect()}
+    want = pdf.groupby("g").v.median()
+    assert len(got) == 5001 and all(abs(got[g] - m) < 1e-12 for g, m in want.items())
+    with pytest.raises(Exception, match="many_groups"):
+        ordered.exact_quantiles(df, ["g"], "v", [(1, 2)]).collect()
