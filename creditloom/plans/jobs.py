@@ -99,9 +99,12 @@ def logistic_pd_job(spark: SparkSession, pd_path: str, out: str, features: Seque
     return scores
 
 
-def boosted_pd_job(spark: SparkSession, pd_path: str, out: str, features: Sequence[str] = PD_FEATURES, **params) -> tuple[models.BoostedPd, DataFrame]:
+def boosted_pd_job(
+    spark: SparkSession, pd_path: str, out: str, features: Sequence[str] = PD_FEATURES, fitted: models.BoostedPd | None = None, **params
+) -> tuple[models.BoostedPd, DataFrame]:
+    """Model (fitted on train, or the given one), scores of all splits, metrics and importance; everything after the fit runs on the saved artefact."""
     rows = tables.read_columns(spark, pd_path, [*ROW_KEY, "default_12m", "split", *features])
-    fitted = models.fit_boosted_pd(rows.filter("split = 'train'"), features, **params)
+    fitted = fitted or models.fit_boosted_pd(rows.filter("split = 'train'"), features, **params)
     fitted.save(f"{out}/pd_boosted_model")
     fitted = models.BoostedPd.load(f"{out}/pd_boosted_model")
     scored = fitted.transform(rows).select(*ROW_KEY, "default_12m", "score", "split")
@@ -117,10 +120,11 @@ def compare_job(spark: SparkSession, scores: dict[str, DataFrame], out: str) ->
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/pd_model_comparison")
 
 
-def loss_job(spark: SparkSession, lgd_path: str, out: str, **params) -> DataFrame:
+def loss_job(spark: SparkSession, lgd_path: str, out: str, fitted: models.LossModels | None = None, **params) -> DataFrame:
+    """Predictions of the four loss models (fitted on train, or the given ones) for all splits, and their errors."""
     rows = spark.read.parquet(lgd_path)
     parts = {s: rows.filter(F.col("split") == s) for s in ("train", "oos", "oot")}
-    fitted = models.fit_loss_models(parts["train"], others=[parts["oos"], parts["oot"]], **params)
+    fitted = fitted or models.fit_loss_models(parts["train"], others=[parts["oos"], parts["oot"]], **params)
     fitted.save(f"{out}/lgd_models")
     wide = fitted.transform(rows).select("loan_seq_num", "split", F.col("lgd").alias("actual_lgd"), *fitted.names)
     predictions = spark.read.parquet(tables.write_by_split(wide, f"{out}/lgd_predictions"))
