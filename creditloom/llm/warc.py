@@ -23,6 +23,8 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = (1 << 24) - 1
 SALTS = 64
 BATCH_BYTES = 8 << 20
+#: An archive is read whole by one task.
+FILE_BYTES = 512 << 20
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, origin: int | None, date: str) -> bytes:
@@ -67,8 +69,11 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     The text sink writes a string's bytes as they are and ends each value with its separator, here the zero byte that ends every
     gzip member, so any file system that Spark reaches can hold the archives. Of pages with equal payloads of at least ``least``
     bytes the smallest page_id is the response and the rest revisit it; pages that share that page_id and payload are all responses. A
-    null html is an empty payload. A page without id is a response of its own. Files hold at most 20,000 records.
+    null html is an empty payload. A page without id is a response of its own. A file holds so many records that it stays below ``FILE_BYTES`` even if all are as long as the longest
+    page (one record at least).
     """
+    longest = pages.agg(F.max(F.octet_length(F.col(html)) + F.coalesce(F.octet_length(F.col(url)), F.lit(0)))).first()[0] or 0
+    per_file = max(1, min(20_000, FILE_BYTES // (longest + 1024)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +90,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = with_origin(source, least).select("page_id", "url", "payload", "digest", "origin")
-    rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 20_000).text(path)
+    rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
 @dataclass
@@ -103,7 +108,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     """The record at ``at``: head, block and end; or what is wrong with it."""
     if data[at : at + 7] != b"WARC/1." or not data[at + 7 : at + 8].isdigit() or data[at + 8 : at + 10] != b"\r\n":
         return "no version line"
-    body = data.find(CRLF2, at, at + (1 << 20))
+    body = data.find(CRLF2, at)
     if body < 0:
         return "no end of head"
     head = {}
@@ -127,28 +132,36 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     return head, block, end + 4
 
 
-def member(data: memoryview, at: int) -> tuple[bytes, int] | str:
-    """The gzip member at ``at`` and its end; or what is wrong. Input is fed in small steps, so that no tail is copied."""
+def member(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` unpacks to, its end, and what is wrong with it, if anything: then the bytes up to the damage.
+
+    Input is fed in small steps, so that no tail is copied; the step that fails is fed again byte by byte.
+    """
     if data[at : at + 3] != MAGIC:
-        return "no member"
+        return b"", at, "no member"
     unpack, out = zlib.decompressobj(31), []
-    try:
-        while not unpack.eof:
-            step = data[at : at + 65536]
-            if not len(step):
-                return "cut short"
+    while not unpack.eof:
+        step = data[at : at + 65536]
+        if not len(step):
+            return b"".join(out), at, "cut short"
+        again = unpack.copy()
+        try:
             out.append(unpack.decompress(step))
-            at += len(step)
-    except zlib.error as e:
-        return f"bad member: {str(e)[:60]}"
-    return b"".join(out), at - len(unpack.unused_data)
+        except zlib.error as e:
+            for k in range(len(step)):
+                try:
+                    out.append(again.decompress(step[k : k + 1]))
+                except zlib.error:
+                    return b"".join(out), at + k + 1, f"bad member: {str(e)[:60]}"
+        at += len(step)
+    return b"".join(out), at - len(unpack.unused_data), None
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """All records of an archive in order, and the gaps between them.
 
-    After a failed check the reader looks for the next gzip member that unpacks to a version line, or in a plain archive for the next version
-    line whose record passes its checks. The bytes before it are one gap; what follows is read as usual.
+    After a failed check the reader looks for the next gzip member that unpacks to a record, or in a plain archive and in the unpacked bytes of a member for
+    the next version line whose record passes its checks. The bytes before it are one gap (inside a member: the member's); what follows is read as usual.
     """
     packed = data[:3] == MAGIC or (data[:5] != b"WARC/" and data.find(MAGIC) >= 0 and data.find(b"WARC/1.") < 0)
     view, at = memoryview(data), 0
@@ -156,8 +169,8 @@ def salvage(data: bytes) -> Iterator[Found]:
         start = at
         got = _packed_records(view, at) if packed else parse(data, at)
         if not isinstance(got, str):
-            for head, block, end in got if packed else [got]:
-                yield Found(start, end, head, block)
+            for head, block, end, reason in got if packed else [(*got, None)]:
+                yield Found(start, end, head, block, reason)
                 at = end
             continue
         at += 1
@@ -172,30 +185,35 @@ def salvage(data: bytes) -> Iterator[Found]:
         yield Found(start, at, {}, b"", got)
 
 
-def _packed_records(view: memoryview, at: int) -> list[tuple[dict[str, str], bytes, int]] | str:
-    """Records of the member at ``at``; a record that is longer goes on in the members behind it."""
-    got = member(view, at)
-    if isinstance(got, str):
-        return got
-    data, end = got
+def _packed_records(view: memoryview, at: int) -> list[tuple[dict[str, str], bytes, int, str | None]] | str:
+    """Records of the member at ``at``; a record that is longer goes on in the members behind it. Where one fails, the next version line in the unpacked bytes
+    whose record passes its checks goes on, and an entry with a reason stands between. The reason alone if there is no record at all."""
+    data, end, bad = member(view, at)
     if data[:5] != b"WARC/":
-        return "member without version line"
-    out, done = [], 0
+        return bad or "member without version line"
+    out: list[tuple[dict[str, str], bytes, int, str | None]] = []
+    done = 0
     while done < len(data):
-        record_ = parse(data, done)
-        if record_ in ("cut short", "no end of head") and end < len(view):
-            more = member(view, end)
-            if isinstance(more, str):
-                return more
-            if more[0][:5] == b"WARC/" and record_ == "cut short" and len(data) - done < MEMBER:
-                return "cut short"
-            data, end = data + more[0], more[1]
+        got = parse(data, done)
+        if got in ("cut short", "no end of head") and bad is None and end < len(view):
+            more, more_end, more_bad = member(view, end)
+            fresh = more[:5] == b"WARC/" and got == "cut short" and len(data) - done < MEMBER
+            if more and not fresh:
+                data, done, end, bad = data[done:] + more, 0, more_end, more_bad
+                continue
+        if not isinstance(got, str):
+            out.append((got[0], got[1], end, None))
+            done = got[2]
             continue
-        if isinstance(record_, str):
-            return record_
-        out.append((record_[0], record_[1], end))
-        done = record_[2]
-    return out
+        out.append(({}, b"", end, bad or got))
+        done = data.find(b"WARC/1.", done + 1)
+        while done >= 0 and isinstance(parse(data, done), str):
+            done = data.find(b"WARC/1.", done + 1)
+        if done < 0:
+            break
+    if bad and not (out and out[-1][3]):
+        out.append(({}, b"", end, bad))
+    return out if any(r[3] is None for r in out) else out[0][3]
 
 
 FOUND = (

@@ -136,6 +136,37 @@ def test_reader_recovers_what_lies_behind_damage(packed, damage):
     assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_one_member_of_many_records_loses_the_damaged_one_only(level):
+    rng = random.Random(2)
+    payloads = [(i, (prose(rng, 400) + "\r\nWARC/1.1\r\n").encode()) for i in range(5)]
+    parts = archive(payloads, False)
+    data = bytearray(gzip.compress(b"".join(parts), level))
+    at = len(data) // 2
+    data[at] ^= 0x10
+    found = list(warc.salvage(bytes(data) + warc.members(parts[0])))
+    kept = [int(x.head["warc-record-id"][10:-1]) for x in found if not x.reason]
+    assert all(x.block == warc.HTTP + payloads[i][1] for i, x in zip(kept, (x for x in found if not x.reason), strict=True))
+    assert any(x.reason for x in found) and kept[-1] == 0
+    # stored bytes lose the record that was hit; compressed ones can't be unpacked behind the damage
+    assert kept[:-1] == [0, 1, 3, 4] if level == 0 else kept[:2] == [0, 1]
+
+
+def test_heads_of_any_length(spark):
+    url = "http://a/" + "u" * (2 << 20)
+    pages = spark.createDataFrame([(1, url, "x" * 200), (2, "http://b", "x" * 200), (3, url + "?", None)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.page_rows(warc.archive_and_read(pages)).collect()}
+    assert rows[2].record_type == "revisit" and rows[2].refers_to == 1 and rows[3].payload_bytes == 0
+    data = warc.record(7, url, b"p", hashlib.sha256(b"p").hexdigest(), None, "1970-01-01T00:00:00Z")
+    assert [(x.reason, x.head["warc-target-uri"]) for x in warc.salvage(data)] == [(None, url)]
+
+
+def test_tiny_and_huge_vectors_link_like_others(spark):
+    rows = [(1, [1e-200, 1e-200], 1), (2, [3e-200, 3e-200], 1), (3, [1.0, 1.0], 1), (4, [1e200, 1e200], 1), (5, [1e200, -1e200], 1), (6, [5e-324, 5e-324], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (0, 5), 6: (4, 1)}
+
+
 def test_members_are_plain_gzip_and_long_records_span_several():
     data = warc.record(1, None, b"x" * (35 << 20), hashlib.sha256(b"x" * (35 << 20)).hexdigest(), None, "1970-01-01T00:00:00Z")
     packed = warc.members(data)
