@@ -122,7 +122,9 @@ def coded(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFr
             cids, vecs = [], []
             for v, lab in zip(batch.column(1), batch.column(2), strict=True):
                 flat = None if v.as_py() is None or lab.as_py() is None or v.values.null_count or not len(v.values) else np.asarray(v.values.to_numpy(zero_copy_only=False), dtype="<f8") + 0.0
-                if flat is None or not np.isfinite(flat).all() or not 0 < (flat * flat).sum() < np.inf:
+                if flat is not None and np.isfinite(flat).all() and flat.any() and not 1e-200 < (flat * flat).sum() < 1e200:
+                    flat = np.ldexp(flat, -int(np.frexp(np.abs(flat).max())[1]))  # the cosine stays, squares no longer leave the range of doubles
+                if flat is None or not np.isfinite(flat).all() or not flat.any():
                     cids.append(None)
                     vecs.append(None)
                 else:
