@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from creditloom.session import fresh_path
 
+#: Links that one task joins by itself.
+CHUNK = 1 << 20
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: later reads neither recompute it nor depend on one executor."""
@@ -23,6 +29,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> Iterator[None]:
+    """Python workers get at most so many rows or bytes at once while the block runs; for writes that carry whole rows past a worker."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -69,9 +92,21 @@ def slices(texts: pa.Array, limit: int = 6 << 20) -> Iterator[slice]:
         done = upto
 
 
+def trim() -> None:
+    """Hand memory that is free again back to the system: workers live as long as their executor, and allocators keep what one slice needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def in_slices(texts: pa.Array, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
     """``work`` over the slices of a batch, put together again."""
-    out = [work(texts[part]) for part in slices(texts)]
+    out = []
+    for part in slices(texts):
+        out.append(work(texts[part]))
+        trim()
     return pa.concat_arrays(out) if out else work(texts)
 
 
@@ -132,16 +167,14 @@ def running_start(rows: DataFrame, order: list[str], weight: str, start: str = "
 def components(vertices: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each vertex. ``vertices(id)``, ``links(a, b)`` of one ordered type -> ``(id, component_id)``.
 
-    Large-star and small-star steps in turn, each an aggregate and a join on ids, until a pair of steps changes nothing. Links
-    are rewritten to the shared folder after every pair of steps.
+    Each task joins up to ``CHUNK`` links by itself and puts stars in their place; large-star and small-star steps, each an aggregate and a join on ids, join what
+    lies in different tasks. In turn, until every id has one link at most and hangs on an id that has none. Links are rewritten to the shared folder after every step.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
     for _ in range(rounds):
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
+        links = stored(_contracted(links), "links")
+        if _settled(links):
             break
-        state = now
         links = stored(_small_star(_large_star(links)), "links")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -149,6 +182,39 @@ def components(vertices: DataFrame, links: DataFrame, rounds: int = 60) -> DataF
     return vertices.join(roots, vertices["id"] == roots["a"], "left").select("id", F.coalesce("root", "id").alias("component_id"))
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links that join the same ids: within each task's share of them, every id hangs on the smallest one that it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x):
+            while (above := up.get(x, x)) != x:
+                up[x] = up.get(above, above)
+                x = above
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        ids = list(up)
+        for k in range(0, len(ids), 1 << 16):
+            part = ids[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([top(x) for x in part], kind)], names=["a", "b"])
+
+    kind = to_arrow_type(links.schema["a"].dataType)
+    return links.coalesce(max(1, -(-links.count() // CHUNK))).mapInArrow(run, links.schema)
+
+
+def _settled(links: DataFrame) -> bool:
+    """True if the links are stars: no id with two links, none that has a link and is linked to."""
+    ends = links.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR up = 1 AND down = 1").limit(1).isEmpty()
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = with_minimum(both, "u", "v").select("u", "v", F.least("low", "u").alias("low"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import components, slices, stored, with_minimum, words_of
+from creditloom.llm.common import components, slices, stored, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -19,11 +19,19 @@ BANDS = 32
 ROWS = 4
 #: Bits of a shingle's number; its count within the text stands above them.
 SHINGLE_BITS = 44
-SALTS = 32
+#: A shingle that comes more often stands several times.
+MOST = (1 << (63 - SHINGLE_BITS)) - 1
+#: Registers two texts must have in common before their shingles are compared: six deviations below what a similarity of 0.8 makes
+#: likely, so a link is missed here with a chance below 1 in 10^7.
+DEVIATIONS = 6
 #: Bytes of text that are sketched at once.
 SLICE = 3 << 20
-#: Places for flags of wanted documents; further members that all others of a bucket are compared with.
-FLAGS, PIVOTS = 1 << 20, 6
+#: Places for flags of wanted documents.
+FLAGS = 1 << 20
+#: Members of a bucket, and classes and bytes of shingles of a family, in one side of a comparison inside a task.
+BUCKET_ROWS, FAMILY_ROWS, FAMILY_BYTES = 2048, 512, 16 << 20
+#: Pairs that are compared one by one, and columns of the matrices that compare more at once.
+FEW, COLUMNS = 64, 4096
 
 _ONE, _TWO, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,16 +102,31 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def packed(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with their counts above them, one text after the other, and how many each text has."""
+    """Shingles with their counts above them, one text after the other, and how many numbers each text has.
+
+    A shingle that comes more than ``MOST`` times stands several times, with counts that add up to its own.
+    """
     row, item, times = shingles(texts, n)
-    return (np.minimum(times, (1 << (63 - SHINGLE_BITS)) - 1).astype(np.uint64) << np.uint64(SHINGLE_BITS)) | item, np.bincount(row, minlength=len(texts))
+    if len(times) and times.max() > MOST:
+        again = -(-times // MOST)
+        last = np.zeros(int(again.sum()), dtype=bool)
+        last[np.cumsum(again) - 1] = True
+        rest = np.repeat(times - (again - 1) * MOST, again)
+        row, item, times = np.repeat(row, again), np.repeat(item, again), np.where(last, rest, MOST)
+    return (times.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | item, np.bincount(row, minlength=len(texts))
+
+
+def unpacked(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, each once and in order, and their counts."""
+    item, times = both & np.uint64((1 << SHINGLE_BITS) - 1), (both >> np.uint64(SHINGLE_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.zeros(0, dtype=np.int64)
+    return (item, times) if len(first) == len(item) else (item[first], np.add.reduceat(times, first))
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Sum over common items d of 1 / sum over all items e of max(wa(e) / wa(d), wb(e) / wb(d)), weights being counts."""
-    mask = np.uint64((1 << SHINGLE_BITS) - 1)
-    ia, ib = a & mask, b & mask
-    wa, wb = (a >> np.uint64(SHINGLE_BITS)).astype(float), (b >> np.uint64(SHINGLE_BITS)).astype(float)
+    (ia, wa), (ib, wb) = unpacked(a), unpacked(b)
+    wa, wb = wa.astype(float), wb.astype(float)
     _, at_a, at_b = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
     if not len(at_a):
         return 0.0
@@ -119,62 +142,79 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, cls, bands``. ``cls`` numbers the multiset of shingles (null without words); ``bands`` are the keys."""
+    """``docs(doc_id, text)`` -> ``doc_id, cls, bands, registers``. ``cls`` is a digest of the multiset of shingles (null without words); ``bands`` are the keys,
+    ``registers`` two bytes of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1), SLICE):
                 rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([rows.column(0), *sketch(rows.column(1))], names=["doc_id", "cls", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), *sketch(rows.column(1))], names=["doc_id", "cls", "bands", "registers"])
 
-    return docs.mapInArrow(run, "doc_id long, cls binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, cls binary, bands array<long>, registers binary")
 
 
-def sketch(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    row, item, times = shingles(texts)
-    keys = band_keys(signatures(row, item, times.astype(float), len(texts), BANDS * ROWS)).view(np.int64)
-    n = np.bincount(row, minlength=len(texts))
+def _digests(row: np.ndarray, item: np.ndarray, times: np.ndarray, n_rows: int) -> list[bytes | None]:
+    n = np.bincount(row, minlength=n_rows)
     both = np.stack([item, times.astype(np.uint64)], axis=1)
-    ends = np.cumsum(n)
-    cls = [hashlib.blake2b(both[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(ends.tolist(), n.tolist(), strict=True)]
-    return pa.array(cls, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
+    return [hashlib.blake2b(both[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+
+
+def sketch(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    row, item, times = shingles(texts)
+    signature = signatures(row, item, times.astype(float), len(texts), BANDS * ROWS)
+    keys = band_keys(signature).view(np.int64)
+    short = mixed(signature).astype("<u2")
+    held = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.arange(0, short.nbytes + 1, 2 * BANDS * ROWS, dtype=np.int32)), pa.py_buffer(short)])
+    return pa.array(_digests(row, item, times, len(texts)), pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel())), held
+
+
+def least_common(similarity: float, size: int = BANDS * ROWS) -> int:
+    """Common registers that a pair of this similarity has but for a chance below that of ``DEVIATIONS`` deviations."""
+    return int(size * similarity - DEVIATIONS * (size * similarity * (1 - similarity)) ** 0.5)
+
+
+def alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of class numbers that have enough registers in common to be compared in full."""
+    least = least_common(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    left, right = (classes.select(F.col("num").alias(c), F.col("registers").alias(f"r_{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of classes whose probability Jaccard reaches ``similarity``. ``held(cls, items)`` has their packed shingles."""
+    """The ``pairs(a, b)`` of class numbers whose probability Jaccard reaches ``similarity``. ``held(num, items)`` has their packed shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for k in (2, 3):
-                flat, offsets = np.frombuffer(batch.column(k).buffers()[2] or b"", dtype=np.uint8), np.frombuffer(batch.column(k).buffers()[1], dtype=np.int32)[batch.column(k).offset :]
-                sides.append([flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)])
+            sides = (batch.column(k).to_pylist() for k in (2, 3))
             good = [probability_jaccard(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) >= similarity - 1e-12 for x, y in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = held.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
-    right = held.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a binary, b binary")
+    left, right = (held.select(F.col("num").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Packed shingles of the classes ``wanted(cls, rep)``, read from the documents with these ids: ``cls, items``."""
+    """Packed shingles of the classes ``wanted(num, cls, rep)``, read from the documents with these ids: ``num, items``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(0), SLICE):
                 texts = batch.column(0).slice(part.start, part.stop - part.start)
+                row, item, times = shingles(texts)
                 flat, n = packed(texts)
-                ends = np.cumsum(n)
-                mask = np.uint64((1 << SHINGLE_BITS) - 1)
-                both = np.stack([flat & mask, flat >> np.uint64(SHINGLE_BITS)], axis=1)
-                cls = [hashlib.blake2b(both[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(ends.tolist(), n.tolist(), strict=True)]
-                items = [flat[e - c : e].tobytes() for e, c in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(items, pa.binary())], names=["cls", "items"])
+                items = [flat[e - c : e].tobytes() for e, c in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(row, item, times, len(texts)), pa.binary()), pa.array(items, pa.binary())], names=["cls", "items"])
 
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
     rows = docs.where(_flagged(ids)).join(ids, docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi").select("text")
-    return rows.mapInArrow(run, "cls binary, items binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return rows.mapInArrow(run, "cls binary, items binary").join(wanted.select("num", "cls"), "cls").dropDuplicates(["num"]).select("num", "items")
 
 
 def _flagged(ids: DataFrame) -> Column:
@@ -192,105 +232,182 @@ def _flagged(ids: DataFrame) -> Column:
 
 
 def duplicate_classes(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``cls, component`` for every class of equal shingles that is linked to another one.
+    """``cls, component`` for every class of equal shingles that shares a bucket with another one.
 
-    Classes that share a band's key meet in a bucket. First every member is compared with the bucket's smallest, which settles
-    groups of near copies of any size with one comparison each. Members of buckets that then hold several groups are compared
-    across groups if they share a rare shingle, which any two similar texts do.
+    Classes that share a band's key meet in a bucket. First every member is paired with the bucket's smallest; members of buckets that still
+    hold several groups are compared inside tasks. A pair's registers are compared before its shingles are fetched.
     """
-    classes = stored(sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
-    members = classes.select("cls", F.explode("bands").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("bucket")
-    several = several.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    members = members.withColumn("_s", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(several, ["bucket", "_s"], "left_semi").drop("_s")
-    members = stored(members, "members")
-    met = members.select("cls").distinct()
-    held = stored(shingles_of(docs, classes.join(met, "cls", "left_semi").select("cls", "rep")), "shingles")
-    bands = classes.join(met, "cls", "left_semi").select("cls", "bands")
-    tested = stored(_with_lowest(members), "pairs")
-    links = stored(verified(tested, held, similarity), "links")
+    classes = sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("registers").alias("registers"))
+    classes = stored(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
+    members = classes.select("num", F.explode("bands").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.min("num").alias("low"), F.max("num").alias("high")).where("low <> high").drop("high")
+    members = stored(members.join(several, "bucket"), "members")
+    met = members.select("num").distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = stored(alike(pairs, classes, similarity), "close")
+        ends = close.select(F.col("a").alias("num")).union(close.select("b")).distinct()
+        return stored(verified(close, shingles_of(docs, classes.join(ends, "num", "left_semi").select("num", "cls", "rep")), similarity), "links")
+
+    links = linked(members.where("num <> low").select(F.col("low").alias("a"), F.col("num").alias("b")).distinct())
     grouped = stored(_grouped(met, links), "groups")
-    pairs = stored(_with_pivots(_several_groups(members, grouped)).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        tested, links = tested.union(pairs), stored(links.union(verified(pairs, held, similarity)), "links")
-        grouped = stored(_grouped(met, links), "groups")
-    open_ = stored(_several_groups(members, grouped).select("cls", "component").distinct(), "open")
-    if open_.isEmpty():
-        return grouped
-    pairs = _sharing_rare(held.join(open_, "cls", "left_semi"), open_, similarity)
-    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return _grouped(met, links.union(verified(pairs, held, similarity)))
+    open_ = stored(_several_groups(members, grouped), "open")
+    if not open_.isEmpty():
+        grouped = _grouped(met, links.union(_within_families(docs, classes, open_, similarity)))
+    return classes.select("num", "cls").join(grouped, "num").select("cls", "component")
 
 
 def _several_groups(members: DataFrame, grouped: DataFrame) -> DataFrame:
     """Members, with their ``component``, of the buckets that hold more than one."""
-    rows = members.join(grouped, "cls")
-    parts = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    rows = members.join(grouped, "num")
+    parts = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
     return rows.join(parts, "bucket", "left_semi")
 
 
-def _with_pivots(rows: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of different groups, one of them a pivot of a bucket: the smallest members by ``PIVOTS`` other orders. Near
-    copies of one text are often just below the threshold to one pivot and above it to the next."""
-    orders = [F.min_by(F.struct("cls", "component"), F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS)]
-    pivots = rows.groupBy("bucket").agg(F.array(*orders).alias("pivots"))
-    pairs = rows.join(pivots, "bucket").select("cls", "component", F.explode(F.array_distinct("pivots")).alias("p")).where("component <> p.component")
-    return pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
-
-
 def _grouped(met: DataFrame, links: DataFrame) -> DataFrame:
-    return components(met.select(F.col("cls").alias("id")), links).select(F.col("id").alias("cls"), F.col("component_id").alias("component"))
+    return components(met.select(F.col("num").alias("id")), links).select(F.col("id").alias("num"), F.col("component_id").alias("component"))
 
 
-def _sharing_rare(held: DataFrame, grouped: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of classes of different groups that share one of their rare shingles.
+def _cells(rows: DataFrame, family: str, most_rows: int, most_bytes: int | None = None) -> DataFrame:
+    """``rows`` dealt into parts of bounded rows (and bytes of ``items``) within each family, and repeated for every cell: each two parts of a family meet in one.
 
-    A probability Jaccard of s needs common shingles with a share s of either text's counts. Put all shingles in one order; then the first common one lies,
-    in both texts, within the first shingles that have more than a share 1 - s. So comparing texts that share one of those loses no pair, whatever the order. Rare
-    ones come first: a passage that many texts share brings none of them together. How often a shingle occurs is taken from a table of
-    2^18 counters, which only sets the order.
+    A cell is named by its smaller and its larger part.
     """
-    spark, slots, mask = held.sparkSession, 1 << 18, np.uint64((1 << SHINGLE_BITS) - 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, dtype=np.int64)
-        for batch in batches:
-            for items in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(items, dtype="<u8") & mask) % np.uint64(slots), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
-
-    often = np.zeros(slots, dtype=np.int64)
-    counted = held.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    order = spark.sparkContext.broadcast(often)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, tokens = [], []
-            for k, raw in enumerate(batch.column(1).to_pylist()):
-                items = np.frombuffer(raw, dtype="<u8")
-                number, weight = items & mask, (items >> np.uint64(SHINGLE_BITS)).astype(float)
-                at = np.lexsort((number, order.value[(number % np.uint64(slots)).astype(np.int64)]))
-                n = int(np.searchsorted(np.cumsum(weight[at]), (1 - similarity) * weight.sum() + 1e-9, side="right")) + 1
-                tokens.append(number[at[:n]].astype(np.int64))
-                rows.append(np.full(len(tokens[-1]), k))
-            index = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            columns = [batch.column(0).take(index), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "token"])
-
-    rows = held.select("cls", "items").mapInArrow(rare, "cls binary, token long").join(grouped, "cls")
-    mixed_ = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rows = stored(rows.join(mixed_, "token", "left_semi"), "rare")
-    # a pair is named by the smallest of the rare shingles that it shares, so it comes up once
-    rows = rows.join(rows.groupBy("cls").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "cls")
-    x, y = (rows.select("token", F.col("cls").alias(c), F.col("component").alias(f"g_{c}"), F.col("tokens").alias(f"t_{c}")) for c in ("a", "b"))
-    once = F.expr("array_min(array_intersect(t_a, t_b))") == x["token"]
-    return x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & once).select("a", "b")
-
-
-def _with_lowest(members: DataFrame) -> DataFrame:
-    return with_minimum(members, "bucket", "cls").where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
+    size = F.ceil(F.count("*") / most_rows)
+    if most_bytes:
+        size = F.greatest(size, F.ceil(F.sum(F.length("items")) / most_bytes))
+    parts = rows.groupBy(family).agg(size.cast("int").alias("parts"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("x"), F.greatest(q, F.col("part")).alias("y")))
+    dealt = rows.join(parts, family).withColumn("part", F.pmod(F.xxhash64("num"), F.col("parts")).cast("int"))
+    return dealt.withColumn("cell", F.explode(cells)).drop("parts")
+
+
+class _Groups:
+    """Groups of one cell, joined as links come up."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, g: int) -> int:
+        while (above := self.up.get(g, g)) != g:
+            self.up[g] = self.up.get(above, above)
+            g = above
+        return g
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self.top(a)] = self.top(b)
+
+
+def _close_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a cell that are of different groups and have at least so many registers in common, the most alike first."""
+    x, y = table["cell"][0].as_py().values()
+    part, group = table["part"].to_numpy(), table["component"].to_numpy()
+    registers = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype="<u2").reshape(table.num_rows, -1)
+    left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+    found_i, found_j, found_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        other = right[right > i] if x == y else right
+        other = other[group[other] != group[i]]
+        common = (registers[other] == registers[i]).sum(axis=1)
+        good = common >= least
+        found_i.append(np.full(int(good.sum()), i))
+        found_j.append(other[good])
+        found_n.append(common[good])
+    order = np.argsort(-np.concatenate(found_n), kind="stable")
+    return np.concatenate(found_i)[order], np.concatenate(found_j)[order]
+
+
+def _similarities(items: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Probability Jaccard of many pairs of one cell at once, where common items have equal counts: their sum c over a + b - c. Others are not-a-number.
+
+    Common items are counted by products of presence matrices, a few columns at a time; items of one text only are left out.
+    """
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    held = [unpacked(np.frombuffer(items[r], dtype="<u8")) for r in rows.tolist()]
+    total = np.array([t.sum() for _, t in held], dtype=float)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x, _ in held])
+    times = np.concatenate([t for _, t in held])
+    column, often = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True, return_counts=True)[1:]
+    some = often[column] > 1
+    owner, times, column = owner[some], times[some], np.unique(column[some], return_inverse=True)[1]
+    plain = not (times > 1).any()
+    left, right = np.unique(at[: len(i)], return_inverse=True), np.unique(at[len(i) :], return_inverse=True)
+    place = np.full((2, len(rows)), -1)
+    place[0, left[0]], place[1, right[0]] = np.arange(len(left[0])), np.arange(len(right[0]))
+    # an item with another count is another column
+    exact = column if plain else np.unique(np.stack([column, times]), axis=1, return_inverse=True)[1].ravel()
+
+    def common(column: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        order = np.argsort(column, kind="stable")
+        out = np.zeros((len(left[0]), len(right[0])))
+        ends = np.searchsorted(column[order], np.arange(0, (column.max() + 1 if len(column) else 0) + COLUMNS, COLUMNS))
+        for low, high in zip(ends[:-1], ends[1:], strict=True):
+            own = order[low:high]
+            sides = []
+            for side, w in ((0, weight), (1, None)):
+                use = own[place[side, owner[own]] >= 0]
+                m = np.zeros((out.shape[side], COLUMNS), dtype=np.float64 if not plain else np.float32)
+                m[place[side, owner[use]], column[use] % COLUMNS] = 1.0 if w is None else w[use]
+                sides.append(m)
+            out += sides[0] @ sides[1].T
+        return out
+
+    one = np.ones(len(column))
+    same = common(exact, times.astype(float))
+    c = same[left[1], right[1]]
+    out = c / (total[at[: len(i)]] + total[at[len(i) :]] - c)
+    if not plain:
+        uneven = common(column, one) != common(exact, one)
+        out[uneven[left[1], right[1]]] = np.nan
+    return out
+
+
+def _links_table(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _within_families(docs: DataFrame, classes: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between groups that meet in a bucket.
+
+    First the registers of a bucket's members are compared in tasks; of the pairs with enough in common a spanning forest goes on, and what it connects is a
+    family. Then families are compared in tasks, every two parts in a cell: of the pairs close enough, the most alike first, the shingles are compared, and a link
+    joins its groups at once. What is handed out spans the groups found; a pair within one group costs nothing.
+    """
+    least = least_common(similarity)
+    registers = classes.select("num", "registers")
+
+    def near(table: pa.Table) -> pa.Table:
+        num, seen, a, b = table["num"].to_pylist(), _Groups(), [], []
+        for i, j in zip(*(v.tolist() for v in _close_pairs(table, least)), strict=True):
+            if seen.top(num[i]) != seen.top(num[j]):
+                seen.join(num[i], num[j])
+                a.append(num[i])
+                b.append(num[j])
+        return _links_table(a, b)
+
+    met = _cells(open_.select("bucket", "num", "component").join(registers, "num"), "bucket", BUCKET_ROWS)
+    forest = stored(met.groupBy("bucket", "cell").applyInArrow(near, "a long, b long"), "forest")
+    nums = forest.select(F.col("a").alias("num")).union(forest.select("b")).distinct()
+    family = components(nums.select(F.col("num").alias("id")), forest).select(F.col("id").alias("num"), F.col("component_id").alias("family"))
+    wanted = stored(classes.select("num", "cls", "rep", "registers").join(family, "num").join(open_.select("num", "component").distinct(), "num"), "families")
+    held = shingles_of(docs, wanted.select("num", "cls", "rep")).join(wanted.select("num", "registers", "component", "family"), "num")
+
+    def link(table: pa.Table) -> pa.Table:
+        num, group, items, seen, a, b = table["num"].to_pylist(), table["component"].to_pylist(), table["items"].to_pylist(), _Groups(), [], []
+        left, right = _close_pairs(table, least)
+        known = _similarities(items, left, right) if len(left) > FEW else np.full(len(left), np.nan)
+        for i, j, value in zip(left.tolist(), right.tolist(), known.tolist(), strict=True):
+            if seen.top(group[i]) == seen.top(group[j]):
+                continue
+            if value != value:
+                value = probability_jaccard(*(np.frombuffer(items[r], dtype="<u8") for r in (i, j)))
+            if value >= similarity - 1e-12:
+                seen.join(group[i], group[j])
+                a.append(num[i])
+                b.append(num[j])
+        return _links_table(a, b)
+
+    return stored(_cells(stored(held, "held"), "family", FAMILY_ROWS, FAMILY_BYTES).groupBy("family", "cell").applyInArrow(link, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -299,7 +416,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts with equal shingles in equal numbers are one class from the start. A text without words (null, empty, white space) is a class by itself. Rows that repeat a doc_id
     with the same text are all kept or all not. A null doc_id belongs to its text's class; if all ids of a class are
-    null so is its class_id, and its rows are kept. An empty table gives an empty result. Only the two named columns are read.
+    null so is its class_id, and its rows are kept. A text of any length is sketched and compared whole. An empty table gives an empty result. Only the two named columns are read.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = stored(sketches(source), "sketches")
@@ -307,10 +424,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _decided(rows: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Adds ``class_id, kept`` to ``rows(doc_id, cls, ..)``. Classes with most of the rows are spread by a salt."""
-    ids = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low")).join(grouped, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = ids.join(ids.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("cls", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    out = rows.drop("bands").withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(named, ["cls", "_s"], "left").drop("_s")
+    """Adds ``class_id, kept`` to ``rows(doc_id, cls, ..)``. The table of classes has each once, so the adaptive skew join splits one that most rows belong to."""
+    ids = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low")).join(grouped, "cls", "left")
+    alone = ids.where("component IS NULL").select("cls", F.col("low").alias("class_id"))
+    ids = ids.where("component IS NOT NULL")
+    named = ids.join(ids.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("cls", "class_id").unionByName(alone)
+    out = rows.drop("bands", "registers").join(named, "cls", "left")
     out = out.withColumn("class_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     return out.withColumn("kept", F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
 
@@ -324,6 +443,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     grouped = duplicate_classes(source, sketched, similarity)
     place = F.struct(F.col("id").isNull(), "id", "rid")
     rows = held.select("rid", "id").join(sketched.where("cls IS NOT NULL").select(F.col("doc_id").alias("rid"), "cls"), "rid")
-    lowest = rows.groupBy("cls").agg(F.min(place).alias("low")).join(grouped, "cls", "left").groupBy(F.coalesce("component", "cls").alias("g")).agg(F.min("low").alias("low"))
+    lowest = rows.groupBy("cls").agg(F.min(place).alias("low")).join(grouped, "cls", "left").groupBy("component", F.when(F.col("component").isNull(), F.col("cls")).alias("g")).agg(F.min("low").alias("low"))
     gone = stored(rows.select("rid").join(lowest.select(F.col("low.rid").alias("rid")), "rid", "left_anti"), "gone")
     return held.join(gone, "rid", "left_anti").select("doc.*")

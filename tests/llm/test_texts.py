@@ -15,7 +15,7 @@ import sentencepiece
 from hard import prose, table, texts, words
 from tokenizers import Tokenizer
 
-from creditloom.llm import fertility, linerun, packing, pieces, ppm, probminhash, toxicity, weaklabel
+from creditloom.llm import common, fertility, linerun, packing, pieces, ppm, probminhash, toxicity, weaklabel
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -188,15 +188,17 @@ def test_runs_go_to_their_last_line(spark):
 
 def test_ids_equal_the_library_and_pieces_cover_each_text(spark):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
-    got = packing.pack(table(spark), BYTES, limit=64).collect()
+    special = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", " <|endoftext|>\n\n<|endoftext", "wide\u3000<|endoftext|>\u3000 <|endoftext|> "]
+    rows = [*texts(), *((60 + i, t) for i, t in enumerate(special))]
+    assert lib.encode(special[0], add_special_tokens=False).ids.count(50256) == 1
+    got = packing.pack(table(spark, rows), BYTES, limit=64).collect()
     assert len({r.sequence_id for r in got}) == len(got)
     assert all(r.length & (r.length - 1) == 0 and r.length <= 64 and r.bucket == int(math.log2(r.length)) for r in got)
     by_doc = defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
     expected = defaultdict(Counter)
-    for i, t in texts():
+    for i, t in rows:
         expected[i][tuple(lib.encode(t or "", add_special_tokens=False).ids) + (0,)] += 1
     for i, own in by_doc.items():
         found = Counter()
@@ -227,6 +229,8 @@ def plain_items(text):
 
 
 def plain_similarity(a, b):
+    if {*a.values(), *b.values()} == {1}:
+        return len(a.keys() & b.keys()) / len(a.keys() | b.keys())
     return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a | b) for d in a if d in b)
 
 
@@ -264,8 +268,59 @@ def plain_classes(rows):
     return out
 
 
+def test_a_shingle_may_come_any_number_of_times(spark):
+    n = probminhash.MOST + 5_713
+    a, b, c = "a " * n + "b c d e f", "a " * n + "b c d e g", "a " * (n // 2) + "b c d e f"
+    flat, size = probminhash.packed(pa.array([a]))
+    item, times = probminhash.unpacked(flat)
+    assert len(flat) == size[0] == len(item) + 1 and times.sum() == n + 1 and times.max() == n - 4
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(table(spark, [(1, a), (2, b), (3, a), (4, c), (5, "q r s t u v")])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
+def test_many_pairs_at_once_equal_single_ones():
+    rng = random.Random(12)
+    base = prose(rng, 80).split(" ")
+    rows = []
+    for k in range(30):
+        own = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(5)}"
+        rows.append(" ".join(own) + (" " + " ".join(own[:20]) * (k % 3 == 0)) + (" tail of the text here " * (k % 4)))
+    flat, n = probminhash.packed(pa.array(rows))
+    ends = np.cumsum(n)
+    items = [flat[e - c : e].tobytes() for e, c in zip(ends, n, strict=True)]
+    i, j = np.triu_indices(30, 1)
+    got = probminhash._similarities(items, i, j)
+    want = np.array([probminhash.probability_jaccard(np.frombuffer(items[a], "<u8"), np.frombuffer(items[b], "<u8")) for a, b in zip(i, j, strict=True)])
+    known = ~np.isnan(got)
+    assert known.sum() > 50 and (~known).sum() > 50 and np.allclose(got[known], want[known], atol=1e-12)
+    plain = [k for k in range(30) if k % 3 and not k % 4]
+    i, j = (np.array(v) for v in zip(*((a, b) for a in plain for b in plain if a < b), strict=True))
+    assert np.allclose(probminhash._similarities(items, i, j), [want[(a * (59 - a)) // 2 + b - a - 1] for a, b in zip(i, j, strict=True)], atol=1e-12)
+
+
+@pytest.mark.parametrize(("part", "few"), [(512, 64), (3, 0)])
+def test_families_that_no_star_links(spark, monkeypatch, part, few):
+    """Chains of texts, each near its neighbours only: the stars leave links for the comparison inside tasks."""
+    monkeypatch.setattr(probminhash, "BUCKET_ROWS", part)
+    monkeypatch.setattr(probminhash, "FEW", few)
+    monkeypatch.setattr(common, "CHUNK", 7 if part == 3 else 1 << 20)
+    monkeypatch.setattr(probminhash, "FAMILY_ROWS", part)
+    rng = random.Random(9)
+    rows, own = [], prose(rng, 150, 3000).split(" ")
+    for i in range(50):
+        rows.append((i, " ".join(own)))
+        at = 3 * i % len(own)
+        own[at] = f"new{i}"
+    rows += [(100 + i, " ".join(prose(rng, 10, 50).split(" ") + own[20:])) for i in range(8)]
+    assert multiset(probminhash.near_duplicates(table(spark, rows))) == plain_classes(rows)
+
+
 def test_classes_equal_brute_force(spark):
     rows = [(i, t) for i, t in texts() if t is None or len(t) < 20_000]
+    rows += [(200, "x" * 60_000), (201, prose(random.Random(4), 2_500, 4000))]
+    rows += [(202, rows[-1][1] + " more"), (203, "x" * 60_000)]
     assert multiset(probminhash.near_duplicates(table(spark, rows))) == plain_classes(rows)
     kept = probminhash.keep_first(table(spark, rows))
     assert kept.columns == table(spark).columns
@@ -275,8 +330,6 @@ def test_classes_equal_brute_force(spark):
 
 
 def test_many_near_copies_and_a_shared_template(spark):
-    import random
-
     rng = random.Random(3)
     base, frame = prose(rng, 120).split(" "), prose(rng, 60).split(" ")
     rows = []
@@ -292,8 +345,6 @@ def test_many_near_copies_and_a_shared_template(spark):
 
 
 def test_thresholds_rise_and_severity_follows_the_words(spark):
-    import random
-
     rng = random.Random(2)
     rows, labels = [], []
     for i in range(300):
