@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of binary length of all documents left."""
-    return packing.digests(packing.pack(docs, BYTES))
+    """Pieces of binary length of all documents left, with their token ids."""
+    return packing.pack(docs, BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -13,8 +13,9 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import Words, gather, in_slices, per_row, stored, words_of
+from creditloom.llm.common import Words, gather, in_slices, per_row, small_batches, stored, words_of
 from creditloom.llm.packing import encode_parts, encoder
+from creditloom.session import held_side
 
 LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "byte_tokens", "piece_tokens"]
 DOUBLES = ["byte_fertility", "byte_fallback", "byte_entropy", "piece_fertility", "piece_fallback", "piece_entropy"]
@@ -119,7 +120,7 @@ def judge(measures: DataFrame, group: str, bands: dict = BANDS, min_words: int =
 
     Base: fewer than ``min_words`` words, or over half of them in repeated windows. The bands of a figure lie around its median
     over all rows of the same ``group`` that pass the base, as wide as the quartiles on that side say. A null group is a group of
-    its own. Quartiles are sketches merged over tasks; a group's bands are handed back by a salted join, so that a group with
+    its own. Quartiles are sketches merged over tasks; a group's bands are handed back by a broadcast while there are few groups, else by a salted join, so that a group with
     most of the rows is spread over tasks.
     """
     own = [c for c in measures.columns]
@@ -135,7 +136,7 @@ def judge(measures: DataFrame, group: str, bands: dict = BANDS, min_words: int =
         spread += [(q[1] - reach[0]).alias(f"_low_{c}"), (q[1] + reach[1]).alias(f"_high_{c}")]
     limits = limits.select("_group", *spread, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salt = F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "byte_tokens"), F.lit(SALTS)).cast("int")
-    joined = rows.withColumn("_salt", salt).join(limits, ["_group", "_salt"], "left")
+    joined = rows.withColumn("_salt", salt).join(held_side(limits), ["_group", "_salt"], "left")
     outside = F.array_compact(F.array(*(F.when((F.col(c) < F.col(f"_low_{c}")) | (F.col(c) > F.col(f"_high_{c}")), F.lit(c)) for c in bands)))
     outside = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(outside)
     return joined.withColumn("outside", outside).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).select(*own, "base_failed", "outside", "kept")
@@ -156,5 +157,6 @@ def quality_rules(docs: DataFrame, byte_vocabulary: str, piece_model: str, doc_i
 def keep_passing(docs: DataFrame, byte_vocabulary: str, piece_model: str, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs`` only. Measured rows are written once and read for bands and verdict."""
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(lang).alias("_lang"), measured(F.col(text), byte_vocabulary, piece_model).alias("_m"))
-    rows = stored(held.select("_doc", "_lang", "_m.*"), "measured")
+    with small_batches(docs.sparkSession):
+        rows = stored(held.select("_doc", "_lang", "_m.*"), "measured")
     return judge(rows, "_lang").where("kept").select("_doc.*")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import in_slices, per_row, words_of
+from creditloom.llm.common import in_slices, per_row, small_batches, words_of
 from creditloom.llm.fertility import repeated_lines, repeated_words
 from creditloom.llm.hashed import BITS, Sparse, bare, bounded_sample, shapes, sigmoid, slots
 
@@ -174,7 +174,8 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[
     ``fit_rows`` documents, chosen by a hash of their text, with the posterior as soft target.
     """
     spark = docs.sparkSession
-    table = voted(docs.select(F.col(text).alias("text")), "text").groupBy("pattern").count().orderBy("pattern").toPandas()
+    with small_batches(spark):
+        table = voted(docs.select(F.col(text).alias("text")), "text").groupBy("pattern").count().orderBy("pattern").toPandas()
     patterns, times = table["pattern"].tolist(), table["count"].to_numpy(dtype=float)
     if not patterns:
         return LabelModel(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)), spark.createDataFrame([], "pattern string, weak_label double"), Scorer(np.zeros(1 << BITS), 0.0)
@@ -190,7 +191,8 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[
 
     chosen = bounded_sample(docs.select(F.col(text).alias("text")), ["text"], fit_rows)
     rows = voted(chosen, "text").join(F.broadcast(posterior), "pattern").select("text", F.col("weak_label").alias("good"))
-    held = rows.mapInArrow(extract, "slot array<int>, value array<float>, good double").toArrow().combine_chunks()
+    with small_batches(spark):
+        held = rows.mapInArrow(extract, "slot array<int>, value array<float>, good double").toArrow().combine_chunks()
     slot, value = (pc.list_flatten(held.column(c)).to_numpy() for c in ("slot", "value"))
     counts = pc.list_value_length(held.column("slot")).to_numpy().astype(np.int64)
     return model, posterior, fit_scorer(Sparse(slot.astype(np.int64), value.astype(float), counts), held.column("good").to_numpy())
