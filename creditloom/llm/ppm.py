@@ -13,14 +13,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import Words, partitions_of, per_row, slices, stored, words_of
+from creditloom.llm.common import Words, partitions_of, per_row, slices, stored, trim, words_of
 
 ORDER = 5
 FOLDS, HELD_OUT = 7, 2
 END = 0x0A
 #: Bytes that a text of words, single spaces and the end can hold: tab and the other white space never occur.
 ALPHABET = 252
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 SLICE_BYTES = 4 << 20
 LOG10E = float(np.log10(np.e))
 
@@ -99,13 +99,18 @@ def _requests(table: pa.Table, block: int, shards: int) -> Iterator[tuple]:
         yield "word", s, block, b"".join(own.cast(pa.binary()).to_pylist()), pc.binary_length(own).to_numpy().astype("<u4").tobytes(), count[at].astype("<i8").tobytes()
     number, code = pd.factorize(np.concatenate(codes), sort=True)
     count = np.bincount(number, weights=np.concatenate(times), minlength=len(code)).astype(np.int64)
-    for s, at in _by_shard((((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(4)).astype(np.int64) % shards):
+    for s, at in _by_shard(_branch(code, shards)):
         yield "window", s, block, code[at].astype("<u8").tobytes(), b"", count[at].astype("<i8").tobytes()
     some = np.flatnonzero(pairs)
     yield "pair", -1, block, some.astype("<u4").tobytes(), b"", pairs[some].astype("<i8").tobytes()
     yield "end", -1, block, b"", b"", np.array([train.sum()], dtype="<i8").tobytes()
 
 
+def _branch(code: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each window: whole branches of the trie, by the two bytes before the last."""
+    return (((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(4)).astype(np.int64) % shards
+
+
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
@@ -121,7 +126,10 @@ def requests(held: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = list(_requests(opened(blob.as_py()), block, shards))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                del rows
+                trim()
+                yield out
 
     return stored(held.mapInArrow(run, PACKED), "requests")
 
@@ -187,37 +195,49 @@ def _step(out: np.ndarray, done: np.ndarray, n: np.ndarray, total: np.ndarray, k
 
 
 def _answer(table: pa.Table, low: LowOrders) -> Iterator[tuple]:
-    """Of one kind and shard: to each block the counts of its words in the whole corpus, or the costs of its windows."""
-    kind = table.column("kind")[0].as_py()
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "keys", "sizes", "counts")), strict=True))
-    count = np.concatenate([np.frombuffer(r[3], dtype="<i8") for r in rows])
+    """Of one kind and shard: to each block the counts of its words in the whole corpus, or the costs of its windows. A block knows the order of its windows, so
+    they are not sent back."""
+    kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+    count, sent = _blobs(table.column("counts"), "<i8"), (pc.binary_length(table.column("counts")).to_numpy() // 8).tolist()
     if kind == "word":
-        coded = pa.concat_arrays([strings(r[1], r[2]) for r in rows]).dictionary_encode()
+        coded = pa.concat_arrays([strings(k, n) for k, n in zip(table.column("keys").to_pylist(), table.column("sizes").to_pylist(), strict=True)]).dictionary_encode()
         at = coded.indices.to_numpy()
         total = np.bincount(at, weights=count, minlength=len(coded.dictionary))
         value = total[at].astype("<i8")
         yield "all", -1, -1, b"", b"", np.array([int(total.sum()), int((total > 0).sum())], dtype="<i8").tobytes()
     else:
-        code, at = np.unique(np.concatenate([np.frombuffer(r[1], dtype="<u8") for r in rows]), return_inverse=True)
+        code, at = np.unique(_blobs(table.column("keys"), "<u8"), return_inverse=True)
+        at = at.astype(np.int32)
         value = costs(code, np.bincount(at, weights=count, minlength=len(code)), low)[at].astype("<f8")
     done = 0
-    for block, keys, sizes, counts in rows:
-        n = len(counts) // 8
-        yield kind, 0, block, keys, sizes, value[done : done + n].tobytes()
+    for k, (block, n) in enumerate(zip(table.column("block").to_pylist(), sent, strict=True)):
+        words = (table.column(c)[k].as_py() for c in ("keys", "sizes")) if kind == "word" else (b"", b"")
+        yield kind, shard, block, *words, value[done : done + n].tobytes()
         done += n
 
 
-def _score(blob: bytes, answers: pa.Table, n_all: int, n_kinds: int, n_ends: int) -> pa.Table:
+def _blobs(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    """The bytes of consecutive binary values as one array of numbers, without a copy of each."""
+    parts = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
+        data = chunk.buffers()[2]
+        if data is not None and offsets[-1] > offsets[0]:
+            parts.append(np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view(dtype))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+
+
+def _score(blob: bytes, answers: pa.Table, shards: int, n_all: int, n_kinds: int, n_ends: int) -> pa.Table:
     docs = opened(blob)
     texts = docs.column("text").combine_chunks()
-    kinds = np.array(answers.column("kind").to_pylist())
-    keys, sizes, values = (answers.column(c).to_pylist() for c in ("keys", "sizes", "counts"))
-    words_at, windows_at = np.flatnonzero(kinds == "word"), np.flatnonzero(kinds == "window")
-    known = pa.concat_arrays([strings(keys[i], sizes[i]) for i in words_at]) if len(words_at) else pa.array([], pa.string())
-    counts = np.concatenate([np.frombuffer(values[i], dtype="<i8") for i in words_at]) if len(words_at) else np.zeros(0, dtype=np.int64)
-    index = pd.Index(np.concatenate([np.frombuffer(keys[i], dtype="<u8") for i in windows_at]))
-    cost = np.concatenate([np.frombuffer(values[i], dtype="<f8") for i in windows_at])
+    words_in, windows_in = (answers.filter(pc.equal(answers.column("kind"), kind)) for kind in ("word", "window"))
+    known = [strings(k, s) for k, s in zip(words_in.column("keys").to_pylist(), words_in.column("sizes").to_pylist(), strict=True)]
+    known = pa.concat_arrays(known) if known else pa.array([], pa.string())
+    counts = _blobs(words_in.column("counts"), "<i8")
+    sent = _blobs(windows_in.sort_by("shard").column("counts"), "<f8")
+    del windows_in, words_in
     n_tokens, n_known, base, score = [], [], [], []
+    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     log_mass = np.log10(n_all + n_kinds + 1.0)
     for part in slices(texts, SLICE_BYTES):
         words = words_of(texts[part])
@@ -226,7 +246,13 @@ def _score(blob: bytes, answers: pa.Table, n_all: int, n_kinds: int, n_ends: int
         n_known.append(per_row((c > 0).astype(np.int64)[words.codes], words.counts) + int(n_ends > 0))
         base.append(per_row(np.log10(c + 1.0)[words.codes], words.counts) + np.log10(n_ends + 1.0) - (words.counts + 1) * log_mass)
         code, n = windows(words)
-        score.append(per_row(cost[index.get_indexer(code)], n))
+        number, distinct = pd.factorize(code)
+        seen.append((number.astype(np.int32), distinct, n))
+    every = np.unique(np.concatenate([d for _, d, _ in seen])) if seen else np.zeros(0, dtype=np.uint64)
+    cost = np.empty(len(every))
+    cost[np.argsort(_branch(every, shards), kind="stable")] = sent
+    for number, distinct, n in seen:
+        score.append(per_row(cost[np.searchsorted(every, distinct)][number], n))
     size = len(texts)
     columns = [docs.column("doc_id").combine_chunks(), pa.array(held_out(docs.column("doc_id"))), *(pa.array(np.concatenate(x)) for x in (n_tokens, n_known)), pa.array(np.full(size, n_all)), *(pa.array(np.concatenate(x)) for x in (base, score))]
     return pa.Table.from_arrays(columns, names=[c.split()[0] for c in RESULT.split(", ")])
@@ -256,14 +282,19 @@ def language_model_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     def answer(table: pa.Table) -> pa.Table:
         rows = list(_answer(table, tables.value))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        del rows
+        trim()
+        return out
 
     answers = stored(asked.where("shard >= 0").groupBy("kind", "shard").applyInArrow(answer, PACKED), "answers")
     totals = answers.where("kind = 'all'").select(_long("counts", 0).alias("n"), _long("counts", 1).alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n_all, n_kinds = (totals[0] or 0) + ends, (totals[1] or 0) + int(ends > 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables([_score(blob, right, n_all, n_kinds, ends) for blob in left.column("blob").to_pylist()])
+        out = pa.concat_tables([_score(blob, right, shards, n_all, n_kinds, ends) for blob in left.column("blob").to_pylist()])
+        trim()
+        return out
 
     return held.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, RESULT)
 
