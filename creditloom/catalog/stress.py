@@ -136,7 +136,9 @@ def survival_product(spark, sf):
 @query("survival_product_window", views="fx_pd fx_ur", sql=LONG + """
 SELECT scenario, quarter, count(*) AS n, round(avg(alive), 6) AS mean_alive, round(avg(alive_before), 6) AS mean_alive_before FROM lng GROUP BY 1, 2""")
 def survival_product_window(spark, sf):
-    lng = scenarios.long_paths(projected(spark, sf), PATH_SCENARIOS, KEYS).select(*KEYS, "scenario", "quarter", "pd")
+    loans = scenarios.dealt_out(risk_rows(spark, sf), KEYS, 20 * len(PATH_SCENARIOS))
+    pds = scenarios.attach_path_pds(loans, path_table(spark, sf), SCORER)
+    lng = scenarios.long_paths(pds, PATH_SCENARIOS, KEYS).select(*KEYS, "scenario", "quarter", "pd")
     w = scenarios.survival_window(lng, KEYS)
     return w.groupBy("scenario", "quarter").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("alive")).alias("mean_alive"), rounded(F.avg("alive_before")).alias("mean_alive_before"))
 
@@ -293,9 +295,7 @@ def stressed_pd_distribution(spark, sf):
 @query("stressed_pd_percentiles", views="fx_pd fx_ur", sql=PEAK_PD + "," + quant("sp", "scenario", "pd", [(1, 2), (95, 100), (99, 100)]) + """
 SELECT scenario, count(*) AS n, round(avg(pd), 6) AS mean, round(any_value(q1), 6) AS p50, round(any_value(q2), 6) AS p95, round(any_value(q3), 6) AS p99 FROM sp JOIN qs ON g = scenario GROUP BY 1""")
 def stressed_pd_percentiles(spark, sf):
-    p = peak_pds(spark, sf)
-    cells = F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.col(f"pd_{s.name.lower()}").alias("pd")) for s in PEAK_SCENARIOS])
-    t = reports.percentiles(p.select(F.inline(cells)), ["scenario"], "pd", [(1, 2), (95, 100), (99, 100)], ["p50", "p95", "p99"])
+    t = reports.wide_percentiles(peak_pds(spark, sf), {f"pd_{s.name.lower()}": [s.name] for s in PEAK_SCENARIOS}, ["scenario"], [(1, 2), (95, 100), (99, 100)], ["p50", "p95", "p99"])
     return t.withColumns({c: rounded(F.col(c)) for c in ("mean", "p50", "p95", "p99")})
 
 

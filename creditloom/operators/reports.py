@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import case_below, code_label
 from creditloom.operators.labels import DEFAULT_CODES, DISPOSITION_LABELS, WIDE_DEFAULT_CODES, is_default
-from creditloom.operators.metrics import discrimination, stack_columns
+from creditloom.operators.metrics import discrimination
 from creditloom.operators.ordered import equal_frequency_bins, exact_quantiles
-from creditloom.session import held_side
+from creditloom.operators.ranks import column_quantiles
+from creditloom.session import held_side, written
 
 # Display labels.
 CHANNEL_LABELS = {"R": "Retail", "B": "Broker", "C": "Correspondent", "T": "TPO Not Specified", "9": "Not Available"}
@@ -69,6 +70,26 @@ def percentiles(df: DataFrame, by: Sequence[str], column: str, points: Sequence[
     return agg.join(q, list(by)).select(*by, "n", "mean", *[F.col("q")[i].alias(nm) for i, nm in enumerate(names)])
 
 
+def wide_percentiles(df: DataFrame, columns: Mapping[str, Sequence[str]], by: Sequence[str], points: Sequence[tuple[int, int]], names: Sequence[str]) -> DataFrame:
+    """:func:`percentiles` of whole columns, a row for each that has values, with its labels in the columns ``by``.
+
+    Rows are written once and stay wide; ranks are found by intervals, so no value is shuffled and no row fans out.
+    """
+    held = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "percentiles")
+    row = held.agg(*[F.count(c) for c in columns], *[F.avg(c) for c in columns], *[F.count(F.when(F.isnan(c), 1)) for c in columns]).first()
+    k = len(columns)
+    plain = [c for i, c in enumerate(columns) if row[i] and not row[2 * k + i]]
+    found = column_quantiles(held, plain, points) if plain else {}
+    out = []
+    for i, (c, labels) in enumerate(columns.items()):
+        if row[i]:
+            # not-a-number is the largest value there
+            values = found[c] if c in found else exact_quantiles(held, [], c, points, "q").first()["q"]
+            out.append((*labels, row[i], row[k + i], *values))
+    fields = [*[f"{b} string" for b in by], "n long", "mean double", *[f"{nm} double" for nm in names]]
+    return df.sparkSession.createDataFrame(out, ", ".join(fields))
+
+
 def monthly_rates(panel: DataFrame, by: Sequence[str] = ("vintage",), codes: Iterable[str] = WIDE_DEFAULT_CODES) -> DataFrame:
     """Rows, defaults, 90-days-past-due rows and their rates in percent per group and month."""
     late = F.coalesce(F.col("delinquency_status").try_cast("int") >= 3, F.lit(False))
@@ -152,8 +173,7 @@ def score_separation(df: DataFrame, by: Sequence[str], score: str, target: str,
 
 def horizon_summary(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Mean, median, 95th and 99th percentile of several probability columns, one row per column."""
-    long = stack_columns(df, [], columns, "horizon", "pd")
-    return percentiles(long, ["horizon"], "pd", [(1, 2), (95, 100), (99, 100)], ["p50", "p95", "p99"])
+    return wide_percentiles(df, {c: [label] for c, label in columns.items()}, ["horizon"], [(1, 2), (95, 100), (99, 100)], ["p50", "p95", "p99"])
 
 
 def vintage_era(year: Column) -> Column:

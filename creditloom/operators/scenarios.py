@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import clip
 from creditloom.operators.ordered import exact_quantiles
-from creditloom.operators.reports import percentiles
+from creditloom.operators.reports import wide_percentiles
+from creditloom.session import written
 
 
 @dataclass(frozen=True)
@@ -298,6 +299,20 @@ def survival_window(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+#: Rows of a long table that one task sorts in memory.
+SORTED = 1 << 20
+
+
+def dealt_out(loans: DataFrame, keys: Sequence[str], cells: int) -> DataFrame:
+    """``loans`` written, and dealt out by ``keys`` into parts so small that each loan may become ``cells`` rows of a sort in memory.
+
+    Rows that are made of a loan stay in its part, so windows and joins over the keys and more need no exchange of the long table.
+    """
+    held = written(loans, "dealt")
+    parts = max(int(loans.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-held.count() * cells // SORTED))
+    return held.repartition(parts, *keys)
+
+
 # ------------------------------------------------------------------------------------------------ path ECL
 def horizon_label(h: int) -> str:
     return f"{h // 4}Y" if h % 4 == 0 else f"Q{h}"
@@ -407,8 +422,8 @@ def recovery_saving(ecl: DataFrame, scenarios: Sequence[Scenario], horizons: Seq
 
 def loss_percentiles(ecl: DataFrame, scenarios: Sequence[Scenario], horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Mean, median, 95th and 99th percentile of per-loan loss, in thousands, per scenario and horizon."""
-    long = ecl_long(ecl, scenarios, horizons).withColumn("ecl_k", F.col("ecl") / 1000)
-    return percentiles(long, ["scenario", "horizon"], "ecl_k", [(1, 2), (95, 100), (99, 100)], ["p50", "p95", "p99"])
+    columns = {f"ecl_{s.name.lower()}_{horizon_label(h)}": [s.name, horizon_label(h)] for s in scenarios for h in horizons}
+    return wide_percentiles(ecl.select(*[(F.col(c) / 1000).alias(c) for c in columns]), columns, ["scenario", "horizon"], [(1, 2), (95, 100), (99, 100)], ["p50", "p95", "p99"])
 
 
 def uplift_rows(ecl: DataFrame, keys: Sequence[str], horizon: int = 4, base: str = "Base", floor: float = 1e-9, others: Sequence[str] = ("Adverse", "Severe")) -> DataFrame:
@@ -421,8 +436,7 @@ def uplift_rows(ecl: DataFrame, keys: Sequence[str], horizon: int = 4, base: str
 
 
 def uplift_summary(uplift: DataFrame, others: Sequence[str] = ("Adverse", "Severe")) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(o).alias("scenario"), F.col(f"uplift_{o.lower()}").alias("uplift")) for o in others])
-    return percentiles(uplift.select(F.inline(cells)), ["scenario"], "uplift", [(1, 2), (95, 100)], ["p50", "p95"])
+    return wide_percentiles(uplift, {f"uplift_{o.lower()}": [o] for o in others}, ["scenario"], [(1, 2), (95, 100)], ["p50", "p95"])
 
 
 def top_rows(df: DataFrame, order: str, keys: Sequence[str], n: int = 10) -> DataFrame:
