@@ -8,15 +8,18 @@ from creditloom.catalog import base
 from creditloom.catalog.base import query
 from creditloom.catalog.panel import day
 from creditloom.functions.scalars import code_label, rounded
-from creditloom.session import fresh_path
+from creditloom.session import fresh_path, setting
 from creditloom.sources import loans, macro, tables
 
 
 def _write_text(df, columns, path):
     """The 32-column layout, one folder per vintage, empty text for what is missing."""
     full = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns], "vintage")
-    (full.write.partitionBy("vintage").option("sep", "|").option("encoding", "ISO-8859-1").option("nullValue", "").option("emptyValue", "")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    write = (full.write.partitionBy("vintage").option("sep", "|").option("encoding", "ISO-8859-1").option("nullValue", "").option("emptyValue", "")
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    # a task keeps a file open for each vintage, so its wide text rows need not be sorted by it
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "64"):
+        write.csv(path)
     return path
 
 
