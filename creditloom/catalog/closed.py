@@ -12,9 +12,10 @@ from creditloom.catalog.base import query
 from creditloom.catalog.fits import LINEAR, LINEAR_SQL, linear_attributions, oos_scores
 from creditloom.catalog.panel import CUT, day
 from creditloom.catalog.report import quant
-from creditloom.catalog.survive import survival_rows
+from creditloom.catalog.survive import COVARIATES, survival_rows
 from creditloom.functions.scalars import rounded, sigmoid
 from creditloom.operators import attribution, calibration, labels, models, reports, splits, survival, trees
+from creditloom.session import written
 
 
 def late_flag(df):
@@ -121,7 +122,8 @@ def horizon_null_probability(spark, sf):
 def cox_score_equations(spark, sf):
     """Without ties the residuals of a covariate add up to the penalty's pull on its coefficient."""
     rows = survival_rows(spark, sf).withColumn("duration", F.col("duration") * 10_000_000 + F.col("loan_seq_num"))
-    m = survival.fit_cox(rows, ["credit_score", "orig_upb", "delinquency_indicator"], tol=1e-14)
+    rows = written(rows.select("duration", "event", *COVARIATES), "cox-book")
+    m = survival.fit_cox(rows, COVARIATES, tol=1e-14)
     sums = survival.schoenfeld_residuals(m, rows).groupBy("feature").agg(F.sum("residual").alias("s"))
     pull = [(f, float(0.1 * m.n * b * s * s), float(s)) for f, b, s in zip(m.features, m.coef, m.scales)]
     side = spark.createDataFrame(pull, "feature string, pull double, scale double")

@@ -15,6 +15,7 @@ from operator import and_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -289,17 +290,6 @@ def _range_totals(sums: DataFrame, p: int) -> dict[int, np.ndarray]:
     return out
 
 
-def _unpack_block(flat: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
-    out = np.zeros((p, p))
-    out[np.triu_indices(p)] = flat[1 + p :]
-    return float(flat[0]), np.array(flat[1 : 1 + p]), out + np.triu(out, 1).T
-
-
-def _unpack(s: np.ndarray, p: int):
-    block = 1 + p + p * (p + 1) // 2
-    return s[: 2 + p], _unpack_block(s[2 + p : 2 + p + block], p), _unpack_block(s[2 + p + block :], p)
-
-
 def fit_cox(
     df: DataFrame, features: Sequence[str], penalizer: float = 0.1, max_iter: int = 50, tol: float = 1e-9
 ) -> CoxModel:
@@ -309,9 +299,10 @@ def fit_cox(
     deviation. Each step is one aggregate to a row for each duration; durations are cut into at most ``COX_RANGES`` ranges, which get the sums of the later ranges
     and add up their part of likelihood, gradient and Hessian in a task each. The driver sees ranges, never durations; the matrix work is p x p.
     """
-    feats = usable_columns(df, features)
-    data = df.select(F.col("duration").cast("long").alias("duration"), F.col("event").cast("int").alias("event"),
-                     *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
+    present = [f for f in features if f in df.columns]
+    held = written(df.select(F.col("duration").cast("long").alias("duration"), F.col("event").cast("int").alias("event"), *[F.col(f).cast("double").alias(f) for f in present]), "cox-rows")
+    feats = usable_columns(held, present)
+    data = held.select("duration", "event", *feats).dropna()
     probs = F.array(*[F.lit(i / COX_RANGES) for i in range(1, COX_RANGES)])
     stats = data.agg(
         F.count(F.lit(1)), F.sum("event"), *[F.avg(f) for f in feats], *[F.stddev_samp(f) for f in feats], F.percentile_approx("duration", probs, 4 * COX_RANGES),
@@ -356,9 +347,10 @@ def _cox_step(data: DataFrame, z: Sequence[Column], beta: np.ndarray, hazards: b
         later = _range_totals(sums, p)
 
         def run(table: pa.Table) -> pa.Table:
-            value, grad, hess, found = _cox_terms(dict(zip(table["duration"].to_pylist(), map(np.array, table["s"].to_pylist()))), beta, later[table["_range"][0].as_py()])
+            rows = pc.list_flatten(table["s"]).to_numpy().reshape(table.num_rows, -1)
+            value, grad, hess, times, rates = _cox_terms(table["duration"].to_numpy(), rows, beta, later[table["_range"][0].as_py()])
             if hazards:
-                return pa.table({"duration": pa.array([t for t, _ in found], pa.int64()), "hazard": pa.array([h for _, h in found], pa.float64())})
+                return pa.table({"duration": pa.array(times, pa.int64()), "hazard": pa.array(rates, pa.float64())})
             return pa.table({"terms": [[value, *grad, *hess.ravel()]]})
 
         parts = sums.groupBy("_range").applyInArrow(run, "duration long, hazard double" if hazards else "terms array<double>")
@@ -370,28 +362,33 @@ def _cox_step(data: DataFrame, z: Sequence[Column], beta: np.ndarray, hazards: b
         sums.unpersist()
 
 
-def _cox_terms(sums: dict[int, np.ndarray], beta: np.ndarray, later: np.ndarray):
-    """The part of one range of durations; ``later`` has the risk sums of all longer durations."""
+def _cox_terms(durations: np.ndarray, sums: np.ndarray, beta: np.ndarray, later: np.ndarray):
+    """The part of one range of durations, with a row of sums for each; ``later`` has the risk sums of all longer durations."""
     p = len(beta)
-    value, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
-    r0, r1, r2 = _unpack_block(later, p)
-    hazards = []
-    for t in sorted(sums, reverse=True):
-        head, risk, dead = _unpack(sums[t], p)
-        r0, r1, r2 = r0 + risk[0], r1 + risk[1], r2 + risk[2]
-        d = int(round(head[1]))
-        if d == 0:
-            continue
-        d0, d1, d2 = dead
-        ratio = d / d0
-        log_u, inv, l_inv, inv2, l_inv2, ll_inv2 = _tie_sums(d, r0 * ratio)
-        value += float(head[2:] @ beta) - log_u + d * math.log(ratio)
-        grad += head[2:] - (r1 * ratio * inv - d1 * l_inv / d0)
-        hess -= r2 * ratio * inv - d2 * l_inv / d0
-        mixed = np.outer(r1, d1) + np.outer(d1, r1)
-        hess += np.outer(r1, r1) * ratio**2 * inv2 - mixed * d * l_inv2 / d0**2 + np.outer(d1, d1) * ll_inv2 / d0**2
-        hazards.append((t, d / r0))
-    return value, grad, hess, hazards
+    order = np.argsort(-durations)
+    durations, sums = durations[order], sums[order]
+    block = 1 + p + p * (p + 1) // 2
+    head, risk, dead = sums[:, : 2 + p], sums[:, 2 + p : 2 + p + block], sums[:, 2 + p + block :]
+    at = np.cumsum(np.concatenate([later[None, :], risk]), axis=0)[1:]
+    d = np.rint(head[:, 1]).astype(np.int64)
+    some = d > 0
+    durations, head, at, dead, d = durations[some], head[some], at[some], dead[some], d[some]
+    (r0, r1, r2), (d0, d1, d2) = ((v[:, 0], v[:, 1 : 1 + p], v[:, 1 + p :]) for v in (at, dead))
+    ratio = d / d0
+    u = r0 * ratio
+    log_u, inv, l_inv, inv2, l_inv2, ll_inv2 = ties = np.stack([np.log(u), 1 / u, 0 * u, 1 / u**2, 0 * u, 0 * u])
+    for k in np.flatnonzero(d > 1):
+        ties[:, k] = _tie_sums(int(d[k]), u[k])
+    times = lambda m, c: m * c[:, None]
+    value = float((head[:, 2:] @ beta - log_u + d * np.log(ratio)).sum())
+    grad = (head[:, 2:] - times(r1, ratio * inv) + times(d1, l_inv / d0)).sum(axis=0)
+    i, j = np.triu_indices(p)
+    mixed = r1[:, i] * d1[:, j] + d1[:, i] * r1[:, j]
+    upper = times(d2, l_inv / d0) - times(r2, ratio * inv) + times(r1[:, i] * r1[:, j], ratio**2 * inv2)
+    upper = (upper - times(mixed, d * l_inv2 / d0**2) + times(d1[:, i] * d1[:, j], ll_inv2 / d0**2)).sum(axis=0)
+    hess = np.zeros((p, p))
+    hess[i, j] = hess[j, i] = upper
+    return value, grad, hess, durations, d / r0
 
 
 def cox_summary(model: CoxModel, spark) -> DataFrame:
