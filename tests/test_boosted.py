@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from creditloom.functions.scalars import hash_bucket
 from creditloom.operators import metrics, models
 from creditloom.operators.splits import share_below
+from creditloom.session import cut_off
 
 
 def rows(spark, n=3000):
@@ -35,3 +37,52 @@ def test_patience():
     assert models.best_rounds([1, 2, 3, 2.5, 2.6, 3.5], 2) == 3
     assert models.best_rounds([1, 2, 3, 2.5, 2.6, 3.5], 3) == 6
     assert models.best_rounds([1.0], 20) == 1
+
+
+def spied(monkeypatch, name):
+    """Frames and settings that a Spark estimator of ``models`` is fitted with."""
+    seen = []
+    plain = getattr(models, name)
+
+    class Spy(plain):
+        def _fit(self, dataset):
+            seen.append((dataset._jdf.queryExecution().optimizedPlan().toString(), self, dataset.rdd.getNumPartitions()))
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(models, name, Spy)
+    return seen
+
+
+def test_rounds_do_not_ship_the_past_of_their_rows(spark, monkeypatch):
+    df = rows(spark, 600).repartition(3).withColumn("lgd", F.col("default_12m") * 0.5 + 0.1)
+    joined = df.join(df.select("loan_seq_num", F.col("a").alias("d")), "loan_seq_num")
+    loss, classes = spied(monkeypatch, "GBTRegressor"), spied(monkeypatch, "GBTClassifier")
+    models.fit_loss_models(joined, ["a", "b", "d"], [], forest_params={"numTrees": 2, "maxDepth": 2}, boosted_params={"maxIter": 2, "maxDepth": 2})
+    models.fit_boosted_pd(joined, ["a", "b", "d"], [], block=2, maxIter=2, maxDepth=2)
+    for plan, _, _ in loss + classes:
+        assert "LogicalRDD" in plan and not any(x in plan for x in ("Join", "InMemoryRelation", "Relation [")), plan
+    assert not classes[0][1].getCacheNodeIds()
+
+
+def test_cut_off_keeps_rows_and_partitions(spark):
+    df = spark.range(100).repartition(7).withColumn("p", F.spark_partition_id())
+    kept = df.persist()
+    before = [sorted(p) for p in kept.rdd.glom().collect()]
+    assert [sorted(p) for p in cut_off(kept).rdd.glom().collect()] == before
+
+
+def test_rounds_are_measured_from_one_pass(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows(spark, 500)).withColumn("label", F.col("default_12m").cast("double"))
+    trees = models.read_trees(GBTClassifier(maxIter=3, maxDepth=2, seed=1).fit(df), spark)
+    plans, plain = [], models.metrics.discrimination_of_tally
+
+    def spy(tallied, by, score):
+        plans.append(tallied._jdf.queryExecution().optimizedPlan().toString())
+        return plain(tallied, by, score)
+
+    monkeypatch.setattr(models.metrics, "discrimination_of_tally", spy)
+    assert len(models.staged_auroc(df, trees)) == 3
+    assert len(plans) == 1 and "PythonUDF" not in plans[0] and "EvalPython" not in plans[0]
