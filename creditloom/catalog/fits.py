@@ -12,7 +12,7 @@ from creditloom.catalog.stress import KEYS, PATHS, featured_rows, path_table, pe
 from creditloom.functions.scalars import rounded
 from creditloom.operators import attribution, calibration, encoding, metrics, models, scenarios, splits
 from creditloom.operators.scenarios import PATH_SCENARIOS, PEAK_SCENARIOS
-from creditloom.session import fresh_path
+from creditloom.session import fresh_path, written
 
 PD_COLS = ["credit_score", "orig_upb", "loan_age", "current_upb", "delinquency_status", "occupancy_status"]
 def modelling_rows(spark, sf):
@@ -129,7 +129,8 @@ def boosted_scores(spark, sf):
 @query("boosted_metrics")
 def boosted_metrics(spark, sf):
     rows, m = boosted(spark, sf)
-    return metrics.discrimination(m.transform(rows), ["split"], "score", "default_12m")
+    scored = written(m.transform(rows).select("split", "default_12m", "score"), "scored")  # ranks read the scores several times
+    return metrics.discrimination(scored, ["split"], "score", "default_12m")
 
 
 @query("boosted_importance")
@@ -242,6 +243,15 @@ def attributed(spark, sf):
     return out, feats
 
 
+def shares(feats):
+    return [f"shap_{f}" for f in feats]
+
+
+def read_often(out, *columns):
+    """The columns of all rows, written: a report that ranks rows reads them several times, and each time would work out the attributions again."""
+    return written(out.select(*columns), "attributed")
+
+
 @query("attribution_rows")
 def attribution_rows(spark, sf):
     out, feats = attributed(spark, sf)
@@ -281,23 +291,26 @@ def extreme_risk_loans(spark, sf):
 
 @query("attribution_segments")
 def attribution_segments(spark, sf):
-    return attribution.segment_report(*attributed(spark, sf))
+    out, feats = attributed(spark, sf)
+    return attribution.segment_report(read_often(out, "predicted_pd", "default_12m", *shares(feats)), feats)
 
 
 @query("attribution_by_decile")
 def attribution_by_decile(spark, sf):
-    return attribution.leading_feature_profile(*attributed(spark, sf))
+    out, feats = attributed(spark, sf)
+    return attribution.leading_feature_profile(read_often(out, "predicted_pd", *shares(feats)), feats)
 
 
 @query("attribution_dependence")
 def attribution_dependence(spark, sf):
     out, _ = attributed(spark, sf)
-    return attribution.dependence_bins(out, "credit_score", "orig_upb")
+    return attribution.dependence_bins(read_often(out, "credit_score", "orig_upb", "shap_credit_score"), "credit_score", "orig_upb")
 
 
 @query("attribution_density")
 def attribution_density(spark, sf):
-    return attribution.beeswarm_density(*attributed(spark, sf))
+    out, feats = attributed(spark, sf)
+    return attribution.beeswarm_density(read_often(out, *feats, *shares(feats)), feats)
 
 
 # Closed-form attributions (weight x centred value) give the report tables an SQL statement.

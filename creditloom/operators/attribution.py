@@ -70,27 +70,40 @@ class LeafTables:
     """All leaves that meet ``m`` features: what each of the 2^m answers to their conditions adds to each of the m features, worked out once for the model."""
 
     features: np.ndarray  # leaves x m
-    lower: np.ndarray
-    upper: np.ndarray
-    answers: np.ndarray  # leaves x 2^m x m
+    met: list[np.ndarray]  # for each feature: its places x leaves, the bit of the leaf's condition where the place meets it
+    answers: np.ndarray  # (leaves x 2^m) x m
 
-    def add(self, phi: np.ndarray, x: np.ndarray) -> None:
-        """Add the shares of every row to ``phi`` (rows x features): a condition code picks each leaf's answer."""
+    def add(self, phi: np.ndarray, at: np.ndarray) -> None:
+        """Add the shares of every row to ``phi`` (rows x features): a condition code picks each leaf's answer. ``at``: places of the rows' features."""
         n_leaves, m = self.features.shape
-        step = max(1, CELLS // (max(1, len(x)) * m))
-        bits = 1 << np.arange(m)
+        step = max(1, CELLS // (max(1, len(at)) * m))
         for k in range(0, n_leaves, step):
             part = slice(k, k + step)
-            held = x[:, self.features[part]]
-            code = ((held > self.lower[part]) & (held <= self.upper[part])) @ bits
-            amount = self.answers[part][np.arange(code.shape[1]), code]  # rows x leaves x m
+            code = sum(self.met[f][:, part].take(at[:, f], axis=0) for f in np.unique(self.features[part]).tolist())
+            amount = self.answers.take(code + (np.arange(n_leaves)[part] << m), axis=0)  # rows x leaves x m
             owner = np.zeros((amount.shape[1] * m, phi.shape[1]))
             owner[np.arange(len(owner)), self.features[part].ravel()] = 1.0
-            phi += amount.reshape(len(x), -1) @ owner
+            phi += amount.reshape(len(at), -1) @ owner
 
 
-def leaf_tables(leaves: Sequence[LeafPath]) -> tuple[list[LeafTables], float]:
-    """Tables by number of features, and the base value: the mean of all leaves."""
+def feature_places(cuts: Sequence[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """For every value the number of its feature's cuts below it; one more than there are cuts where the value meets no condition (not a number)."""
+    at = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+    return np.where(x > -np.inf, at, [len(c) + 1 for c in cuts])
+
+
+def _met(leaves: Sequence[LeafPath], cuts: Sequence[np.ndarray]) -> list[np.ndarray]:
+    kind = np.min_scalar_type((1 << len(leaves[0].features)) - 1)
+    out = [np.zeros((len(c) + 2, len(leaves)), dtype=kind) for c in cuts]
+    for i, leaf in enumerate(leaves):
+        for j, f in enumerate(leaf.features):
+            first, last = (np.searchsorted(cuts[f], v, side=side) for v, side in ((leaf.lower[j], "right"), (leaf.upper[j], "left")))
+            out[f][first : last + 1, i] = 1 << j
+    return out
+
+
+def leaf_tables(leaves: Sequence[LeafPath], cuts: Sequence[np.ndarray]) -> tuple[list[LeafTables], float]:
+    """Tables by number of features, and the base value: the mean of all leaves. ``cuts``: the sorted thresholds of each feature."""
     base = sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves)
     out = []
     for m in sorted({len(leaf.features) for leaf in leaves} - {0}):
@@ -109,7 +122,7 @@ def leaf_tables(leaves: Sequence[LeafPath]) -> tuple[list[LeafTables], float]:
                     moved[:, :, 1:] = poly[:, :, :-1] * one[None, :, j : j + 1]
                     poly = poly * share[:, None, j : j + 1] + moved
             answers[:, :, i] = value[:, None] * (one[None, :, i] - share[:, None, i]) * (poly @ weights)
-        out.append(LeafTables(np.array([leaf.features for leaf in own]), np.array([leaf.lower for leaf in own]), np.array([leaf.upper for leaf in own]), answers))
+        out.append(LeafTables(np.array([leaf.features for leaf in own]), _met(own, cuts), answers.reshape(-1, m)))
     return out, base
 
 
@@ -121,8 +134,9 @@ def tree_attributions(model, df: DataFrame, features: Sequence[str], vector: str
     """
     spark = df.sparkSession
     trees = model if isinstance(model, Trees) else read_trees(model, spark)
-    tables, base = leaf_tables(leaf_paths(trees))
-    shipped = spark.sparkContext.broadcast((trees, tables))
+    cuts = trees.cuts()
+    tables, base = leaf_tables(leaf_paths(trees), cuts)
+    shipped = spark.sparkContext.broadcast((trees, cuts, tables))
     p = len(features)
     wanted = df.select(*keep, vector_to_array(vector).alias("_x"))
     schema = df.select(*keep).schema
@@ -131,14 +145,14 @@ def tree_attributions(model, df: DataFrame, features: Sequence[str], vector: str
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, tables = shipped.value
+        trees, cuts, tables = shipped.value
         for batch in batches:
             n = batch.num_rows
             x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(n, p)
-            phi = np.zeros((n, p))
+            at, phi = feature_places(cuts, x), np.zeros((n, p))
             for k in range(0, n, ROWS):
                 for table in tables:
-                    table.add(phi[k : k + ROWS], x[k : k + ROWS])
+                    table.add(phi[k : k + ROWS], at[k : k + ROWS])
             made = [trees.margins(x), *phi.T, np.full(n, base)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in made)], names=names)
 

@@ -43,6 +43,10 @@ class Trees:
     def n_trees(self) -> int:
         return len(self.roots)
 
+    def cuts(self) -> list[np.ndarray]:
+        """The distinct thresholds of each feature, in order."""
+        return [np.unique(self.threshold[self.feature == f]) for f in range(self.n_features)]
+
     def first(self, rounds: int) -> Trees:
         """The ensemble after its first ``rounds`` rounds."""
         keep = slice(0, int(np.searchsorted(self.tree, rounds)))
