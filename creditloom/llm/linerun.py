@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import in_slices, lookup, running_start, slices, stored, with_minimum, words_of
+from creditloom.llm.common import lookup, running_start, slices, small_batches, stored, trim, with_minimum, words_of
 
 #: Words that a repeated run must have for its later copies to go.
 MIN_WORDS = 50
@@ -42,10 +42,14 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 need = np.where(reach <= end, reach - at, 0)
                 after = np.append(reach[1:], len(codes) + 1)
                 most = np.where(need > 0, np.maximum(need, np.minimum(after - 1, end) - at), 0)
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [rid.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at - np.repeat(ends - n, n)), pa.array(end - at), numbers.take(pa.array(codes)), pa.array(need), pa.array(most)],
                     names=["rid", "idx", "left", "line", "need", "most"],
                 )
+                del rid, texts, parts, coded, codes, distinct, numbers, words, at, end, total, reach, need, after, most
+                yield out
+                del out
+                trim()
 
     return docs.mapInArrow(run, "rid long, idx long, left long, line binary, need long, most long")
 
@@ -99,6 +103,7 @@ def without_lines(text: str, gone: str):
             left = [p for p, d in zip(parts, drop.tolist(), strict=True) if not d]
             out.append("\n".join(left) if left else None)
             deleted.append(int(drop.sum()))
+        trim()
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(deleted, pa.int64())], names=["text", "n_deleted"])
 
     return run(text, gone)
@@ -115,15 +120,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     their names. An empty table gives an empty result.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), whole.alias("doc"), F.col(text).alias("text")).drop("text"), "documents")
+    n_lines = F.coalesce(F.regexp_count(F.col(text), F.lit("\n")), F.lit(0)).cast("long") + 1
+    held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), n_lines.alias("n_lines"), whole.alias("doc")), "documents")
     body = held.select("rid", F.col("doc")[text].alias("text"))
-    lines = stored(line_rows(body, min_words), "lines")
+    with small_batches(docs.sparkSession):
+        lines = stored(line_rows(body, min_words), "lines")
     runs = repeated_runs(lines, held.select("rid", "doc_id"))
-    gone = stored(runs.groupBy("rid").agg(F.collect_list(F.struct("idx", "need")).alias("gone")), "gone")
-    counted = lines.where("idx = 0").select("rid", F.col("left").alias("n_lines")).join(gone, "rid", "left")
-    touched = held.join(counted.where("gone IS NOT NULL"), "rid").withColumn("_new", without_lines(F.col("doc")[text], F.col("gone")))
+    # documents stream past a table of the small rows: a sort-merge join would hold and sort them
+    gone = stored(runs.groupBy("rid").agg(F.collect_list(F.struct("idx", "need")).alias("gone")), "gone").hint("shuffle_hash")
+    touched = held.join(gone, "rid").withColumn("_new", without_lines(F.col("doc")[text], F.col("gone")))
     touched = touched.select(F.col("doc").withField(f"`{text}`", F.col("_new.text")).alias("doc"), "n_lines", F.col("_new.n_deleted").alias("n_deleted"))
-    rest = held.join(counted.where("gone IS NULL").select("rid", "n_lines"), "rid").select("doc", "n_lines", F.lit(0).cast("long").alias("n_deleted"))
+    # a condition of the caller on n_deleted would run the cut a second time, in a second worker for each task, if it were not written
+    with small_batches(docs.sparkSession):
+        touched = stored(touched, "touched")
+    rest = held.join(gone, "rid", "left_anti").select("doc", "n_lines", F.lit(0).cast("long").alias("n_deleted"))
     return touched.union(rest)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import components, slices, stored, words_of
+from creditloom.llm.common import components, slices, small_batches, stored, trim, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -150,10 +150,16 @@ def sketches(docs: DataFrame) -> DataFrame:
             for part in slices(batch.column(1), SLICE):
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([rows.column(0), *sketch(rows.column(1))], names=["doc_id", "cls", "bands", "registers"])
+                trim()
 
     return docs.mapInArrow(run, "doc_id long, cls binary, bands array<long>, registers binary")
 
 
+def _sketched(docs: DataFrame) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return stored(sketches(docs), "sketches")
+
+
 def _digests(row: np.ndarray, item: np.ndarray, times: np.ndarray, n_rows: int) -> list[bytes | None]:
     n = np.bincount(row, minlength=n_rows)
     both = np.stack([item, times.astype(np.uint64)], axis=1)
@@ -194,6 +200,7 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             sides = (batch.column(k).to_pylist() for k in (2, 3))
             good = [probability_jaccard(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) >= similarity - 1e-12 for x, y in zip(*sides, strict=True)]
+            trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = (held.select(F.col("num").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b"))
@@ -210,7 +217,11 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 row, item, times = shingles(texts)
                 flat, n = packed(texts)
                 items = [flat[e - c : e].tobytes() for e, c in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(row, item, times, len(texts)), pa.binary()), pa.array(items, pa.binary())], names=["cls", "items"])
+                out = pa.RecordBatch.from_arrays([pa.array(_digests(row, item, times, len(texts)), pa.binary()), pa.array(items, pa.binary())], names=["cls", "items"])
+                del texts, row, item, times, flat, n, items
+                yield out
+                del out
+                trim()
 
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
     rows = docs.where(_flagged(ids)).join(ids, docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi").select("text")
@@ -419,7 +430,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null so is its class_id, and its rows are kept. A text of any length is sketched and compared whole. An empty table gives an empty result. Only the two named columns are read.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = stored(sketches(source), "sketches")
+    sketched = _sketched(source)
     return _decided(sketched, duplicate_classes(source, sketched, similarity)).select("doc_id", "class_id", "kept")
 
 
@@ -439,7 +450,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("id"), whole.alias("doc")), "documents")
     source = held.select(F.col("rid").alias("doc_id"), F.col("doc")[text].alias("text"))
-    sketched = stored(sketches(source), "sketches")
+    sketched = _sketched(source)
     grouped = duplicate_classes(source, sketched, similarity)
     place = F.struct(F.col("id").isNull(), "id", "rid")
     rows = held.select("rid", "id").join(sketched.where("cls IS NOT NULL").select(F.col("doc_id").alias("rid"), "cls"), "rid")

@@ -146,6 +146,20 @@ def test_runs_go_but_for_their_first_copy(spark):
     assert linerun.dedup_lines(table(spark)).select("doc.*").columns == table(spark).columns
 
 
+def test_lines_are_cut_once_and_documents_are_not_sorted(spark):
+    plan = linerun.keep_new_lines(table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "SortMergeJoin" not in plan
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_totals_of_parts_need_no_python_workers(spark):
+    rows = spark.range(7).selectExpr("id", "2L AS n")
+    done = common.running_start(rows, ["id"], "n")
+    assert "Scan ExistingRDD" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.start) for r in done.collect()} == {(i, 2 * i) for i in range(7)}
+    assert common.running_start(rows.where("id < 0"), ["id"], "n").collect() == []
+
+
 def test_short_lines_many_times_and_overlapping_runs(spark):
     rows = [(i, "\n".join(["a b c"] * n + [f"own {i}"] * (i % 2))) for i, n in enumerate([1, 17, 40, 18, 200, 35])]
     assert multiset(linerun.dedup_lines(table(spark, rows)).select("doc.doc_id", "doc.text", "n_lines", "n_deleted")) == plain_lines(rows)
