@@ -88,12 +88,16 @@ def repeated_runs(lines: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def without_lines(text: str, gone: str):
-    """Text without the lines that the ``gone`` intervals (arrays of first line and number) cover; null if no line is left."""
+    """Text without the lines that the ``gone`` intervals (arrays of first line and number) cover; null if no line is left or ``gone`` is null."""
 
     @F.arrow_udf("struct<text:string,n_deleted:long>")
     def run(texts: pa.Array, intervals: pa.Array) -> pa.Array:
         out, deleted = [], []
         for text_, own in zip(texts, intervals.to_pylist(), strict=True):
+            if own is None:
+                out.append(None)
+                deleted.append(0)
+                continue
             parts = text_.as_py().split("\n")
             mark = np.zeros(len(parts) + 1, dtype=np.int64)
             for x in own:
@@ -121,20 +125,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     n_lines = F.coalesce(F.regexp_count(F.col(text), F.lit("\n")), F.lit(0)).cast("long") + 1
-    held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), n_lines.alias("n_lines"), whole.alias("doc")), "documents")
+    held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), n_lines.alias("n_lines"), whole.alias("doc")), "documents", "zstd")
     body = held.select("rid", F.col("doc")[text].alias("text"))
     with small_batches(docs.sparkSession):
         lines = stored(line_rows(body, min_words), "lines")
     runs = repeated_runs(lines, held.select("rid", "doc_id"))
     # documents stream past a table of the small rows: a sort-merge join would hold and sort them
     gone = stored(runs.groupBy("rid").agg(F.collect_list(F.struct("idx", "need")).alias("gone")), "gone").hint("shuffle_hash")
-    touched = held.join(gone, "rid").withColumn("_new", without_lines(F.col("doc")[text], F.col("gone")))
-    touched = touched.select(F.col("doc").withField(f"`{text}`", F.col("_new.text")).alias("doc"), "n_lines", F.col("_new.n_deleted").alias("n_deleted"))
+    marked = held.join(gone, "rid", "left").withColumn("_new", without_lines(F.when(F.col("gone").isNotNull(), F.col("doc")[text]), F.col("gone")))
+    new = F.col("doc").withField(f"`{text}`", F.when(F.col("gone").isNull(), F.col("doc")[text]).otherwise(F.col("_new.text")))
     # a condition of the caller on n_deleted would run the cut a second time, in a second worker for each task, if it were not written
     with small_batches(docs.sparkSession):
-        touched = stored(touched, "touched")
-    rest = held.join(gone, "rid", "left_anti").select("doc", "n_lines", F.lit(0).cast("long").alias("n_deleted"))
-    return touched.union(rest)
+        return stored(marked.select(new.alias("doc"), "n_lines", F.coalesce("_new.n_deleted", F.lit(0)).cast("long").alias("n_deleted")), "deleted", "zstd")
 
 
 def keep_new_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

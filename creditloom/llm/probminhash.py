@@ -448,7 +448,7 @@ def _decided(rows: DataFrame, grouped: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class of near duplicates, the one with the smallest doc_id (nulls last, then the table's order). Texts without words all stay."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("id"), whole.alias("doc")), "documents")
+    held = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("id"), whole.alias("doc")), "documents", "zstd")
     source = held.select(F.col("rid").alias("doc_id"), F.col("doc")[text].alias("text"))
     sketched = _sketched(source)
     grouped = duplicate_classes(source, sketched, similarity)
