@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,15 +13,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import Words, partitions_of, per_row, slices, stored, trim, words_of
+from creditloom.llm.common import Words, partitions_of, per_row, slices, small_batches, stored, trim, words_of
 
 ORDER = 5
 FOLDS, HELD_OUT = 7, 2
 END = 0x0A
 #: Bytes that a text of words, single spaces and the end can hold: tab and the other white space never occur.
 ALPHABET = 252
-BLOCK_BYTES = 24 << 20
-SLICE_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
+#: Windows that are gathered before equal ones are added up.
+GATHERED = 1 << 18
 LOG10E = float(np.log10(np.e))
 
 PACKED = "kind string, shard int, block long, keys binary, sizes binary, counts binary"
@@ -33,13 +35,23 @@ def held_out(doc_ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD_OUT for i in doc_ids.to_pylist()], dtype=bool)
 
 
+def _even(texts: pa.Array, limit: int) -> Iterator[slice]:
+    """Consecutive row ranges of about the same bytes of text, as few as ``limit`` bytes each allow; no range is over it by more than its last text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    total = int(ends[-1]) if len(ends) else 0
+    n = max(1, -(-total // limit))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, total * np.arange(1, n) // n, side="left") + 1, [len(texts)]]))
+    for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield slice(start, stop)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` in blocks of consecutive rows, one compressed row for each: ``block, blob``. Stored, so a block stays what it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            for part in slices(batch.column(1), BLOCK_BYTES):
+            for part in _even(batch.column(1), BLOCK_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) as out:
@@ -47,6 +59,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                 blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
                 number = (batch.column(2)[0].as_py() << 32) + n
                 n += 1
+                del rows, sink
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
 
     return stored(docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("_p")).mapInArrow(run, "block long, blob binary"), "blocks")
@@ -56,6 +70,25 @@ def opened(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers in zstd, first bytes of all before second ones: small numbers and small steps take a byte or less each."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unpacked(blob: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def packed_codes(code: np.ndarray) -> bytes:
+    """Ascending codes, by their steps."""
+    return packed(np.diff(code.astype("<u8"), prepend=np.uint64(0)))
+
+
+def unpacked_codes(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, "<u8"), dtype=np.uint64)
+
+
 def windows(words: Words, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of each text, its words joined by single spaces and closed by the end, that byte below the ``order`` bytes before it (ends before the text),
     and the number of bytes of each text."""
@@ -79,33 +112,57 @@ def _requests(table: pa.Table, block: int, shards: int) -> Iterator[tuple]:
     """What a block holds and how often its training texts have it: words, byte windows, and pairs of bytes."""
     texts, train = table.column("text").combine_chunks(), ~held_out(table.column("doc_id"))
     vocabulary, counts = [], []
-    codes, times, pairs = [], [], np.zeros(1 << 16, dtype=np.int64)
-    for part in slices(texts, SLICE_BYTES):
-        words = words_of(texts[part])
-        learnt = train[part].astype(np.int64)
-        vocabulary.append(words.vocabulary)
-        counts.append(np.bincount(words.codes, weights=learnt[words.rows], minlength=len(words.vocabulary)).astype(np.int64))
-        code, n = windows(words)
-        number, distinct = pd.factorize(code)
-        codes.append(distinct)
-        times.append(np.bincount(number, weights=np.repeat(learnt, n), minlength=len(distinct)).astype(np.int64))
-        np.add.at(pairs, (distinct & np.uint64(0xFFFF)).astype(np.int64), times[-1])
+
+    def sliced() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in slices(texts, SLICE_BYTES):
+            words = words_of(texts[part])
+            learnt = train[part].astype(np.int64)
+            vocabulary.append(words.vocabulary)
+            counts.append(np.bincount(words.codes, weights=learnt[words.rows], minlength=len(words.vocabulary)).astype(np.int64))
+            code, n = windows(words)
+            number, distinct = pd.factorize(code)
+            yield distinct, np.bincount(number, weights=np.repeat(learnt, n), minlength=len(distinct))
+
+    code, times = _summed(sliced())
+    trim()
     every = pa.concat_arrays(vocabulary).dictionary_encode()
     distinct = every.dictionary
-    count = np.bincount(every.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    count = np.bincount(every.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(distinct)).astype("<i8")
+    del every, vocabulary, counts
     shard = (pd.util.hash_array(np.array(distinct.to_pylist(), dtype=object), categorize=False) % np.uint64(shards)).astype(np.int64) if len(distinct) else np.zeros(0, dtype=np.int64)
     for s, at in _by_shard(shard):
         own = distinct.take(pa.array(at))
-        yield "word", s, block, b"".join(own.cast(pa.binary()).to_pylist()), pc.binary_length(own).to_numpy().astype("<u4").tobytes(), count[at].astype("<i8").tobytes()
-    number, code = pd.factorize(np.concatenate(codes), sort=True)
-    count = np.bincount(number, weights=np.concatenate(times), minlength=len(code)).astype(np.int64)
+        text = zstandard.ZstdCompressor(level=1).compress(b"".join(own.cast(pa.binary()).to_pylist()))
+        yield "word", s, block, text, packed(pc.binary_length(own).to_numpy().astype("<u4")), packed(count[at])
     for s, at in _by_shard(_branch(code, shards)):
-        yield "window", s, block, code[at].astype("<u8").tobytes(), b"", count[at].astype("<i8").tobytes()
+        yield "window", s, block, packed_codes(code[at]), b"", packed(times[at].astype("<i8"))
+    pairs = np.bincount((code & np.uint64(0xFFFF)).astype(np.int64), weights=times, minlength=1 << 16).astype("<i8")
     some = np.flatnonzero(pairs)
-    yield "pair", -1, block, some.astype("<u4").tobytes(), b"", pairs[some].astype("<i8").tobytes()
+    yield "pair", -1, block, some.astype("<u4").tobytes(), b"", pairs[some].tobytes()
     yield "end", -1, block, b"", b"", np.array([train.sum()], dtype="<i8").tobytes()
 
 
+def _summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order, and the sums of their counts. Equal ones are added up whenever the new ones outnumber those held, so that memory follows the distinct ones."""
+    codes, counts, held, new = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)], 0, 0
+    for code, count in parts:
+        codes.append(code)
+        counts.append(count)
+        new += len(code)
+        if new > max(GATHERED, held):
+            merged = _merged(codes, counts)
+            codes, counts, held, new = [merged[0]], [merged[1]], len(merged[0]), 0
+    return _merged(codes, counts)
+
+
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code = np.concatenate(codes)
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.diff(code, prepend=code[:1] + np.uint64(1)))
+    return code[first], np.add.reduceat(count, first) if len(first) else count
+
+
 def _branch(code: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each window: whole branches of the trie, by the two bytes before the last."""
     return (((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(4)).astype(np.int64) % shards
@@ -131,13 +188,14 @@ def requests(held: DataFrame, shards: int) -> DataFrame:
                 trim()
                 yield out
 
-    return stored(held.mapInArrow(run, PACKED), "requests")
+    with small_batches(held.sparkSession, rows=1):
+        return stored(held.mapInArrow(run, PACKED), "requests")
 
 
 def strings(keys: bytes, sizes: bytes) -> pa.Array:
-    lengths = np.frombuffer(sizes, dtype="<u4").astype(np.int64)
+    lengths = unpacked(sizes, "<u4").astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i4")
-    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
+    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.ZstdDecompressor().decompress(keys))])
 
 
 class LowOrders:
@@ -195,64 +253,56 @@ def _step(out: np.ndarray, done: np.ndarray, n: np.ndarray, total: np.ndarray, k
 
 
 def _answer(table: pa.Table, low: LowOrders) -> Iterator[tuple]:
-    """Of one kind and shard: to each block the counts of its words in the whole corpus, or the costs of its windows. A block knows the order of its windows, so
-    they are not sent back."""
+    """Of one kind and shard: to each block the counts of its words in the whole corpus, or the costs of its windows. Windows are taken from one block at a time."""
     kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-    count, sent = _blobs(table.column("counts"), "<i8"), (pc.binary_length(table.column("counts")).to_numpy() // 8).tolist()
+    block, keys, sizes, counts = (table.column(c).to_pylist() for c in ("block", "keys", "sizes", "counts"))
     if kind == "word":
-        coded = pa.concat_arrays([strings(k, n) for k, n in zip(table.column("keys").to_pylist(), table.column("sizes").to_pylist(), strict=True)]).dictionary_encode()
+        own = [strings(k, n) for k, n in zip(keys, sizes, strict=True)]
+        ends = np.cumsum([len(x) for x in own])
+        coded = pa.concat_arrays(own).dictionary_encode()
         at = coded.indices.to_numpy()
-        total = np.bincount(at, weights=count, minlength=len(coded.dictionary))
-        value = total[at].astype("<i8")
+        total = np.bincount(at, weights=np.concatenate([unpacked(c, "<i8") for c in counts]), minlength=len(coded.dictionary)).astype("<i8")
         yield "all", -1, -1, b"", b"", np.array([int(total.sum()), int((total > 0).sum())], dtype="<i8").tobytes()
-    else:
-        code, at = np.unique(_blobs(table.column("keys"), "<u8"), return_inverse=True)
-        at = at.astype(np.int32)
-        value = costs(code, np.bincount(at, weights=count, minlength=len(code)), low)[at].astype("<f8")
-    done = 0
-    for k, (block, n) in enumerate(zip(table.column("block").to_pylist(), sent, strict=True)):
-        words = (table.column(c)[k].as_py() for c in ("keys", "sizes")) if kind == "word" else (b"", b"")
-        yield kind, shard, block, *words, value[done : done + n].tobytes()
-        done += n
-
-
-def _blobs(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
-    """The bytes of consecutive binary values as one array of numbers, without a copy of each."""
-    parts = []
-    for chunk in column.chunks:
-        offsets = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
-        data = chunk.buffers()[2]
-        if data is not None and offsets[-1] > offsets[0]:
-            parts.append(np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view(dtype))
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
-
-
-def _score(blob: bytes, answers: pa.Table, shards: int, n_all: int, n_kinds: int, n_ends: int) -> pa.Table:
+        for k, end in enumerate(ends.tolist()):
+            yield kind, shard, block[k], keys[k], sizes[k], packed(total[at[end - len(own[k]) : end]])
+        return
+    code, count = _summed((unpacked_codes(k), unpacked(c, "<i8")) for k, c in zip(keys, counts, strict=True))
+    cost = costs(code, count, low).astype("<f8")
+    del count, counts
+    for b, k in zip(block, keys, strict=True):
+        yield kind, shard, b, k, b"", packed(cost[np.searchsorted(code, unpacked_codes(k))])
+
+
+def _score(blob: bytes, answers: pa.Table, n_all: int, n_kinds: int, n_ends: int) -> pa.Table:
     docs = opened(blob)
     texts = docs.column("text").combine_chunks()
     words_in, windows_in = (answers.filter(pc.equal(answers.column("kind"), kind)) for kind in ("word", "window"))
     known = [strings(k, s) for k, s in zip(words_in.column("keys").to_pylist(), words_in.column("sizes").to_pylist(), strict=True)]
     known = pa.concat_arrays(known) if known else pa.array([], pa.string())
-    counts = _blobs(words_in.column("counts"), "<i8")
-    sent = _blobs(windows_in.sort_by("shard").column("counts"), "<f8")
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *(unpacked(c, "<i8") for c in words_in.column("counts").to_pylist())])
+    every = pd.Index(np.concatenate([unpacked_codes(k) for k in windows_in.column("keys").to_pylist()]))
+    cost = np.concatenate([unpacked(c, "<f8") for c in windows_in.column("counts").to_pylist()])
     del windows_in, words_in
-    n_tokens, n_known, base, score = [], [], [], []
-    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    log_mass = np.log10(n_all + n_kinds + 1.0)
+    n_tokens, score = [], []
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    vocabulary = []
     for part in slices(texts, SLICE_BYTES):
         words = words_of(texts[part])
-        c = counts[pc.index_in(words.vocabulary, value_set=known).to_numpy()] if len(words.vocabulary) else counts[:0]
+        seen.append((words.codes.astype(np.int32), words.counts))
+        vocabulary.append(words.vocabulary)
         n_tokens.append(words.counts + 1)
-        n_known.append(per_row((c > 0).astype(np.int64)[words.codes], words.counts) + int(n_ends > 0))
-        base.append(per_row(np.log10(c + 1.0)[words.codes], words.counts) + np.log10(n_ends + 1.0) - (words.counts + 1) * log_mass)
         code, n = windows(words)
-        number, distinct = pd.factorize(code)
-        seen.append((number.astype(np.int32), distinct, n))
-    every = np.unique(np.concatenate([d for _, d, _ in seen])) if seen else np.zeros(0, dtype=np.uint64)
-    cost = np.empty(len(every))
-    cost[np.argsort(_branch(every, shards), kind="stable")] = sent
-    for number, distinct, n in seen:
-        score.append(per_row(cost[np.searchsorted(every, distinct)][number], n))
+        score.append(per_row(cost[every.get_indexer(code)], n))
+    del every, cost
+    # one table of the known words for all slices
+    count = counts[pc.index_in(pa.concat_arrays(vocabulary), value_set=known).to_numpy()]
+    n_known, base, done = [], [], 0
+    log_mass = np.log10(n_all + n_kinds + 1.0)
+    for (codes, n), own in zip(seen, vocabulary, strict=True):
+        c = count[done : done + len(own)]
+        done += len(own)
+        n_known.append(per_row((c > 0).astype(np.int64)[codes], n) + int(n_ends > 0))
+        base.append(per_row(np.log10(c + 1.0)[codes], n) + np.log10(n_ends + 1.0) - (n + 1) * log_mass)
     size = len(texts)
     columns = [docs.column("doc_id").combine_chunks(), pa.array(held_out(docs.column("doc_id"))), *(pa.array(np.concatenate(x)) for x in (n_tokens, n_known)), pa.array(np.full(size, n_all)), *(pa.array(np.concatenate(x)) for x in (base, score))]
     return pa.Table.from_arrays(columns, names=[c.split()[0] for c in RESULT.split(", ")])
@@ -292,7 +342,7 @@ def language_model_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     n_all, n_kinds = (totals[0] or 0) + ends, (totals[1] or 0) + int(ends > 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.concat_tables([_score(blob, right, shards, n_all, n_kinds, ends) for blob in left.column("blob").to_pylist()])
+        out = pa.concat_tables([_score(blob, right, n_all, n_kinds, ends) for blob in left.column("blob").to_pylist()])
         trim()
         return out
 

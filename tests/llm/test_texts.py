@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from hard import prose, table, texts, words
 from tokenizers import Tokenizer
 
@@ -451,6 +454,72 @@ def test_scores_equal_a_plain_model(spark):
     assert got == plain_model(rows)
 
 
+def scored_in_blocks(rows, n_blocks: int, shards: int = 5) -> tuple[list[pa.Table], int, int]:
+    """The steps of the operator without Spark, and the most that numpy and Python held in the first and in the last one."""
+    schema = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
+    as_table = lambda found: pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+    cut = [pa.table({"doc_id": pa.array([i for i, _ in rows[k::n_blocks]], pa.int64()), "text": pa.array([t or "" for _, t in rows[k::n_blocks]])}) for k in range(n_blocks)]
+    cut = [t.set_column(1, "text", pc.ascii_lower(t.column("text"))) for t in cut]
+    tracemalloc.start()
+    asked = [r for k, t in enumerate(cut) for r in ppm._requests(t, k, shards)]
+    first = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs, ends = np.zeros(1 << 16, dtype=np.int64), 0
+    for kind, _, _, keys, _, counts in asked:
+        if kind == "pair":
+            pairs[np.frombuffer(keys, dtype="<u4")] += np.frombuffer(counts, dtype="<i8")
+        elif kind == "end":
+            ends += int(np.frombuffer(counts, dtype="<i8")[0])
+    grouped = defaultdict(list)
+    for r in asked:
+        if r[1] >= 0:
+            grouped[r[:2]].append(r)
+    answers = [a for own in grouped.values() for a in ppm._answer(as_table(own), ppm.LowOrders(pairs))]
+    n, v = sum(np.frombuffer(a[5], dtype="<i8") for a in answers if a[0] == "all")
+    held = [(t, as_table([a for a in answers if a[2] == k])) for k, t in enumerate(cut)]
+    blobs = []
+    for t, own in held:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        blobs.append((zstandard.ZstdCompressor().compress(sink.getvalue()), own))
+    tracemalloc.start()
+    done = [ppm._score(blob, own, int(n) + ends, int(v) + int(ends > 0), ends) for blob, own in blobs]
+    last = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return done, first, last
+
+
+def test_scores_do_not_depend_on_blocks_and_slices(monkeypatch):
+    rows = [(i, t) for i, t in texts() if t is None or len(t) < 20_000]
+    monkeypatch.setattr(ppm, "SLICE_BYTES", 300)
+    monkeypatch.setattr(ppm, "GATHERED", 100)
+    done, _, _ = scored_in_blocks(rows, 3)
+    got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for t in done for r in t.to_pylist())
+    assert got == plain_model(rows)
+
+
+def test_a_block_is_scored_in_little_memory():
+    rng = random.Random(7)
+    known = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2000)]
+    weights = [1 / (1 + k) for k in range(len(known))]
+    rows = [(i, " ".join(rng.choices(known, weights, k=1000))) for i in range(1500)]
+    size = sum(len(t) for _, t in rows)
+    _, first, last = scored_in_blocks(rows, 1)
+    assert first < 10 * size
+    assert last < 10 * size
+
+
+def test_blocks_of_a_batch_are_even():
+    held = pa.array(["a" * n for n in (5, 0, 9, 1, 1, 30, 2, 2)] + [None])
+    cut = list(ppm._even(held, 20))
+    assert [i for part in cut for i in range(len(held))[part]] == list(range(len(held)))
+    assert [sum(len(t or "") for t in held[part].to_pylist()) for part in cut] == [16, 30, 4]
+    assert list(ppm._even(pa.array([None, ""]), 20)) == [slice(0, 2)]
+    texts_of_one = pa.array(["a"] * 27)
+    assert [len(texts_of_one[part]) for part in ppm._even(texts_of_one, 24)] == [13, 14]
+
+
 def test_costs_of_a_context_add_up_to_one(spark):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 101, 400).astype(np.uint64)
