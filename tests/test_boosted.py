@@ -64,6 +64,20 @@ def test_rounds_do_not_ship_the_past_of_their_rows(spark, monkeypatch):
     assert not classes[0][1].getCacheNodeIds()
 
 
+def test_the_rows_of_the_loss_models_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def loss(x):
+        made.add(1)
+        return min(max(0.5 + 0.1 * x, 0.0), 1.0)
+
+    df = rows(spark, 400).repartition(3).withColumn("kind", F.when(F.col("b") > 0, "x").otherwise("y")).withColumn("lgd", loss("a")).withColumn("d", loss("b"))
+    fitted = models.fit_loss_models(df, ["a", "b", "c", "d", "kind"], ["kind"], forest_params={"numTrees": 2, "maxDepth": 2}, boosted_params={"maxIter": 2, "maxDepth": 2})
+    assert made.value == 2 * 400
+    assert fitted.models["forest"].getNumTrees == 2 and fitted.models["boosted"].getNumTrees == 2
+
+
 def test_cut_off_keeps_rows_and_partitions(spark):
     df = spark.range(100).repartition(7).withColumn("p", F.spark_partition_id())
     kept = df.persist()

@@ -28,6 +28,23 @@ def write_book(folder, n=150, seed=4):
         (folder / name).write_text("".join("|".join(str(r.get(c, "")) for c in columns) + "\n" for r in rows), encoding="latin-1")
 
 
+def test_losses_read_the_written_paths(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 2))
+    rows = spark.createDataFrame([(i, dt.date(2001, 1, 1), int(i % 3 == 0), float(a), float(b), 1000.0 + i) for i, (a, b) in enumerate(x)], "loan_seq_num int, report_date date, default_12m int, loan_age double, ur_3m_lag double, orig_upb double")
+    fitted = jobs.models.fit_boosted_pd(rows, ["loan_age", "ur_3m_lag"], [], block=2, maxIter=2, maxDepth=2, minInstancesPerNode=5)
+    rate = spark.createDataFrame([(dt.date(2018, 1, 1), 4.0)], "date date, unemployment_rate double")
+    plans, plain = [], jobs.scenarios.path_ecl
+
+    def spy(loans, *rest):
+        plans.append(loans._jdf.queryExecution().optimizedPlan().toString())
+        return plain(loans, *rest)
+
+    monkeypatch.setattr(jobs.scenarios, "path_ecl", spy)
+    ecl = jobs.stress_job(spark, fitted, rows, rate, str(tmp_path / "out"))
+    assert ecl.count() == 300 and len(plans) == 1 and "PythonUDF" not in plans[0] and "EvalPython" not in plans[0]
+
+
 def test_jobs_from_text_to_losses(spark, tmp_path):
     write_book(tmp_path)
     out = str(tmp_path / "out")
