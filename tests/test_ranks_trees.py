@@ -100,6 +100,21 @@ def test_node_tables_give_the_models_margins(spark, boosted):
     assert np.array_equal(again.margins(x), held.margins(x))
 
 
+def test_nodes_come_as_columns(spark, boosted, monkeypatch):
+    """A row object for each node of a long fit would fill the driver."""
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(boosted[1]).withColumn("label", F.col("default_12m").cast("double"))
+    model = GBTClassifier(maxIter=2, maxDepth=2, seed=4).fit(data)
+
+    def refuse(*rest, **more):
+        raise AssertionError("rows of nodes at the driver")
+
+    monkeypatch.setattr(type(data), "collect", refuse)
+    held = trees.read_trees(model, spark)
+    again = trees.Trees.from_table(held.table(spark), 3)
+    names = ("tree", "feature", "threshold", "below", "above", "value", "count", "gain")
+    assert held.n_trees == 2 and all(np.array_equal(getattr(held, n), getattr(again, n)) and getattr(held, n).dtype == getattr(again, n).dtype for n in names)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2**32 - 1), st.integers(1, 140))
 def test_cells_equal_changed_rows(seed, n_cells):
