@@ -85,6 +85,21 @@ def test_cut_off_keeps_rows_and_partitions(spark):
     assert [sorted(p) for p in cut_off(kept).rdd.glom().collect()] == before
 
 
+def test_fits_of_short_jobs_get_no_more_tasks_than_rows_are_worth(spark, monkeypatch):
+    df = spark.range(1000).repartition(7)
+    packed = cut_off(df, packed=True)
+    assert packed.rdd.getNumPartitions() == 1 and sorted(r.id for r in packed.collect()) == list(range(1000))
+    monkeypatch.setattr("creditloom.session.TASK_ROWS", 300)
+    assert cut_off(df, packed=True).rdd.getNumPartitions() == 4
+    monkeypatch.setattr("creditloom.session.TASK_ROWS", 1)  # 8 cores: 1000 tasks are too many, 8 would hold more than 32 rows each
+    assert cut_off(spark.range(1000).repartition(50), packed=True).rdd.getNumPartitions() == 32
+    assert cut_off(df.filter("id < 0"), packed=True).rdd.getNumPartitions() == 1
+    learn, loss = rows(spark, 600).repartition(5).withColumn("lgd", F.col("default_12m") * 0.5 + 0.1), spied(monkeypatch, "GBTRegressor")
+    monkeypatch.setattr("creditloom.session.TASK_ROWS", 1 << 15)
+    models.fit_loss_models(learn, ["a", "b", "c"], [], forest_params={"numTrees": 2, "maxDepth": 2}, boosted_params={"maxIter": 2, "maxDepth": 2})
+    assert [parts for _, _, parts in loss] == [1]
+
+
 def test_rounds_are_measured_from_one_pass(spark, monkeypatch):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
